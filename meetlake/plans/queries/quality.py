@@ -313,11 +313,9 @@ def career_summary(spark, d):
 
 @query("frequency_share", f"""{WITH}
 SELECT coalesce(date_of_birth, '<MISSING>') AS value, count(*) AS records,
-  {R4.format('count(*) / (SELECT count(*) FROM meet_results) * 100')} AS percent FROM meet_results GROUP BY 1""")
+  round_even(count(*) / (SELECT count(*) FROM meet_results) * 100, 2) AS percent FROM meet_results GROUP BY 1""")
 def frequency_share(spark, d):
-    shared = E.frequency_share(meet_results(spark, d), "date_of_birth")
-    whole = shared.agg(F.sum("records")).scalar()
-    return shared.withColumn("percent", steady(F.col("records") / whole * 100))
+    return E.frequency_share(meet_results(spark, d), "date_of_birth")
 
 
 _PROFILED = ("athlete_id", "competition", "year", "division", "team", "date_of_birth", *BESTS, "total", "place")
@@ -325,10 +323,11 @@ _PROFILED = ("athlete_id", "competition", "year", "division", "team", "date_of_b
 
 @query("column_profile", f"{WITH} " + " UNION ALL ".join(
     f"SELECT '{c}' AS field, count({c}) AS non_null, count(*) - count({c}) AS missing, "
-    f"count(DISTINCT {c}) AS \"unique\" FROM meet_results" for c in _PROFILED))
+    f"count(DISTINCT {c}) AS \"unique\", round_even((count(*) - count({c})) / count(*) * 100, 2) AS missing_percent "
+    "FROM meet_results" for c in _PROFILED))
 def column_profile(spark, d):
     return E.column_profile(meet_results(spark, d).select(*_PROFILED)).select(
-        "field", "non_null", "missing", "unique")
+        "field", "non_null", "missing", "unique", "missing_percent")
 
 
 @query("describe", f"{WITH} " + " UNION ALL ".join(
@@ -349,11 +348,12 @@ def correlation(spark, d):
 
 
 @query("iqr_outliers", f"{WITH} " + " UNION ALL ".join(
-    f"SELECT '{c}' AS field, count_if({c} < q1 - (q3 - q1) * 1.5 OR {c} > q3 + (q3 - q1) * 1.5) AS outliers "
+    f"SELECT '{c}' AS field, count_if({c} < q1 - (q3 - q1) * 1.5 OR {c} > q3 + (q3 - q1) * 1.5) AS outliers, "
+    f"round_even(count_if({c} < q1 - (q3 - q1) * 1.5 OR {c} > q3 + (q3 - q1) * 1.5) / count(*) * 100, 2) AS percent "
     f"FROM meet_results, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM meet_results)"
     for c in E.NUMERIC))
 def iqr_outliers(spark, d):
-    return E.iqr_outliers(meet_results(spark, d)).select("field", "outliers")
+    return E.iqr_outliers(meet_results(spark, d))
 
 
 @query("zero_attempts", f"{WITH} " + " UNION ALL ".join(
