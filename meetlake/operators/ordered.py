@@ -23,6 +23,8 @@ def _combine(kind: str, value: Column, frame) -> Column:
         return F.count(value).over(frame)
     if kind == "max":
         return F.max(value).over(frame)
+    if kind == "sum":
+        return F.coalesce(F.sum(value).over(frame), F.lit(0))
     if kind == "last":
         return F.last(value).over(frame)
     raise ValueError(f"unknown running measure {kind}")
@@ -32,8 +34,8 @@ def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    measures: Mapping[str, tuple[str, Column]], group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add measures over the rows strictly before each row of its group.
 
-    ``measures`` maps a new column to (kind, expression), kind being count, max or last. ``order`` must
-    order the rows of a group without ties. Groups up to ``group_rows`` rows take one window. Beyond
+    ``measures`` maps a new column to (kind, expression), kind being count, sum, max or last. ``order``
+    must order the rows of a group without ties. Groups up to ``group_rows`` rows take one window. Beyond
     that the rows are range-partitioned by (keys, order), so a hot group spreads over many chunks; the
     chunks are pinned in a checkpoint, each chunk runs its own window, and one small window over chunk
     totals carries the state from chunk to chunk. Both ways give the same rows.
@@ -53,12 +55,12 @@ def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     whole = []
     for name, (kind, _) in measures.items():
         v = F.col(f"_v_{name}")
-        total = {"count": F.count(v), "max": F.max(v), "last": F.max_by(v, F.struct(*order))}[kind]
+        total = {"count": F.count(v), "sum": F.sum(v), "max": F.max(v), "last": F.max_by(v, F.struct(*order))}[kind]
         whole.append(total.alias(f"_c_{name}"))
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = pinned.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"), *whole)
     carried = carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), *[
-        (F.sum(F.col(f"_c_{name}")) if kind == "count" else F.max(F.col(f"_c_{name}")) if kind == "max"
+        (F.sum(F.col(f"_c_{name}")) if kind in ("count", "sum") else F.max(F.col(f"_c_{name}")) if kind == "max"
          else F.last(F.col(f"_c_{name}"))).over(by_chunk).alias(f"_p_{name}")
         for name, (kind, _) in measures.items()])
 
@@ -71,6 +73,7 @@ def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     both = local.join(carried, same, "left")
     merged = {
         "count": lambda n: F.col(f"_l_{n}") + F.coalesce(F.col(f"_p_{n}"), F.lit(0)),
+        "sum": lambda n: F.col(f"_l_{n}") + F.coalesce(F.col(f"_p_{n}"), F.lit(0)),
         "max": lambda n: F.greatest(F.col(f"_l_{n}"), F.col(f"_p_{n}")),
         "last": lambda n: F.when(F.col("_n") == 1, F.col(f"_p_{n}")).otherwise(F.col(f"_l_{n}")),
     }

@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from meetlake.plans.queries import history, quality, service  # noqa: F401
+from meetlake.plans.queries import history, podium, quality, service  # noqa: F401
 from meetlake.plans.registry import ORACLES, PLANS
 
 __all__ = ["ORACLES", "PLANS"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "meetlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,3 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="meetlake-checkpoint-")
     context.setCheckpointDir(named)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Compute a reduced table once and cut its lineage, so that several consumers share one pass."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
