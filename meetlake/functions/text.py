@@ -51,6 +51,11 @@ def raw_lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAKS))
 
 
+def has(text: Column, pattern: str) -> Column:
+    """Pattern search where word borders, digits and blanks follow Unicode on every JDK."""
+    return text.rlike("(?U)" + pattern)
+
+
 def words(line: Column) -> Column:
     return F.split(squash(line), " ")
 
@@ -83,7 +88,7 @@ def resolved_confidence(birth: Column) -> Column:
 
 def year_of(c: Column) -> Column:
     """First free-standing year 19xx or 20xx in a text."""
-    return group(c.cast("string"), r"\b((?:19|20)\d{2})\b", 1).cast("int")
+    return group(c.cast("string"), r"(?U)\b((?:19|20)\d{2})\b", 1).cast("int")
 
 
 def equipment_of(competition: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meetlake.functions.arrays import blocks, carry_forward, let
-from meetlake.functions.text import group, split_lines, squash
+from meetlake.functions.text import group, has, split_lines, squash
 from meetlake.operators.sheet_rows import ROW_TYPE, parse_row
 
 # fixed values: layout patterns of result sheets
@@ -36,7 +36,7 @@ _LINE = "struct<line:string,weight_class:string,division:string,gender:string>"
 # ---- layout detection -------------------------------------------------------------------------
 
 def has_class_section(flat: Column) -> Column:
-    return flat.rlike(CLASS_THEN_DIVISION) | flat.rlike(DIVISION_THEN_CLASS)
+    return has(flat, CLASS_THEN_DIVISION) | has(flat, DIVISION_THEN_CLASS)
 
 
 def has_attempt_header(flat: Column) -> Column:
@@ -56,8 +56,8 @@ def has_wrapped_row(text: Column) -> Column:
     """A row start without a date whose next four lines show a date before another start or section."""
     def flags(line: Column) -> Column:
         start = line.rlike(ROW_START)
-        return F.struct(start.alias("start"), line.rlike(DATE_ANYWHERE).alias("dated"),
-                        (start | line.rlike(CLASS_BREAK)).alias("stop"))
+        return F.struct(start.alias("start"), has(line, DATE_ANYWHERE).alias("dated"),
+                        (start | has(line, CLASS_BREAK)).alias("stop"))
 
     def wrapped(seq: Column) -> Column:
         def test(x: Column, i: Column) -> Column:
@@ -75,10 +75,10 @@ def sheet_format(text: Column) -> Column:
     """Layout label, tested from the most specific layout to the oldest one."""
     def decide(flat: Column) -> Column:
         coeff = flat.contains("coeff.")
-        with_birth_date = flat.rlike(r"\bplace name dob team\b")
+        with_birth_date = has(flat, r"\bplace name dob team\b")
         old_layout = has_attempt_header(flat)
         return (
-            F.when(flat.rlike(r"\bplace name yob team\b") & coeff & has_class_section(flat), F.lit("FORMAT4"))
+            F.when(has(flat, r"\bplace name yob team\b") & coeff & has_class_section(flat), F.lit("FORMAT4"))
             .when(with_birth_date & coeff & has_placed_lifts(flat) & has_points_column(flat)
                   & has_class_section(flat), F.lit("FORMAT3"))
             .when(~old_layout, F.lit("UNKNOWN"))
