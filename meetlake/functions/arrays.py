@@ -1,49 +1,75 @@
-"""Ordered-array helpers: state that runs over the lines of one text stays inside that text's row."""
+"""Ordered-array helpers: state that runs over the lines of one text stays inside that text's row.
+
+The helpers return SQL text. A sheet layout is one large expression, and text is parsed in one call
+where a tree of column objects would cost thousands.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
+
+_names = count(1)
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def name(stem: str = "v") -> str:
+    """A lambda variable no other lambda uses."""
+    return f"{stem}_{next(_names)}"
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+
+def let(value: str, body: Callable[[str], str]) -> str:
     """Evaluate ``value`` once and hand it to ``body``."""
-    return F.get(F.transform(F.array(value), body), 0)
+    v = name()
+    return f"get(transform(array({value}), {v} -> {body(v)}), 0)"
 
 
-def first_index(items: Column, test: Callable[[Column, Column], Column]) -> Column:
-    """Lowest zero-based index whose (item, index) passes, or null."""
-    return F.array_min(F.transform(items, lambda x, i: F.when(test(x, i), i)))
+def each(items: str, body: Callable[[str], str]) -> str:
+    x = name("x")
+    return f"transform({items}, {x} -> {body(x)})"
+
+
+def each_at(items: str, body: Callable[[str, str], str]) -> str:
+    x, i = name("x"), name("i")
+    return f"transform({items}, ({x}, {i}) -> {body(x, i)})"
+
 
+def keep(items: str, test: Callable[[str], str]) -> str:
+    x = name("x")
+    return f"filter({items}, {x} -> {test(x)})"
 
-def tail(items: Column, start: Column) -> Column:
-    """Items from a zero-based index on."""
-    return F.slice(items, start + 1, F.greatest(F.size(items) - start, F.lit(0)))
+
+def known(items: str) -> str:
+    return keep(items, lambda x: f"{x} IS NOT NULL")
+
+
+def indexes(items: str, test: Callable[[str, str], str]) -> str:
+    """Ascending zero-based indexes of the items that pass."""
+    return known(each_at(items, lambda x, i: f"CASE WHEN {test(x, i)} THEN {i} END"))
+
+
+def first_index(items: str, test: Callable[[str, str], str]) -> str:
+    """Lowest zero-based index whose (item, index) passes, or null."""
+    return f"array_min({each_at(items, lambda x, i: f'CASE WHEN {test(x, i)} THEN {i} END')})"
 
 
-def blocks(items: Column, opens: Callable[[Column], Column],
-           body: Callable[[Column], Column]) -> Column:
+def blocks(items: str, opens: Callable[[str], str], body: Callable[[str], str]) -> str:
     """Cut an array before every opening item, map each block to an array, and join the results.
 
     Linear in the array: each item is copied into exactly one block.
     """
-    def cut(seq: Column) -> Column:
-        starts = F.filter(F.transform(seq, lambda x, i: F.when((i == 0) | opens(x), i)),
-                          lambda i: i.isNotNull())
-        return let(starts, lambda at: F.flatten(F.transform(
-            at, lambda p, j: let(
-                F.slice(seq, p + 1, F.coalesce(F.get(at, j + 1), F.size(seq)) - p), body))))
+    def cut(seq: str) -> str:
+        def spread(at: str) -> str:
+            return "flatten(" + each_at(at, lambda p, j: let(
+                f"slice({seq}, {p} + 1, coalesce(get({at}, {j} + 1), size({seq})) - {p})", body)) + ")"
+        return let(indexes(seq, lambda x, i: f"{i} = 0 OR {opens(x)}"), spread)
     return let(items, cut)
 
 
-def carry_forward(items: Column, opens: Callable[[Column], Column],
-                  attach: Callable[[Column, Column], Column]) -> Column:
+def carry_forward(items: str, opens: Callable[[str], str], attach: Callable[[str, str], str]) -> str:
     """Give every item the last opening item at or before it: attach(head, item).
 
     Before the first opening item the head is simply the first item, so ``attach`` tests the head.
     """
-    def spread(block: Column) -> Column:
-        return let(F.get(block, 0), lambda head: F.transform(block, lambda x: attach(head, x)))
+    def spread(block: str) -> str:
+        return let(f"get({block}, 0)", lambda head: each(block, lambda x: attach(head, x)))
     return blocks(items, opens, spread)

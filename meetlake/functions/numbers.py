@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: a decimal literal, with optional grouping underscores and exponent
-NUMBER = r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?$"
-NO_LIFT = ("-", "X", "FAIL")
-NO_RESULT = ("-", "X", "XX", "TD", "DQ", "DSQ")
+# fixed values: a decimal literal with optional grouping underscores and exponent, and its failed form
+_DECIMAL = r"[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?"
+NUMBER = rf"^{_DECIMAL}$"
+SIGNED_NUMBER = rf"^[xX]*{_DECIMAL}$"
 
 
 def to_number(token: Column) -> Column:
@@ -24,16 +24,6 @@ def lift_number(token: Column) -> Column:
     return F.when(token.rlike("^[xX]"), F.lit(0.0) - value).otherwise(value)
 
 
-def attempt_number(token: Column) -> Column:
-    """Attempt value where a bare failure mark means no value."""
-    return F.when(~F.upper(token).isin(*NO_LIFT), lift_number(token))
-
-
-def result_number(token: Column) -> Column:
-    """Best or total value; disqualification marks mean no value."""
-    return F.when(~F.upper(token).isin(*NO_RESULT), lift_number(token))
-
-
 def place_number(token: Column) -> Column:
     return F.when(token.rlike(r"^\d+$"), token.try_cast("int"))
 

@@ -8,7 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: Unicode white space plus the ASCII separators that count as space in result sheets
-SPACES = r"(?U)[\s\x1c-\x1f]+"
+_BLANK = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK_CHARS = ("\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
+               + "".join(map(chr, range(0x2000, 0x200B))))
+# a run that is anything but one plain blank: ordinary text matches nowhere and is left as it is
+SPACES = rf"[ {_BLANK}]{{2,}}|[{_BLANK}]"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -17,9 +21,13 @@ def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
+def squash_sql(c: str) -> str:
+    return f"trim(regexp_replace({c}, r'{SPACES}', ' '))"
+
+
 def strip(c: Column) -> Column:
-    """Trim Unicode white space at both ends, inner runs stay."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Trim white space at both ends, inner runs stay."""
+    return F.trim(c, F.lit(BLANK_CHARS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -40,9 +48,10 @@ def optional_text(c: Column) -> Column:
     return blank_to_null(F.upper(strip(c)))
 
 
-def split_lines(text: Column) -> Column:
+def lines_sql(text: str) -> str:
     """Trimmed, non-empty lines of a whole text."""
-    return F.filter(F.transform(F.split(text, LINE_BREAKS), strip), lambda x: x != "")
+    blanks = "".join(f"\\u{ord(ch):04x}" for ch in BLANK_CHARS)
+    return f"filter(transform(split({text}, r'{LINE_BREAKS}'), l -> trim(BOTH '{blanks}' FROM l)), l -> l <> '')"
 
 
 def raw_lines(text: Column) -> Column:
@@ -56,10 +65,6 @@ def has(text: Column, pattern: str) -> Column:
     return text.rlike("(?U)" + pattern)
 
 
-def words(line: Column) -> Column:
-    return F.split(squash(line), " ")
-
-
 def any_in(text: Column, terms) -> Column:
     """True when the text contains one of the terms."""
     return reduce(lambda a, b: a | b, [text.contains(t) for t in terms], F.lit(False))

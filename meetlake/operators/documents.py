@@ -11,8 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlake.functions.arrays import let
-from meetlake.functions.text import any_in, has, raw_lines, squash, strip
+from meetlake.functions.text import SPACES, any_in, has, raw_lines, squash, strip
 
 # fixed values: words that mark or rule out a kind of competition
 KIND = "powerlifting"
@@ -52,6 +51,11 @@ class FormatTerms:
 
 # ---- keyword filter and content class ---------------------------------------------------------
 
+def _once(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def is_excluded(name: Column, terms: Sequence[str] = KIND_EXCLUDED) -> Column:
     return any_in(F.lower(name), terms)
 
@@ -73,7 +77,7 @@ def content_class(documents: DataFrame, text: str = "text", terms: ContentTerms
             lifts[2].alias("has_deadlift"), total.alias("has_total"), place.alias("has_place"),
             whole.alias("complete_sbd"), any_in(flat, terms.excluded).alias("has_excluded_category"))
 
-    found = documents.select("*", F.explode(F.array(let(F.lower(squash(F.col(text))), judge))).alias("_e"))
+    found = documents.select("*", F.explode(F.array(_once(F.lower(squash(F.col(text))), judge))).alias("_e"))
     e = F.col("_e")
     status = (F.when(F.col(text).isNull(), "ERROR")
               .when(e["has_men"] & e["complete_sbd"] & ~e["has_excluded_category"], "VALID")
@@ -99,7 +103,7 @@ def review_sample(rows: DataFrame, n: int, status: str = "status") -> DataFrame:
 def masked_line(line: Column) -> Column:
     """Lower case, numbers as #, single blanks: headers that differ in digits become equal."""
     return F.regexp_replace(F.regexp_replace(strip(F.lower(line)), r"\d+(?:\.\d+)?", "#"),
-                            r"(?U)[\s\x1c-\x1f]+", " ")
+                            SPACES, " ")
 
 
 def format_profile(documents: DataFrame, text: str = "text", terms: FormatTerms = FormatTerms()) -> DataFrame:
@@ -111,11 +115,11 @@ def format_profile(documents: DataFrame, text: str = "text", terms: FormatTerms
     flags = {n: has(lower, p) for n, p in terms.features.items()}
 
     def is_header(line: Column) -> Column:
-        return let(masked_line(line), lambda m: sum(
+        return _once(masked_line(line), lambda m: sum(
             m.contains(w).cast("int") for w in terms.header_words) >= terms.header_score)
 
     lines = raw_lines(F.col(text))
-    facts = let(lines, lambda ls: F.struct(
+    facts = _once(lines, lambda ls: F.struct(
         F.size(ls).alias("lines"), F.transform(F.filter(ls, is_header), strip).alias("headers")))
     found = documents.select("*", *[c.alias(n) for n, c in flags.items()], F.explode(F.array(facts)).alias("_f"))
     named = F.array_join(F.filter(F.array(*[F.when(F.col(n), F.lit(n)) for n in flags]), lambda x: x.isNotNull()), "|")

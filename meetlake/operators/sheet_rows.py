@@ -1,28 +1,25 @@
 """One result line into its fields, for each of the four layouts.
 
-Every layout is an expression over the token array of the line. A line that is no result row gives an
-empty array, so exploding the outcome also filters.
+Every layout is an expression over the tokens of a line and their numeric values, both computed once
+per line. The expressions are SQL text (see functions.arrays).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from meetlake.functions.arrays import first_index, let, tail
-from meetlake.functions.numbers import (
-    attempt_number, best_of, lift_number, place_number, result_number, to_number,
-)
-from meetlake.functions.text import words
-from meetlake.schema import LIFT_BLOCK
+from meetlake.functions.arrays import each, first_index, indexes, let
+from meetlake.functions.numbers import SIGNED_NUMBER
+from meetlake.functions.text import squash_sql
+from meetlake.schema import LIFT_BLOCK, LIFTS
 
 # fixed values: token shapes
-DIGITS = r"^\d+$"
-BIRTH_DATE = r"^\d{2}-\d{2}-\d{4}$"
-PLACE_MARK = r"^\[.*\]$"
-GROUP_MARK = r"^\[\d+\]$"
+DIGITS = r"r'^\d+$'"
+BIRTH_DATE = r"r'^\d{2}-\d{2}-\d{4}$'"
+BIRTH_YEAR = r"r'^(?:19\d{2}|20\d{2}|2100)$'"
+RANKED = r"r'^(?:-|\d+)$'"
+PLACE_MARK = r"r'^\[.*\]$'"
+GROUP_MARK = r"r'^\[\d+\]$'"
 
 ROW_TYPE = {
     "place": "int", "athlete_name": "string", "date_of_birth": "string", "team": "string", "lot": "string",
@@ -30,177 +27,156 @@ ROW_TYPE = {
 }
 
 
-def row_struct(**fields: Column) -> Column:
-    """Row with every field in the fixed order and type; fields not given are null."""
-    return F.struct(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in ROW_TYPE.items()])
+def number(token: str) -> str:
+    """Signed value of a token: a leading X marks a failed attempt and turns the sign, other text is null."""
+    value = f"try_cast(translate({token}, '_xX', '') AS double)"
+    return (f"CASE WHEN {token} RLIKE r'{SIGNED_NUMBER}' THEN "
+            f"CASE WHEN left({token}, 1) IN ('x', 'X') THEN 0.0D - {value} ELSE {value} END END")
 
 
-def _no_rows() -> Column:
-    inner = ",".join(f"{n}:{t}" for n, t in ROW_TYPE.items())
-    return F.array().cast(f"array<struct<{inner}>>")
+def row_struct(**fields: str) -> str:
+    """Row with every field in the fixed order and type; fields not given are null."""
+    return "named_struct(" + ", ".join(
+        f"'{n}', CAST({fields.get(n, 'NULL')} AS {t})" for n, t in ROW_TYPE.items()) + ")"
 
 
-def _rows_if(test: Column, row: Column) -> Column:
-    """One-row array when the test holds; a null test counts as failed."""
-    return F.when(F.coalesce(test, F.lit(False)), F.array(row)).otherwise(_no_rows())
+def _join(t: str, start: str, stop: str) -> str:
+    """Tokens of a half-open zero-based range as one text."""
+    return f"array_join(slice({t}, {start} + 1, greatest({stop} - ({start}), 0)), ' ')"
 
 
-def _join(tokens: Column, start, stop: Column) -> Column:
-    """Tokens of a half-open zero-based range as one text."""
-    return F.array_join(F.slice(tokens, start + 1, F.greatest(stop - start, F.lit(0))), " ")
+def _identity(t: str, v: str, anchor: str, lot: str, full: bool) -> dict[str, str]:
+    """Place, name and bodyweight; with ``full`` also birth date, team and lot."""
+    out = {"place": f"CASE WHEN get({t}, 0) RLIKE {DIGITS} THEN try_cast(get({t}, 0) AS int) END",
+           "athlete_name": _join(t, "1", anchor), "bodyweight": f"get({v}, {lot} + 1)"}
+    if full:
+        out |= {"date_of_birth": f"get({t}, {anchor})", "team": _join(t, f"{anchor} + 1", lot), "lot": f"get({t}, {lot})"}
+    return out
 
 
-def _block(values: dict[str, list[Column]], attempt: Callable, best: Callable) -> dict[str, Column]:
+def _lifts(value: Callable[[int], str], best: Callable[[list[str]], str], deadlift_best: str | None = None) -> dict[str, str]:
+    """Three groups of three attempts and a best from twelve values in a row."""
     out = {}
-    for lift, four in values.items():
-        out.update({f"{lift}_{k + 1}": attempt(four[k]) for k in range(3)})
-        out[f"best_{lift}"] = best(four)
+    for g, lift in enumerate(LIFTS):
+        four = [value(4 * g + i) for i in range(4)]
+        if lift == "deadlift" and deadlift_best is not None:
+            four[3] = deadlift_best
+        out |= {f"{lift}_{k + 1}": four[k] for k in range(3)} | {f"best_{lift}": best(four)}
     return out
 
 
-def _status(total: Column) -> Column:
-    return F.when(total.isNull(), F.lit("INCOMPLETE")).otherwise(F.lit("PARSED"))
-
+def _with_total(common: dict[str, str], lifts: dict[str, str], total: str) -> str:
+    return row_struct(**common, **lifts, total=total,
+                      status=f"CASE WHEN {total} IS NULL THEN 'INCOMPLETE' ELSE 'PARSED' END")
 
-def _fours(v: Column, padded: Callable[[int], Column], deadlift_best: Column | None = None) -> dict:
-    fours = {"squat": [padded(i) for i in range(4)], "bench": [padded(i) for i in range(4, 8)],
-             "deadlift": [padded(i) for i in range(8, 12)]}
-    if deadlift_best is not None:
-        fours["deadlift"][3] = deadlift_best
-    return fours
 
+def _source_best(four: list[str]) -> str:
+    return four[3]
 
-def _without_marks(tokens: Column, start: Column) -> Column:
-    return F.filter(tail(tokens, start), lambda x: ~x.rlike(PLACE_MARK))
 
+def _best_or_attempts(four: list[str]) -> str:
+    """The stated best, else the best successful attempt."""
+    return f"coalesce({four[3]}, " + "greatest(" + ", ".join(f"CASE WHEN {a} >= 0 THEN {a} END" for a in four[:3]) + "))"
 
-# ---- first layout -----------------------------------------------------------------------------
 
-def _row_1(t: Column) -> Column:
-    n = F.size(t)
+def _unmarked(t: str, start: str) -> str:
+    """Indexes from ``start`` on whose token is no [place] mark."""
+    return indexes(t, lambda x, i: f"{i} >= {start} AND NOT {x} RLIKE {PLACE_MARK}")
 
-    def with_lot(born: Column, lot: Column) -> Column:
-        common = dict(place=place_number(F.get(t, 0)), athlete_name=_join(t, F.lit(1), born),
-                      date_of_birth=F.get(t, born), team=_join(t, born + 1, lot), lot=F.get(t, lot),
-                      bodyweight=lift_number(F.get(t, lot + 1)))
 
-        def rows(v: Column) -> Column:
-            at = lambda i: F.get(v, i)
-            pad = lambda i: F.coalesce(at(i), F.lit("-"))
-            compact = (F.size(v) >= 4) & (at(0) != "-") & (at(1) == "-") & (at(2) != "-") & (at(3) == "-")
-            singles = {"squat": lift_number(at(0)), "bench": lift_number(at(2)), "deadlift": lift_number(at(4))}
-            short = row_struct(**common, status=F.lit("INCOMPLETE"),
-                               **{f"{k}_1": c for k, c in singles.items()},
-                               **{f"best_{k}": c for k, c in singles.items()})
-            total = lift_number(pad(12))
-            full = row_struct(
-                **common, total=total, status=_status(total),
-                **_block(_fours(v, pad), lift_number, lambda four: F.coalesce(
-                    lift_number(four[3]), best_of(*[lift_number(a) for a in four[:3]]))))
-            return F.array(F.when(compact, short).otherwise(full))
+def _row_1(t: str, v: str) -> str:
+    def with_lot(born: str, lot: str) -> str:
+        common = _identity(t, v, born, lot, full=True)
 
-        return let(_without_marks(t, lot + 2), rows)
+        def rows(k: str) -> str:
+            text = lambda i: f"get({t}, get({k}, {i}))"
+            value = lambda i: f"get({v}, get({k}, {i}))"
+            compact = (f"size({k}) >= 4 AND {text(0)} <> '-' AND {text(1)} = '-' AND {text(2)} <> '-' AND {text(3)} = '-'")
+            singles = {"squat": value(0), "bench": value(2), "deadlift": value(4)}
+            short = row_struct(**common, status="'INCOMPLETE'", **{f"{n}_1": c for n, c in singles.items()},
+                               **{f"best_{n}": c for n, c in singles.items()})
+            return f"CASE WHEN {compact} THEN {short} ELSE {_with_total(common, _lifts(value, _best_or_attempts), value(12))} END"
 
-    def with_birth(born: Column) -> Column:
-        lot = first_index(t, lambda x, i: (i > born) & (i < n - 1) & x.rlike(DIGITS)
-                          & lift_number(F.get(t, i + 1)).isNotNull())
-        return let(lot, lambda at: F.when(at.isNotNull() & (born > 1), with_lot(born, at)))
+        return let(_unmarked(t, f"({lot} + 2)"), rows)
 
-    born = first_index(t, lambda x, i: (i >= 1) & (i < 12) & x.rlike(BIRTH_DATE))
-    found = F.when(n >= 8, let(born, lambda b: F.when(b.isNotNull(), with_birth(b))))
-    return F.coalesce(found, F.array(row_struct(status=F.lit("REVIEW"))))
+    def with_birth(born: str) -> str:
+        lot = first_index(t, lambda x, i: f"{i} > {born} AND {i} < size({t}) - 1 AND get({v}, {i} + 1) IS NOT NULL "
+                                          f"AND {x} RLIKE {DIGITS}")
+        return let(lot, lambda at: f"CASE WHEN {at} IS NOT NULL AND {born} > 1 THEN {with_lot(born, at)} END")
 
+    born = first_index(t, lambda x, i: f"{i} BETWEEN 1 AND 11 AND {x} RLIKE {BIRTH_DATE}")
+    row = let(born, with_birth)
+    return f"coalesce(CASE WHEN size({t}) >= 8 THEN {row} END, {row_struct(status=chr(39) + 'REVIEW' + chr(39))})"
 
-# ---- second layout ----------------------------------------------------------------------------
 
-def _row_2(t: Column) -> Column:
-    n = F.size(t)
+def _row_2(t: str, v: str) -> str:
+    def mark(i: str) -> str:
+        return f"CAST(coalesce(get({t}, {i}) RLIKE {GROUP_MARK}, false) AS int)"
 
-    def lifts(common: dict, p: Column) -> Column:
-        skip = lambda i: F.coalesce(F.get(p, i).rlike(GROUP_MARK), F.lit(False)).cast("int")
-        bench_at = 4 + skip(F.lit(4))
+    def plain(i: str) -> str:
+        return f"NOT get({t}, {i}) RLIKE '^[xX]'"
 
-        def rest(b: Column) -> Column:
-            def last(d: Column) -> Column:
-                end = d + 4 + skip(d + 4)
-                starts = {"squat": F.lit(0), "bench": b, "deadlift": d}
-                fours = {k: [F.get(p, s + i) for i in range(4)] for k, s in starts.items()}
-                total = result_number(F.get(p, end))
-                row = row_struct(**common, total=total, status=_status(total),
-                                 **_block(fours, attempt_number, lambda four: result_number(four[3])))
-                return _rows_if((F.size(p) >= 12) & (d + 4 <= F.size(p)), row)
-            return let(b + 4 + skip(b + 4), last)
+    def with_lot(born: str, lot: str) -> str:
+        common = _identity(t, v, born, lot, full=True)
+        coefficient = f"get({v}, {lot} + 2)"
+        start = (f"{lot} + 2 + CAST(coalesce({coefficient} > 0 AND {coefficient} < 2.0 AND {plain(f'{lot} + 2')}, false) AS int)")
 
-        return let(bench_at, rest)
+        def from_squat(s: str) -> str:
+            return let(f"{s} + 4 + {mark(f'{s} + 4')}", lambda b: let(
+                f"{b} + 4 + {mark(f'{b} + 4')}", lambda d: let(f"{d} + 4 + {mark(f'{d} + 4')}", lambda e: finish(s, b, d, e))))
 
-    def with_lot(born: Column, lot: Column) -> Column:
-        common = dict(place=place_number(F.get(t, 0)), athlete_name=_join(t, F.lit(1), born),
-                      date_of_birth=F.get(t, born), team=_join(t, born + 1, lot), lot=F.get(t, lot),
-                      bodyweight=lift_number(F.get(t, lot + 1)))
-        coefficient = to_number(F.get(t, lot + 2))
-        has_coefficient = F.coalesce((coefficient > 0) & (coefficient < 2.0), F.lit(False)).cast("int")
-        return let(tail(t, lot + 2 + has_coefficient), lambda p: lifts(common, p))
+        def finish(s: str, b: str, d: str, e: str) -> str:
+            at = (s, b, d)
+            lifts = _lifts(lambda i: f"get({v}, {at[i // 4]} + {i % 4})", _source_best)
+            return (f"CASE WHEN size({t}) - {s} >= 12 AND {d} + 4 <= size({t}) THEN "
+                    f"{_with_total(common, lifts, f'get({v}, {e})')} END")
 
-    def with_birth(born: Column) -> Column:
-        lot = first_index(t, lambda x, i: (i > born) & (i < F.least(n - 1, born + 13)) & x.rlike(DIGITS)
-                          & (to_number(F.get(t, i + 1)) > 0))
-        return let(lot, lambda at: F.when(at.isNotNull(), with_lot(born, at)))
+        return let(start, from_squat)
 
-    born = first_index(t, lambda x, i: x.rlike(BIRTH_DATE))
-    ranked = (n >= 10) & F.get(t, 0).rlike(r"^(?:-|\d+)$")
-    return F.coalesce(F.when(ranked, let(born, lambda b: F.when(b > 1, with_birth(b)))), _no_rows())
+    def with_birth(born: str) -> str:
+        lot = first_index(t, lambda x, i: f"{i} > {born} AND {i} < least(size({t}) - 1, {born} + 13) "
+                                          f"AND get({v}, {i} + 1) > 0 AND {x} RLIKE {DIGITS} AND {plain(f'{i} + 1')}")
+        return let(lot, lambda at: f"CASE WHEN {at} IS NOT NULL THEN {with_lot(born, at)} END")
 
+    born = first_index(t, lambda x, i: f"{x} RLIKE {BIRTH_DATE}")
+    row = let(born, lambda b: f"CASE WHEN {b} > 1 THEN {with_birth(b)} END")
+    return f"CASE WHEN size({t}) >= 10 AND get({t}, 0) RLIKE {RANKED} THEN {row} END"
 
-# ---- third and fourth layout ------------------------------------------------------------------
 
-def _row_anchored(t: Column, anchor: Callable, values: Callable[[dict, Column], Column]) -> Column:
+def _row_anchored(t: str, v: str, anchor: str, values: Callable[[dict[str, str], str], str]) -> str:
     """Rows of the later layouts: name up to the anchor, then lot, bodyweight and coefficient."""
-    n = F.size(t)
+    def with_anchor(a: str) -> str:
+        lot = first_index(t, lambda x, i: f"{i} > {a} AND {i} < size({t}) - 2 AND get({v}, {i} + 1) IS NOT NULL "
+                                          f"AND get({v}, {i} + 2) IS NOT NULL AND {x} RLIKE {DIGITS}")
+        return let(lot, lambda at: f"CASE WHEN {at} IS NOT NULL AND {a} > 1 THEN " + let(
+            _unmarked(t, f"({at} + 3)"), lambda k: values(_identity(t, v, a, at, full=False), k)) + " END")
 
-    def with_anchor(a: Column) -> Column:
-        lot = first_index(t, lambda x, i: (i > a) & (i < n - 2) & x.rlike(DIGITS)
-                          & lift_number(F.get(t, i + 1)).isNotNull()
-                          & lift_number(F.get(t, i + 2)).isNotNull())
+    spot = first_index(t, lambda x, i: f"{i} BETWEEN 1 AND 14 AND {x} RLIKE {anchor}")
+    return (f"CASE WHEN size({t}) >= 10 AND get({t}, 0) RLIKE {RANKED} THEN "
+            + let(spot, lambda a: f"CASE WHEN {a} IS NOT NULL THEN {with_anchor(a)} END") + " END")
 
-        def with_lot(at: Column) -> Column:
-            common = dict(place=place_number(F.get(t, 0)), athlete_name=_join(t, F.lit(1), a),
-                          bodyweight=lift_number(F.get(t, at + 1)))
-            return let(_without_marks(t, at + 3), lambda v: values(common, v))
 
-        return let(lot, lambda at: F.when(at.isNotNull() & (a > 1), with_lot(at)))
+def _row_3(t: str, v: str) -> str:
+    def values(common: dict[str, str], k: str) -> str:
+        value = lambda i: f"get({v}, get({k}, {i}))"
+        return _with_total(common, _lifts(value, _source_best), value(12))
+    return _row_anchored(t, v, BIRTH_DATE, values)
 
-    spot = first_index(t, lambda x, i: (i >= 1) & (i < 15) & anchor(x))
-    ranked = (n >= 10) & F.get(t, 0).rlike(r"^(?:-|\d+)$")
-    return F.coalesce(F.when(ranked, let(spot, lambda a: F.when(a.isNotNull(), with_anchor(a)))), _no_rows())
 
-
-def _full_row(common: dict, fours: dict, total: Column) -> Column:
-    value = lift_number(total)
-    return F.array(row_struct(**common, total=value, status=_status(value),
-                              **_block(fours, lift_number, lambda four: lift_number(four[3]))))
-
-
-def _row_3(t: Column) -> Column:
-    def values(common: dict, v: Column) -> Column:
-        pad = lambda i: F.coalesce(F.get(v, i), F.lit("-"))
-        return _full_row(common, _fours(v, pad), pad(12))
-    return _row_anchored(t, lambda x: x.rlike(BIRTH_DATE), values)
-
-
-def _row_4(t: Column) -> Column:
-    def values(common: dict, v: Column) -> Column:
-        pad = lambda i: F.coalesce(F.get(v, i), F.lit("-"))
-        extra = (F.size(v) >= 17).cast("int")  # a stray value sits before the best deadlift
-        return _full_row(common, _fours(v, pad, pad(extra + 11)), pad(extra + 12))
-    return _row_anchored(t, lambda x: x.rlike(r"^(?:19\d{2}|20\d{2}|2100)$"), values)
+def _row_4(t: str, v: str) -> str:
+    def values(common: dict[str, str], k: str) -> str:
+        value = lambda i: f"get({v}, get({k}, {i}))"
+        # a row of 17 or more values has a stray one before the best deadlift
+        extra = f"CAST(size({k}) >= 17 AS int)"
+        return _with_total(common, _lifts(value, _source_best, value(f"11 + {extra}")), value(f"12 + {extra}"))
+    return _row_anchored(t, v, BIRTH_YEAR, values)
 
 
 _ROWS = {"FORMAT1": _row_1, "FORMAT2": _row_2, "FORMAT3": _row_3, "FORMAT4": _row_4}
 
 
-def parse_row(layout: Column, line: Column) -> Column:
-    """Array with the row of a line (empty when the line holds none), by layout label."""
-    out = _no_rows()
-    for name, rule in _ROWS.items():
-        out = F.when(layout == name, let(words(line), rule)).otherwise(out)
-    return out
+def parse_row_sql(layout: str, line: str) -> str:
+    """The row struct of a line by layout label; null when the line holds no row."""
+    def by_layout(t: str, v: str) -> str:
+        return "CASE " + " ".join(f"WHEN {layout} = '{n}' THEN {rule(t, v)}" for n, rule in _ROWS.items()) + " END"
+    return let(f"split({squash_sql(line)}, ' ')", lambda t: let(each(t, number), lambda v: by_layout(t, v)))

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlake.functions.arrays import blocks, carry_forward, let
-from meetlake.functions.text import group, has, split_lines, squash
-from meetlake.operators.sheet_rows import ROW_TYPE, parse_row
+from meetlake.functions.arrays import blocks, carry_forward, each, each_at, first_index, keep, let
+from meetlake.functions.text import lines_sql, squash, squash_sql
+from meetlake.operators.sheet_rows import ROW_TYPE, parse_row_sql
 
 # fixed values: layout patterns of result sheets
 DATE_TOKEN = r"(?:^| )\d{2}-\d{2}-\d{4}(?: |$)"
@@ -24,68 +24,78 @@ DIVISION_THEN_CLASS = r"(?s)^\W*+\w.*?-\s*\d+(?:\.\d+)?\s*(?:\+\s*)?kg\b"
 SECTION_1 = r"(?i)^(\d+(?:\.\d+)?)kg\s*-\s*(.+)$"
 SECTION_WEIGHT_FIRST = r"^(\d+(?:\.\d+)?|\d+\+)\s*[Kk][Gg]\s*-\s*(.+)$"
 SECTION_DIVISION_FIRST = r"^(.+?)\s*-\s*(\d+(?:\.\d+)?|\d+\+)\s*[Kk][Gg]$"
+BIRTH_DATE_HEADER = r"\bplace name dob team\b"
+BIRTH_YEAR_HEADER = r"\bplace name yob team\b"
+FLAT_START = r"^(?:\d+|-) \S"
 INLINE_CLASS = r"(?i)(?:^| )(\d+(?:\.\d+)?|\d+\+)kg(?: |$)"
 SUMMARY_STARTS = ("best lifter -", "team championship -")
 SUMMARY_HEADS = ("place name team", "place team points")
 
 FORMATS = ("FORMAT1", "FORMAT2", "FORMAT3", "FORMAT4")
-_SECTION = "struct<weight_class:string,division:string>"
 _LINE = "struct<line:string,weight_class:string,division:string,gender:string>"
 
 
 # ---- layout detection -------------------------------------------------------------------------
 
-def has_class_section(flat: Column) -> Column:
-    return has(flat, CLASS_THEN_DIVISION) | has(flat, DIVISION_THEN_CLASS)
+def _has(text: str, pattern: str) -> str:
+    """Pattern search where word borders, digits and blanks follow Unicode on every JDK."""
+    return f"{text} RLIKE r'(?U){pattern}'"
 
 
-def has_attempt_header(flat: Column) -> Column:
-    return (flat.contains("place name dob team") & flat.contains("sq1")
-            & flat.contains("bp1") & flat.contains("dl1"))
+def _contains(text: str, *parts: str) -> str:
+    return "(" + " AND ".join(f"contains({text}, '{p}')" for p in parts) + ")"
 
 
-def has_placed_lifts(flat: Column) -> Column:
-    return flat.contains("sq [pl]") & flat.contains("bp [pl]") & flat.contains("dl [pl]")
+def has_class_section(flat: str) -> str:
+    return f"({_has(flat, CLASS_THEN_DIVISION)} OR {_has(flat, DIVISION_THEN_CLASS)})"
 
 
-def has_points_column(flat: Column) -> Column:
-    return flat.contains("ipf gl points")
+def has_attempt_header(flat: str) -> str:
+    return _contains(flat, "place name dob team", "sq1", "bp1", "dl1")
 
 
-def has_wrapped_row(text: Column) -> Column:
+def has_placed_lifts(flat: str) -> str:
+    return _contains(flat, "sq [pl]", "bp [pl]", "dl [pl]")
+
+
+def has_points_column(flat: str) -> str:
+    return _contains(flat, "ipf gl points")
+
+
+def has_wrapped_row(text: str) -> str:
     """A row start without a date whose next four lines show a date before another start or section."""
-    def flags(line: Column) -> Column:
-        start = line.rlike(ROW_START)
-        return F.struct(start.alias("start"), has(line, DATE_ANYWHERE).alias("dated"),
-                        (start | has(line, CLASS_BREAK)).alias("stop"))
-
-    def wrapped(seq: Column) -> Column:
-        def test(x: Column, i: Column) -> Column:
-            found = F.lit(False)
+    def flags(line: str) -> str:
+        start = f"{line} RLIKE r'{ROW_START}'"
+        return (f"named_struct('start', {start}, 'dated', {_has(line, DATE_ANYWHERE)}, "
+                f"'stop', {start} OR (contains(lower({line}), 'kg') AND {_has(line, CLASS_BREAK)}))")
+
+    def wrapped(seq: str) -> str:
+        def test(x: str, i: str) -> str:
+            found = "false"
             for ahead in (4, 3, 2, 1):
-                near = F.get(seq, i + ahead)
-                found = F.coalesce(near["dated"] | (~near["stop"] & found), F.lit(False))
-            return x["start"] & ~x["dated"] & found
-        return F.exists(F.transform(seq, test), lambda hit: hit)
+                near = f"get({seq}, {i} + {ahead})"
+                found = f"coalesce({near}.dated OR (NOT {near}.stop AND {found}), false)"
+            return f"{x}.start AND NOT {x}.dated AND {found}"
+        return f"exists({each_at(seq, test)}, hit -> hit)"
 
-    return let(F.transform(split_lines(text), flags), wrapped)
+    return let(each(lines_sql(text), flags), wrapped)
 
 
-def sheet_format(text: Column) -> Column:
+def sheet_format(text: str) -> str:
     """Layout label, tested from the most specific layout to the oldest one."""
-    def decide(flat: Column) -> Column:
-        coeff = flat.contains("coeff.")
-        with_birth_date = has(flat, r"\bplace name dob team\b")
-        old_layout = has_attempt_header(flat)
-        return (
-            F.when(has(flat, r"\bplace name yob team\b") & coeff & has_class_section(flat), F.lit("FORMAT4"))
-            .when(with_birth_date & coeff & has_placed_lifts(flat) & has_points_column(flat)
-                  & has_class_section(flat), F.lit("FORMAT3"))
-            .when(~old_layout, F.lit("UNKNOWN"))
-            .when(with_birth_date & (coeff | has_wrapped_row(text)) & has_class_section(flat), F.lit("FORMAT2"))
-            .when(flat.contains("total points") & ~coeff & ~has_wrapped_row(text), F.lit("FORMAT1"))
-            .otherwise(F.lit("UNKNOWN")))
-    return let(F.lower(squash(text)), decide)
+    def decide(flat: str) -> str:
+        coeff = _contains(flat, "coeff.")
+        section = has_class_section(flat)
+        dob = f"({_contains(flat, 'place name dob team')} AND {_has(flat, BIRTH_DATE_HEADER)})"
+        yob = f"({_contains(flat, 'place name yob team')} AND {_has(flat, BIRTH_YEAR_HEADER)})"
+        return f"""CASE
+          WHEN {yob} AND {coeff} AND {section} THEN 'FORMAT4'
+          WHEN {dob} AND {coeff} AND {has_placed_lifts(flat)} AND {has_points_column(flat)} AND {section} THEN 'FORMAT3'
+          WHEN NOT {has_attempt_header(flat)} THEN 'UNKNOWN'
+          WHEN {dob} AND ({coeff} OR {has_wrapped_row(text)}) AND {section} THEN 'FORMAT2'
+          WHEN {_contains(flat, 'total points')} AND NOT {coeff} AND NOT {has_wrapped_row(text)} THEN 'FORMAT1'
+          ELSE 'UNKNOWN' END"""
+    return let(f"lower({squash_sql(text)})", decide)
 
 
 def simple_parser(text: Column) -> Column:
@@ -95,158 +105,150 @@ def simple_parser(text: Column) -> Column:
         F.lit("FORMAT1"))
 
 
-# ---- sections and headers ---------------------------------------------------------------------
+# ---- sections and headers (all over squashed lines) -------------------------------------------
 
-def _section(weight: Column, division: Column) -> Column:
-    return F.when(weight.isNotNull(), F.struct(weight.alias("weight_class"), F.trim(division).alias("division")))
+def _section(flat: str, pattern: str, weight: int, division: int, otherwise: str = "NULL") -> str:
+    return (f"CASE WHEN NOT contains(lower({flat}), 'kg') THEN NULL WHEN {flat} RLIKE r'{pattern}' THEN "
+            f"named_struct('weight_class', regexp_extract({flat}, r'{pattern}', {weight}), "
+            f"'division', trim(regexp_extract({flat}, r'{pattern}', {division}))) ELSE {otherwise} END")
 
 
-def section_first_layout(line: Column) -> Column:
-    return _section(group(line, SECTION_1, 1), group(line, SECTION_1, 2))
+def section_first_layout(flat: str) -> str:
+    return _section(flat, SECTION_1, 1, 2)
 
 
-def section_division_first(line: Column) -> Column:
-    flat = squash(line)
-    return _section(group(flat, SECTION_DIVISION_FIRST, 2), group(flat, SECTION_DIVISION_FIRST, 1))
+def section_division_first(flat: str) -> str:
+    return _section(flat, SECTION_DIVISION_FIRST, 2, 1)
 
 
-def section_either_order(line: Column) -> Column:
-    flat = squash(line)
-    return F.coalesce(
-        _section(group(flat, SECTION_WEIGHT_FIRST, 1), group(flat, SECTION_WEIGHT_FIRST, 2)),
-        section_division_first(line))
+def section_either_order(flat: str) -> str:
+    return _section(flat, SECTION_WEIGHT_FIRST, 1, 2, section_division_first(flat))
 
 
-def is_column_header(line: Column, layout: int) -> Column:
-    flat = F.lower(squash(line))
-    if layout == 2:
-        return flat.startswith("place name dob team") & flat.contains("coeff") & has_points_column(flat)
-    return (flat.startswith("place name dob team" if layout == 3 else "place name yob team")
-            & flat.contains("coeff.") & has_placed_lifts(flat))
+def is_column_header(flat: str, layout: int) -> str:
+    low = f"lower({flat})"
+    start = "place name yob team" if layout == 4 else "place name dob team"
+    rest = (f"{_contains(low, 'coeff', 'ipf gl points')}" if layout == 2
+            else f"{_contains(low, 'coeff.')} AND {has_placed_lifts(low)}")
+    return f"(startswith({low}, '{start}') AND {rest})"
 
 
-def starts_summary(line: Column) -> Column:
-    flat = F.lower(squash(line))
-    return flat.startswith(SUMMARY_STARTS[0]) | flat.startswith(SUMMARY_STARTS[1])
+def _starts(flat: str, starts) -> str:
+    return "(" + " OR ".join(f"startswith(lower({flat}), '{p}')" for p in starts) + ")"
 
 
-def is_summary_header(line: Column) -> Column:
-    flat = F.lower(squash(line))
-    return flat.startswith(SUMMARY_HEADS[0]) | flat.startswith(SUMMARY_HEADS[1])
+def gender_of(flat: str) -> str:
+    return f"CASE lower({flat}) WHEN 'men' THEN 'Men' WHEN 'women' THEN 'Women' END"
 
 
-def gender_of(line: Column) -> Column:
-    flat = F.lower(squash(line))
-    return F.when(flat == "men", F.lit("Men")).when(flat == "women", F.lit("Women"))
+# ---- logical lines with their state -----------------------------------------------------------
 
+def _result_line(line: str, section: str, gender: str = "CAST(NULL AS string)") -> str:
+    return (f"named_struct('line', {line}, 'weight_class', {section}.weight_class, 'division', {section}.division, "
+            f"'gender', {gender})")
+
+
+def _marked(lines: str, look) -> str:
+    """Each line with its marks, computed from the squashed line."""
+    return each(lines, lambda line: let(squash_sql(line), lambda flat: look(line, flat)))
 
-# ---- logical lines with their state -----------------------------------------------------------
 
-def _result_line(line: Column, section: Column, gender: Column | None = None) -> Column:
-    return F.struct(line.alias("line"), section["weight_class"].alias("weight_class"),
-                    section["division"].alias("division"),
-                    (F.lit(None).cast("string") if gender is None else gender).alias("gender"))
+def _carry(items: str, opens, fields: dict[str, str]) -> str:
+    """carry_forward where each new field is taken from the head (``h``) or the item (``x``)."""
+    def attach(head: str, x: str) -> str:
+        return "named_struct(" + ", ".join(
+            f"'{n}', {rule.format(h=head, x=x)}" for n, rule in fields.items()) + ")"
+    return carry_forward(items, opens, attach)
 
 
-def _lines_with_section(lines: Column, section_of, keep) -> Column:
-    """Attach the running section to each line, then drop headings and lines that ``keep`` refuses."""
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), section_of(x).alias("section")))
-    held = carry_forward(marked, lambda x: x["section"].isNotNull(),
-                         lambda head, x: F.struct(x["line"], x["section"].alias("own"),
-                                                  head["section"].alias("section")))
-    return F.transform(F.filter(held, lambda x: x["own"].isNull() & keep(x)),
-                       lambda x: _result_line(x["line"], x["section"]))
+def _lines_with_section(text: str, section_of, skip) -> str:
+    """Attach the running section to each line, then drop headings and lines that are no candidates."""
+    marked = _marked(lines_sql(text), lambda line, flat: (
+        f"named_struct('line', {line}, 'section', {section_of(flat)}, 'skip', {skip(flat)})"))
+    held = _carry(marked, lambda x: f"{x}.section IS NOT NULL", {
+        "line": "{x}.line", "section": "{h}.section", "skip": "{x}.skip OR {x}.section IS NOT NULL"})
+    return each(keep(held, lambda x: f"NOT {x}.skip"), lambda x: _result_line(f"{x}.line", f"{x}.section"))
 
 
-def lines_layout_1(text: Column) -> Column:
-    return _lines_with_section(split_lines(text), section_first_layout,
-                               lambda x: x["section"].isNotNull() & x["line"].rlike(ROW_START))
+def lines_layout_1(text: str) -> str:
+    found = _lines_with_section(text, section_first_layout, lambda flat: f"NOT {flat} RLIKE r'{ROW_START}'")
+    return keep(found, lambda x: f"{x}.weight_class IS NOT NULL")
 
 
-def lines_layout_4(text: Column) -> Column:
-    return _lines_with_section(split_lines(text), section_division_first,
-                               lambda x: ~is_column_header(x["line"], 4))
+def lines_layout_4(text: str) -> str:
+    return _lines_with_section(text, section_division_first, lambda flat: is_column_header(flat, 4))
 
 
-def join_wrapped(lines: Column) -> Column:
+def join_wrapped(lines: str) -> str:
     """Rejoin rows broken over several lines.
 
     A block opens at a row start or a section heading. A block opened by a row start absorbs its
     following lines up to the first one by which the joined row shows a birth date (at least one, when
     there is one); what is left of the block stands alone.
     """
-    def look(line: Column) -> Column:
-        start = line.rlike(r"^(?:\d+|-) \S")
-        return F.struct(line.alias("line"), start.alias("start"),
-                        (~start & section_either_order(line).isNotNull()).alias("section"),
-                        line.rlike(DATE_TOKEN).alias("dated"))
-
-    def rejoin(block: Column) -> Column:
-        head, extra = F.get(block, 0), F.size(block) - 1
-        first_dated = F.array_min(F.transform(block, lambda x, i: F.when(x["dated"] & (i > 0), i)))
-        last = F.when(head["dated"], F.least(F.lit(1), extra)).otherwise(F.coalesce(first_dated, extra))
-        texts = F.transform(block, lambda x: x["line"])
-        joined = let(last, lambda n: F.concat(
-            F.array(F.array_join(F.slice(texts, 1, n + 1), " ")), F.slice(texts, n + 2, extra - n + 1)))
-        return F.when(head["start"], joined).otherwise(texts)
-
-    flat = F.filter(F.transform(lines, squash), lambda x: x != "")
-    return blocks(F.transform(flat, look), lambda x: x["start"] | x["section"], rejoin)
-
-
-def lines_layout_2(text: Column) -> Column:
-    def mark(line: Column) -> Column:
-        header = is_column_header(line, 2)
-        summary = ~header & starts_summary(line)
-        heading = ~header & ~summary & is_summary_header(line)
-        section = F.when(~header & ~summary & ~heading, section_either_order(line))
-        return F.struct(line.alias("line"), section.alias("section"), summary.alias("summary"),
-                        (header | summary | heading | section.isNotNull()).alias("skip"))
-
-    marked = F.transform(join_wrapped(split_lines(text)), mark)
-    muted = carry_forward(
-        marked, lambda x: x["summary"] | x["section"].isNotNull(),
-        lambda head, x: F.struct(x["line"], x["section"], (x["skip"] | head["summary"]).alias("skip")))
-    held = carry_forward(
-        muted, lambda x: x["section"].isNotNull(),
-        lambda head, x: F.struct(x["line"], head["section"].alias("section"), x["skip"]))
-
-    def finish(x: Column) -> Column:
-        own = group(x["line"], INLINE_CLASS, 1)
-        section = F.struct(F.coalesce(own, x["section"]["weight_class"]).alias("weight_class"),
-                           x["section"]["division"].alias("division"))
-        return _result_line(x["line"], section)
-
-    return F.transform(F.filter(held, lambda x: ~x["skip"]), finish)
-
-
-def lines_layout_3(text: Column) -> Column:
-    def mark(line: Column) -> Column:
-        gender = gender_of(line)
-        summary = gender.isNull() & starts_summary(line)
-        section = F.when(gender.isNull() & ~summary, section_division_first(line))
-        return F.struct(line.alias("line"), gender.alias("gender"), section.alias("section"),
-                        summary.alias("summary"),
-                        (gender.isNotNull() | summary | section.isNotNull()
-                         | is_column_header(line, 3)).alias("skip"))
-
-    def states(marked: Column) -> Column:
-        default = F.when(~F.exists(marked, lambda x: x["gender"].isNotNull()), F.lit("Men"))
-        muted = carry_forward(
-            marked, lambda x: x["summary"] | x["section"].isNotNull() | x["gender"].isNotNull(),
-            lambda head, x: F.struct(x["line"], x["gender"], x["section"],
-                                     (x["skip"] | head["summary"]).alias("skip")))
-        gendered = carry_forward(
-            muted, lambda x: x["gender"].isNotNull(),
-            lambda head, x: F.struct(x["line"], head["gender"].alias("gender"), x["section"], x["skip"]))
-        held = carry_forward(
-            gendered, lambda x: x["section"].isNotNull(),
-            lambda head, x: F.struct(x["line"], x["gender"], head["section"].alias("section"), x["skip"]))
-        return let(default, lambda men: F.transform(
-            F.filter(held, lambda x: ~x["skip"] & (F.coalesce(x["gender"], men) == "Men")),
-            lambda x: _result_line(x["line"], x["section"], F.lit("Men"))))
-
-    return let(F.transform(split_lines(text), mark), states)
+    def look(flat: str) -> str:
+        start = f"{flat} RLIKE r'{FLAT_START}'"
+        return (f"named_struct('line', {flat}, 'start', {start}, 'opens', {start} OR ({section_either_order(flat)}) "
+                f"IS NOT NULL, 'dated', {flat} RLIKE r'{DATE_TOKEN}')")
+
+    def rejoin(block: str) -> str:
+        head, extra = f"get({block}, 0)", f"size({block}) - 1"
+        dated = first_index(block, lambda x, i: f"{i} > 0 AND {x}.dated")
+        last = f"CASE WHEN {head}.dated THEN least(1, {extra}) ELSE coalesce({dated}, {extra}) END"
+        texts = f"transform({block}, b -> b.line)"
+        joined = let(last, lambda n: (
+            f"concat(array(array_join(slice({texts}, 1, {n} + 1), ' ')), slice({texts}, {n} + 2, {extra} - {n} + 1))"))
+        return f"CASE WHEN {head}.start AND {extra} > 0 THEN {joined} ELSE {texts} END"
+
+    flat = keep(each(lines, squash_sql), lambda x: f"{x} <> ''")
+    return blocks(each(flat, look), lambda x: f"{x}.opens", rejoin)
+
+
+def lines_layout_2(text: str) -> str:
+    def look(flat: str) -> str:
+        header, summary, heading = is_column_header(flat, 2), _starts(flat, SUMMARY_STARTS), _starts(flat, SUMMARY_HEADS)
+        return let(f"CASE WHEN {header} THEN 'header' WHEN {summary} THEN 'summary' WHEN {heading} THEN 'header' END",
+                   lambda kind: let(f"CASE WHEN {kind} IS NULL THEN {section_either_order(flat)} END", lambda section: (
+                       f"named_struct('line', {flat}, 'section', {section}, 'summary', coalesce({kind} = 'summary', false), "
+                       f"'skip', {kind} IS NOT NULL OR {section} IS NOT NULL)")))
+
+    muted = _carry(each(join_wrapped(lines_sql(text)), look), lambda x: f"{x}.summary OR {x}.section IS NOT NULL", {
+        "line": "{x}.line", "section": "{x}.section", "skip": "{x}.skip OR {h}.summary"})
+    held = _carry(muted, lambda x: f"{x}.section IS NOT NULL", {
+        "line": "{x}.line", "section": "{h}.section", "skip": "{x}.skip"})
+
+    def finish(x: str) -> str:
+        line = f"{x}.line"
+        own = (f"CASE WHEN contains(lower({line}), 'kg') AND {line} RLIKE r'{INLINE_CLASS}' THEN "
+               f"regexp_extract({line}, r'{INLINE_CLASS}', 1) ELSE {x}.section.weight_class END")
+        return (f"named_struct('line', {line}, 'weight_class', {own}, 'division', {x}.section.division, "
+                "'gender', CAST(NULL AS string))")
+
+    return each(keep(held, lambda x: f"NOT {x}.skip"), finish)
+
+
+def lines_layout_3(text: str) -> str:
+    def look(line: str, flat: str) -> str:
+        return let(gender_of(flat), lambda gender: let(
+            f"{gender} IS NULL AND {_starts(flat, SUMMARY_STARTS)}", lambda summary: let(
+                f"CASE WHEN {gender} IS NULL AND NOT {summary} THEN {section_division_first(flat)} END", lambda section: (
+                    f"named_struct('line', {line}, 'gender', {gender}, 'section', {section}, 'summary', {summary}, 'skip', "
+                    f"{gender} IS NOT NULL OR {summary} OR {section} IS NOT NULL OR {is_column_header(flat, 3)})"))))
+
+    def states(marked: str) -> str:
+        muted = _carry(marked, lambda x: f"{x}.summary OR {x}.section IS NOT NULL OR {x}.gender IS NOT NULL", {
+            "line": "{x}.line", "gender": "{x}.gender", "section": "{x}.section", "skip": "{x}.skip OR {h}.summary"})
+        gendered = _carry(muted, lambda x: f"{x}.gender IS NOT NULL", {
+            "line": "{x}.line", "gender": "{h}.gender", "section": "{x}.section", "skip": "{x}.skip"})
+        held = _carry(gendered, lambda x: f"{x}.section IS NOT NULL", {
+            "line": "{x}.line", "gender": "{x}.gender", "section": "{h}.section", "skip": "{x}.skip"})
+        # without any gender heading the whole sheet counts as men's
+        default = f"CASE WHEN NOT exists({marked}, m -> m.gender IS NOT NULL) THEN 'Men' END"
+        return let(default, lambda men: each(
+            keep(held, lambda x: f"NOT {x}.skip AND coalesce({x}.gender, {men}) = 'Men'"),
+            lambda x: _result_line(f"{x}.line", f"{x}.section", "'Men'")))
+
+    return let(_marked(lines_sql(text), look), states)
 
 
 _LINES = {"FORMAT1": lines_layout_1, "FORMAT2": lines_layout_2,
@@ -257,17 +259,16 @@ _LINES = {"FORMAT1": lines_layout_1, "FORMAT2": lines_layout_2,
 
 def detect_sheets(sheets: DataFrame, text: str = "text") -> DataFrame:
     """Add ``detected_format``; a null text (unreadable source) is UNKNOWN."""
-    label = F.coalesce(sheet_format(F.col(text)), F.lit("UNKNOWN"))
-    return sheets.select("*", F.explode(F.array(label)).alias("detected_format"))
+    return sheets.select("*", F.expr(f"explode(array(coalesce({sheet_format(f'`{text}`')}, 'UNKNOWN')))").alias(
+        "detected_format"))
 
 
 def result_lines(sheets: DataFrame, source: str = "source_file", text: str = "text") -> DataFrame:
     """Candidate result lines with section, gender and position, straight from the sheet row."""
     found = detect_sheets(sheets.select(source, text), text)
-    lines = F.lit(None).cast(f"array<{_LINE}>")
-    for name in FORMATS:
-        lines = F.when(F.col("detected_format") == name, _LINES[name](F.col(text))).otherwise(lines)
-    return (found.select(F.col(source).alias("source_file"), "detected_format", F.posexplode(lines).alias(
+    by_layout = " ".join(f"WHEN '{n}' THEN {rule(f'`{text}`')}" for n, rule in _LINES.items())
+    lines = f"CAST(CASE detected_format {by_layout} END AS array<{_LINE}>)"
+    return (found.select(F.col(source).alias("source_file"), "detected_format", F.expr(f"posexplode({lines})").alias(
         "line_no", "item")).select("source_file", "detected_format", "line_no", "item.*"))
 
 
@@ -278,8 +279,8 @@ def parse_sheets(sheets: DataFrame, source: str = "source_file", text: str = "te
     the later layouts skip unreadable lines and report INCOMPLETE rows as such.
     """
     found = result_lines(sheets, source, text)
-    outcome = parse_row(F.col("detected_format"), F.col("line"))
-    rows = found.select("*", F.explode(outcome).alias("row"))
+    row = parse_row_sql("detected_format", "line")
+    rows = found.select("*", F.expr(f"explode(filter(array({row}), r -> r IS NOT NULL))").alias("row"))
     return rows.select(
         "source_file", "detected_format", "line_no",
         F.when(F.col("row.status") == "REVIEW", F.lit("REVIEW"))
