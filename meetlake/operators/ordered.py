@@ -82,17 +82,28 @@ def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                       small: int = 100_000, accuracy: int = 100_000) -> DataFrame:
-    """Linearly interpolated percentiles per column, exact at any size: rows of (name, prob, value).
+    """Linearly interpolated percentiles per column, exact at any size: rows of (name, prob, value)."""
+    known = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "name", "v")
+    # one bracket row per listed column, so the broadcast side is bounded by the column list
+    return _percentiles(known, probs, small, accuracy, F.broadcast)
 
-    A mergeable sketch first brackets each percentile; only values inside the bracket are then counted
-    per distinct value and walked in order. The bracket is a bounded share of the rows (all rows when
-    a column has at most ``small`` values), so no task ever sorts a whole column.
+
+def group_percentiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
+                      small: int = 100_000, accuracy: int = 100_000) -> DataFrame:
+    """The same per value of a group column: rows of (name, prob, value)."""
+    known = df.select(F.col(group).alias("name"), F.col(value).cast("double").alias("v"))
+    return _percentiles(known, probs, small, accuracy, lambda side: side)
+
+
+def _percentiles(values: DataFrame, probs: Sequence[float], small: int, accuracy: int, side) -> DataFrame:
+    """A mergeable sketch first brackets each percentile; only values inside the bracket are then counted
+    per distinct value and walked in order. The bracket is a bounded share of the rows (all rows when a
+    name has at most ``small`` values), so no task ever sorts a whole column.
     """
+    known = values.where("v IS NOT NULL")
     margin = 5.0 / accuracy
     low = [max(0.0, p - margin) for p in probs]
     high = [min(1.0, p + margin) for p in probs]
-    known = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "name", "v").where("v IS NOT NULL")
     sketch = known.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
         F.percentile_approx("v", low, accuracy).alias("lows"),
@@ -102,9 +113,8 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
         "name", "n", "i", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1).alias("prob"),
         F.when(F.col("n") <= small, F.col("lowest")).otherwise(F.col("b.lows")).alias("lo"),
         F.when(F.col("n") <= small, F.col("highest")).otherwise(F.col("b.highs")).alias("hi"))
-    # one row per listed column, so the broadcast side is bounded by the column list
     per_name = bracket.groupBy("name").agg(F.collect_list(F.struct("i", "prob", "n", "lo", "hi")).alias("brackets"))
-    tagged = known.join(F.broadcast(per_name), "name").select("name", "v", F.explode("brackets").alias("b")).select(
+    tagged = known.join(side(per_name), "name").select("name", "v", F.explode("brackets").alias("b")).select(
         "name", F.col("b.i").alias("i"), F.col("b.prob").alias("prob"), F.col("b.n").alias("n"),
         F.when(F.col("v") < F.col("b.lo"), F.lit(None)).otherwise(F.col("v")).alias("v"),
         (F.col("v") > F.col("b.hi")).alias("above")).where("NOT above")
