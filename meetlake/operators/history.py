@@ -73,31 +73,34 @@ def target_complete(target: str = "target") -> Column:
 def leakage_audit(results: DataFrame, athlete: str = "athlete_id", tie: str = "seq") -> DataFrame:
     """Counters over the examples of ``results``; all zero means the history is clean.
 
-    Earliest appearances per (athlete, signature) and per (athlete, year, competition) are plain
-    aggregates, so no athlete's rows are ever gathered.
+    The rows are counted once per (athlete, year, competition, signature); every counter follows from
+    sums and minima over those counts, so no athlete's rows are ever gathered. The ordering by year and
+    competition holds by construction, hence the two constant zeros.
     """
     rows = checked_history_keys(results, athlete)
-    order = F.struct("year", "competition", tie)
-    first = rows.groupBy(athlete).agg(F.min(order).alias("first_row"))
-    meets = rows.groupBy(athlete, "year", "competition").agg(F.count(F.lit(1)).alias("same_meet"))
-    sign = [F.col(t).alias(f"s_{t}") for t in TARGETS]
-    marks = rows.groupBy(F.col(athlete).alias("s_athlete"), *sign).agg(
-        F.min(F.struct("year", "competition")).alias("first_mark"))
+    counted = rows.groupBy(athlete, "year", "competition", *TARGETS).agg(F.count(F.lit(1)).alias("n"))
+    here = F.struct("year", "competition")
+
+    meets = counted.groupBy(athlete, "year", "competition").agg(F.sum("n").alias("n"))
+    per_athlete = meets.groupBy(athlete).agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("crowded"),
+        (F.min_by("n", here) > 1).cast("int").alias("first_crowded"))
+    sums = per_athlete.agg(
+        F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("total_examples"),
+        F.coalesce(F.sum(F.col("crowded") - F.col("first_crowded")), F.lit(0)).alias("examples_with_target_in_history"))
+
+    first = counted.groupBy(F.col(athlete).alias("s_athlete"), *[F.col(t).alias(f"s_{t}") for t in TARGETS]).agg(
+        F.min(here).alias("first_mark"), F.count(F.lit(1)).alias("meets")).where("meets > 1")
     same = F.col(athlete) == F.col("s_athlete")
     for t in TARGETS:
         same = same & F.col(t).eqNullSafe(F.col(f"s_{t}"))
-    slim = rows.select(athlete, "year", "competition", tie, *TARGETS)
-    judged = (slim.join(first, athlete).where(order > F.col("first_row")).drop("first_row")
-              .join(meets, [athlete, "year", "competition"]).join(marks, same))
-    unique = F.col("same_meet") == 1
-    here = F.struct("year", "competition")
-    return judged.agg(
-        F.count(F.lit(1)).alias("total_examples"),
-        F.count_if(~unique).alias("examples_with_target_in_history"),
-        F.lit(0).cast("bigint").alias("examples_with_future_year_in_history"),
-        F.count_if(unique & (F.col("first_mark") < here)).alias("examples_with_target_values_in_history"),
-        F.lit(0).cast("bigint").alias("athlete_ordering_violations"),
-    ).withColumn("passed", (F.col("examples_with_target_in_history")
-                            + F.col("examples_with_future_year_in_history")
-                            + F.col("examples_with_target_values_in_history")
-                            + F.col("athlete_ordering_violations")) == 0)
+    repeated = counted.join(first, same).where(here > F.col("first_mark")).select(athlete, "year", "competition")
+    # a result counts when it is its athlete's only one at that meet
+    alone = meets.where("n = 1").select(athlete, "year", "competition")
+    repeats = repeated.join(alone, [athlete, "year", "competition"], "left_semi").agg(
+        F.count(F.lit(1)).alias("examples_with_target_values_in_history"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1)
+    return sums.withColumn("one", one).join(repeats.withColumn("one", one), "one").select(
+        "total_examples", "examples_with_target_in_history", zero.alias("examples_with_future_year_in_history"),
+        "examples_with_target_values_in_history", zero.alias("athlete_ordering_violations"),
+        (F.col("examples_with_target_in_history") + F.col("examples_with_target_values_in_history") == 0).alias("passed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meetlake.functions.arrays import let
+from meetlake.functions.arrays import known, let
 from meetlake.functions.numbers import STEP, plate_ceil, plate_floor, plate_round
 from meetlake.schema import LIFTS
 
@@ -85,22 +85,18 @@ def attempt_plan(athletes: DataFrame, target: str = "target_total", strategy: st
     start = {k: F.least(F.col(f"{k}_cap"), F.greatest(F.col(f"{k}_second"), plate_round(F.col(f"{k}_wish")))) for k in LIFTS}
     base = base.withColumns({f"{k}_start": c for k, c in start.items()})
 
-    def step(state: Column, _: Column) -> Column:
-        def choose(order: Column) -> Column:
-            # candidates as (open share, present value, minus position): the largest one takes the step
-            pick = F.array_max(F.filter(order, lambda x: x.isNotNull()))
-            return let(pick, lambda p: F.struct(*[
-                (state[k] + F.when(p["at"] == -i, STEP).otherwise(0.0)).alias(k) for i, k in enumerate(LIFTS)]))
-        may = F.array(*[F.when(state[k] + STEP <= F.col(f"{k}_cap") + 1e-9, F.struct(
-            (F.col(f"{k}_wish") - state[k]).alias("open"), F.col(f"{k}_now").alias("now"), F.lit(-i).alias("at")))
-            for i, k in enumerate(LIFTS)])
-        room = F.col("target_rounded") - (state["squat"] + state["bench"] + state["deadlift"])
-        return F.when(room >= STEP, F.coalesce(choose(may), state)).otherwise(state)
-
-    slack = sum(F.col(f"{k}_cap") - F.col(f"{k}_start") for k in LIFTS)
-    steps = F.sequence(F.lit(0), F.ceil(slack / STEP).cast("int"))
-    first = F.struct(*[F.col(f"{k}_start").alias(k) for k in LIFTS])
-    done = base.withColumn("_third", F.explode(F.array(F.aggregate(steps, first, step))))
+    # candidates as (open share, present value, minus position): the largest one takes the step
+    open_lifts = ", ".join(
+        f"CASE WHEN s.{k} + {STEP}D <= {k}_cap + 1e-9D THEN named_struct('open', {k}_wish - s.{k}, 'now', {k}_now, 'at', {-i}) END"
+        for i, k in enumerate(LIFTS))
+    raised = ", ".join(f"'{k}', s.{k} + IF(p.at = {-i}, {STEP}D, 0D)" for i, k in enumerate(LIFTS))
+    step = let(f"array_max({known(f'array({open_lifts})')})",
+               lambda p: f"CASE WHEN {p} IS NULL THEN s ELSE named_struct({raised.replace('p.at', p + '.at')}) END")
+    slack = " + ".join(f"{k}_cap - {k}_start" for k in LIFTS)
+    start = ", ".join(f"'{k}', {k}_start" for k in LIFTS)
+    walk = (f"aggregate(sequence(0, CAST(ceil(({slack}) / {STEP}D) AS int)), named_struct({start}), (s, n) -> "
+            f"CASE WHEN target_rounded - (s.squat + s.bench + s.deadlift) >= {STEP}D THEN {step} ELSE s END)")
+    done = base.select("*", F.expr(f"explode(array({walk}))").alias("_third"))
 
     def reason(k: str) -> Column:
         third = F.col(f"_third.{k}")

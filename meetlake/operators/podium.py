@@ -24,22 +24,29 @@ TIER_WORDS = {"national": "national", "international": "international|world|asia
 SPARE = 6  # a podium takes at most three values and skips at most three
 
 
-def top_totals(results: DataFrame, keys: Sequence[str] = FIELD, n: int = SPARE) -> DataFrame:
-    """Highest n distinct totals per key; the rank limit also runs before the shuffle."""
+def _highest(distinct: DataFrame, keys: Sequence[str], n: int = SPARE) -> DataFrame:
+    """Highest n of distinct totals per key; the rank limit also runs before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("total").desc()))
-    distinct = results.where("total IS NOT NULL").select(*keys, "total").distinct()
-    return distinct.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    return distinct.where("total IS NOT NULL").withColumn("_rank", rank).where(F.col("_rank") <= n).select(*keys, "total")
+
+
+def top_totals(rows: DataFrame, keys: Sequence[str] = FIELD, n: int = SPARE) -> DataFrame:
+    """Highest n distinct totals per key."""
+    return _highest(rows.select(*keys, "total").distinct(), keys, n)
 
 
 def field_table(results: DataFrame) -> DataFrame:
     """Per field key: records, best total of each of the first three places, highest distinct totals.
 
-    All podium questions read this table; its size follows the number of fields, not of results.
+    All podium questions read this table; its size follows the number of fields, not of results. Both
+    parts come from one grouping by field and total.
     """
-    sums = results.groupBy(*FIELD).agg(
-        F.count(F.lit(1)).alias("records"),
-        *[F.max(F.when(F.col("place") == k, F.col("total"))).alias(f"place_{k}") for k in (1, 2, 3)])
-    highest = top_totals(results).groupBy(*FIELD).agg(F.collect_list("total").alias("totals"))
+    per_total = results.groupBy(*FIELD, "total").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("place") == k).alias(f"n_{k}") for k in (1, 2, 3)])
+    sums = per_total.groupBy(*FIELD).agg(
+        F.sum("n").alias("records"),
+        *[F.max(F.when(F.col(f"n_{k}") > 0, F.col("total"))).alias(f"place_{k}") for k in (1, 2, 3)])
+    highest = _highest(per_total, FIELD).groupBy(*FIELD).agg(F.collect_list("total").alias("totals"))
     return sums.join(highest, list(FIELD), "left")
 
 

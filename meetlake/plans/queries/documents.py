@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meetlake.operators import documents as DC
 from meetlake.operators import pages as PG
 from meetlake.plans.registry import query
-from meetlake.plans.tables import table
+from meetlake.plans.tables import texts
 
 BASE = "https://archive.example"
 TERMS = DC.ContentTerms(subject=(" the ", " de "), section=r"\b(an|re)\s*-\s*\d+", squat=("tion", " la "),
@@ -42,13 +42,13 @@ judged AS (
 
 @query("content_class", f"WITH {CONTENT_SQL} SELECT * FROM judged")
 def content_class(spark, d):
-    return DC.content_class(table(spark, d, "documents").select("doc_id", "text"), terms=TERMS).drop("text")
+    return DC.content_class(texts(spark, d, "documents").select("doc_id", "text"), terms=TERMS).drop("text")
 
 
 @query("content_status_counts", f"WITH {CONTENT_SQL} SELECT content_status, count(*) AS sources FROM judged "
        "WHERE content_status IN ('VALID', 'REVIEW') GROUP BY 1")
 def content_status_counts(spark, d):
-    judged = DC.content_class(table(spark, d, "documents").select("doc_id", "text"), terms=TERMS)
+    judged = DC.content_class(texts(spark, d, "documents").select("doc_id", "text"), terms=TERMS)
     return DC.status_counts(DC.keep_status(judged, ("VALID", "REVIEW")))
 
 
@@ -56,7 +56,7 @@ def content_status_counts(spark, d):
 SELECT doc_id, contains(lower(text), 'tion') AND NOT (contains(lower(text), 'shsh') OR contains(lower(text), 'oioi')
   OR contains(lower(text), 'bench press')) AS wanted FROM documents""")
 def keyword_filter(spark, d):
-    return PG.keyword_flags(table(spark, d, "documents"), "text", "tion", ("shsh", "oioi", "bench press")).select(
+    return PG.keyword_flags(texts(spark, d, "documents"), "text", "tion", ("shsh", "oioi", "bench press")).select(
         "doc_id", "wanted")
 
 
@@ -84,7 +84,7 @@ profiles AS (
 
 
 def profiles(spark, d):
-    return DC.format_profile(table(spark, d, "documents").select("doc_id", "text"), terms=FORMATS).drop(
+    return DC.format_profile(texts(spark, d, "documents").select("doc_id", "text"), terms=FORMATS).drop(
         "text", "header_examples")
 
 
@@ -104,14 +104,14 @@ def format_signature(spark, d):
 SELECT doc_id, 'SUCCESS' AS extraction_status, CAST(len(string_split(text, chr(10))) AS INTEGER) AS pages,
   CAST(length(text) AS INTEGER) AS characters FROM documents""")
 def extraction_facts(spark, d):
-    return DC.extraction_facts(table(spark, d, "documents").select("doc_id", "text"), page_break="\n")
+    return DC.extraction_facts(texts(spark, d, "documents").select("doc_id", "text"), page_break="\n")
 
 
 @query("file_facts", """
 SELECT page_id, CAST(octet_length(encode(html)) AS INTEGER) AS size_bytes, sha256(html) AS sha256,
   CASE WHEN html LIKE '%PDF%' AND left(html, 4) = '%PDF' THEN 'VALID' ELSE 'INVALID' END AS file_status FROM pages""")
 def file_facts(spark, d):
-    raw = table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    raw = texts(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
     return DC.file_facts(raw)
 
 
@@ -129,16 +129,16 @@ links AS (
 SELECT page_id, url, arg_max(label, position) AS label FROM links
 WHERE regexp_full_match(label, '[a-z]{{4}}') GROUP BY page_id, url""")
 def year_links(spark, d):
-    return PG.labelled_links(table(spark, d, "pages"), BASE, r"^[a-z]{4}$")
+    return PG.labelled_links(texts(spark, d, "pages"), BASE, r"^[a-z]{4}$")
 
 
 @query("men_links")
 def men_links(spark, d):
-    return PG.competition_blocks(table(spark, d, "pages"), BASE, "the", "the", "the", ("shsh",))
+    return PG.competition_blocks(texts(spark, d, "pages"), BASE, "the", "the", "the", ("shsh",))
 
 
 @query("source_rows")
 def source_rows(spark, d):
-    pages = table(spark, d, "pages")
+    pages = texts(spark, d, "pages")
     blocks = PG.competition_blocks(pages, BASE, "the", "the", "the", ("shsh",))
     return PG.source_rows(PG.labelled_links(pages, BASE, r"^[a-z]{4}$"), blocks)

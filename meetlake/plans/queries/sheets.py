@@ -8,7 +8,7 @@ from meetlake.operators import sheets as SH
 from meetlake.plans.queries.quality import WITH
 from meetlake.plans.registry import query
 from meetlake.plans.sheet_text import sheet_manifest, sheet_texts
-from meetlake.plans.tables import meet_results, table
+from meetlake.plans.tables import meet_results, table, texts
 from meetlake.schema import BESTS, LIFT_BLOCK, MEASURES
 from meetlake.session import pinned
 
@@ -150,4 +150,4 @@ def validation_issues(spark, d):
 
 @query("document_formats", "SELECT doc_id, 'UNKNOWN' AS detected_format FROM documents")
 def document_formats(spark, d):
-    return SH.detect_sheets(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    return SH.detect_sheets(texts(spark, d, "documents").select("doc_id", "text")).drop("text")

@@ -6,11 +6,12 @@ lift, the line number the attempt. The SQL text states the same rules for the or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meetlake.functions.text import athlete_id, equipment_of, weight_class_of
+from meetlake.functions.text import equipment_of, weight_class_of
 from meetlake.schema import LIFTS, RESULT_SCHEMA
+from meetlake.session import spread
 
 # fixed values: return flag of each lift
 FLAG = {"squat": "A", "bench": "N", "deadlift": "R"}
@@ -20,78 +21,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _kg(price: Column) -> Column:
-    return F.floor(price / 500) * 2.5
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with long texts, spread over the cores when it comes in few files."""
+    return spread(table(spark, sf_dir, name))
 
 
-def meet_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with lines; ``seq`` is the filing order."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    aggs = [(F.avg("l_quantity") * 2 + 45).alias("bodyweight"), F.min("l_linenumber").alias("first_line")]
+def _line_facts() -> list[str]:
+    """Per-order aggregates over the lines: best price of each lift and of each attempt."""
+    out = ["avg(l_quantity) * 2 + 45 AS bodyweight", "min(l_linenumber) AS first_line"]
     for lift, flag in FLAG.items():
-        mine = F.col("l_returnflag") == flag
-        aggs.append(F.max(F.when(mine, F.col("l_extendedprice"))).alias(f"{lift}_price"))
+        out.append(f"max(CASE WHEN l_returnflag = '{flag}' THEN l_extendedprice END) AS {lift}_price")
         for k in (1, 2, 3):
-            this = mine & ((F.col("l_linenumber") - 1) % 3 + 1 == k)
-            aggs.append(F.max(F.when(this, F.col("l_extendedprice"))).alias(f"{lift}_{k}_price"))
-            aggs.append(F.max(F.when(this, F.col("l_discount"))).alias(f"{lift}_{k}_cut"))
-    joined = lines.groupBy("l_orderkey").agg(*aggs).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return _as_results(joined)
-
-
-def _as_results(joined: DataFrame) -> DataFrame:
-    c, key, cust = F.col, F.col("o_orderkey"), F.col("o_custkey")
-    name = F.concat(F.lit("CUSTOMER#"), F.lpad(cust.cast("string"), 9, "0"))
-    tier = F.element_at(F.array(F.lit("State"), F.lit("National"), F.lit("International")), (key % 3 + 1).cast("int"))
-    style = F.when(c("o_orderstatus") == "F", "Classic ").when(c("o_orderstatus") == "O", "Equipped ").otherwise("")
-    meet = F.concat(tier, F.lit(" "), style, F.lit("Meet "), F.year("o_orderdate").cast("string"),
-                    F.lit(" Q"), F.quarter("o_orderdate").cast("string"))
-    born = F.concat_ws("-", F.lpad((cust % 28 + 1).cast("string"), 2, "0"),
-                       F.lpad((cust % 12 + 1).cast("string"), 2, "0"),
-                       (cust % 30 + 1970 + (key % 8 == 1).cast("int")).cast("string"))
-    division = F.when(c("o_orderpriority") == "1-URGENT", "Open").when(c("o_orderpriority") == "2-HIGH", "Junior") \
-        .when(c("o_orderpriority") == "3-MEDIUM", "Sub Junior") \
-        .when(c("o_orderpriority") == "4-NOT SPECIFIED", "Master 1").otherwise("Master 2")
-    cols = {
-        "seq": key, "athlete_name": name, "athlete_id": athlete_id(name),
-        "resolved_athlete_id": F.lit(None).cast("string"), "identity_confidence": F.lit("CANDIDATE"),
-        "competition": meet, "year": F.year("o_orderdate"), "division": division,
-        "weight_class": weight_class_of(c("bodyweight")), "equipment": equipment_of(meet),
-        "date_of_birth": F.when(key % 4 != 0, born),
-        "team": F.when(cust % 3 == 0, "T N").when(cust % 3 == 1, "J & K").otherwise("KAR"),
-        "lot": (key % 200 + 1).cast("string"), "bodyweight": c("bodyweight"),
+            this = f"l_returnflag = '{flag}' AND (l_linenumber - 1) % 3 + 1 = {k}"
+            out.append(f"max(CASE WHEN {this} THEN l_extendedprice END) AS {lift}_{k}_price")
+            out.append(f"max(CASE WHEN {this} THEN l_discount END) AS {lift}_{k}_cut")
+    return out
+
+
+def _kg(price: str) -> str:
+    return f"floor({price} / 500) * 2.5D"
+
+
+def _result_columns() -> dict[str, str]:
+    """Canonical columns of an order joined to its line facts; meet name and athlete are computed before."""
+    name = "concat('CUSTOMER#', lpad(CAST(o_custkey AS string), 9, '0'))"
+    born = ("concat_ws('-', lpad(CAST(o_custkey % 28 + 1 AS string), 2, '0'), lpad(CAST(o_custkey % 12 + 1 AS string), 2, '0'), "
+            "CAST(o_custkey % 30 + 1970 + IF(o_orderkey % 8 = 1, 1, 0) AS string))")
+    out = {
+        "athlete_id": f"concat('ATH-', substring(sha2({name}, 256), 1, 16))", "athlete_name": name,
+        "resolved_athlete_id": "CAST(NULL AS string)", "identity_confidence": "'CANDIDATE'",
+        "competition": "meet", "year": "year(o_orderdate)",
+        "division": "CASE o_orderpriority WHEN '1-URGENT' THEN 'Open' WHEN '2-HIGH' THEN 'Junior' "
+                    "WHEN '3-MEDIUM' THEN 'Sub Junior' WHEN '4-NOT SPECIFIED' THEN 'Master 1' ELSE 'Master 2' END",
+        "date_of_birth": f"CASE WHEN o_orderkey % 4 <> 0 THEN {born} END",
+        "team": "CASE o_custkey % 3 WHEN 0 THEN 'T N' WHEN 1 THEN 'J & K' ELSE 'KAR' END",
+        "lot": "CAST(o_orderkey % 200 + 1 AS string)", "bodyweight": "bodyweight",
     }
     for lift in LIFTS:
         for k in (1, 2, 3):
-            kg = _kg(c(f"{lift}_{k}_price"))
-            cols[f"{lift}_{k}"] = F.when(c(f"{lift}_{k}_cut") >= 0.08, F.lit(0.0) - kg).otherwise(kg)
-        cols[f"best_{lift}"] = _kg(c(f"{lift}_price"))
-    summed = cols["best_squat"] + cols["best_bench"] + cols["best_deadlift"]
-    cols["total"] = F.when(c("o_orderstatus") == "P", _kg(c("o_totalprice"))).otherwise(summed)
-    cols["place"] = F.when(cols["total"].isNotNull(), c("first_line"))
-    return joined.select(c("o_orderkey").alias("seq"), *[cols[n].alias(n) for n in RESULT_SCHEMA.names])
+            kg = _kg(f"{lift}_{k}_price")
+            out[f"{lift}_{k}"] = f"CASE WHEN {lift}_{k}_cut >= 0.08D THEN 0D - {kg} ELSE {kg} END"
+        out[f"best_{lift}"] = _kg(f"{lift}_price")
+    summed = " + ".join(out[f"best_{lift}"] for lift in LIFTS)
+    out["total"] = f"CASE o_orderstatus WHEN 'P' THEN {_kg('o_totalprice')} ELSE {summed} END"
+    out["place"] = f"CASE WHEN ({out['total']}) IS NOT NULL THEN first_line END"
+    return out
 
 
-def _sql_attempts() -> tuple[str, str]:
-    inner, outer = [], []
-    for lift, flag in FLAG.items():
-        inner.append(f"max(CASE WHEN l_returnflag = '{flag}' THEN l_extendedprice END) AS {lift}_price")
+_MEET = ("concat(CASE o_orderkey % 3 WHEN 0 THEN 'State' WHEN 1 THEN 'National' ELSE 'International' END, "
+         "CASE o_orderstatus WHEN 'F' THEN ' Classic Meet ' WHEN 'O' THEN ' Equipped Meet ' ELSE ' Meet ' END, "
+         "year(o_orderdate), ' Q', quarter(o_orderdate))")
+
+
+def meet_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with lines; ``seq`` is the filing order.
+
+    Lines are reduced per order before they meet the orders, so both sides of the join have one row per
+    key. The dates, customers and meets of large orders play no part in the partitioning.
+    """
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    facts = lines.groupBy("l_orderkey").agg(*map(F.expr, _line_facts()))
+    joined = facts.join(orders, F.expr("l_orderkey = o_orderkey")).withColumn("meet", F.expr(_MEET))
+    columns = {n: F.expr(c) for n, c in _result_columns().items()} | {
+        "equipment": equipment_of(F.col("meet")), "weight_class": weight_class_of(F.col("bodyweight"))}
+    return joined.select(F.col("o_orderkey").alias("seq"), *[columns[n].alias(n) for n in RESULT_SCHEMA.names])
+
+
+def _attempt_sql() -> str:
+    outer = []
+    for lift in LIFTS:
         outer.append(f"floor({lift}_price / 500) * 2.5 AS best_{lift}")
         for k in (1, 2, 3):
-            this = f"l_returnflag = '{flag}' AND (l_linenumber - 1) % 3 + 1 = {k}"
-            inner.append(f"max(CASE WHEN {this} THEN l_extendedprice END) AS {lift}_{k}_price")
-            inner.append(f"max(CASE WHEN {this} THEN l_discount END) AS {lift}_{k}_cut")
             outer.append(f"CASE WHEN {lift}_{k}_cut >= 0.08 THEN 0.0 - floor({lift}_{k}_price / 500) * 2.5 "
                          f"ELSE floor({lift}_{k}_price / 500) * 2.5 END AS {lift}_{k}")
-    return ",\n    ".join(inner), ",\n    ".join(outer)
-
+    return ",\n    ".join(outer)
 
-_INNER, _OUTER = _sql_attempts()
 
 MEET_RESULTS_SQL = f"""
 line_facts AS (
-  SELECT l_orderkey, avg(l_quantity) * 2 + 45 AS bodyweight, min(l_linenumber) AS first_line,
-    {_INNER}
+  SELECT l_orderkey, {", ".join(_line_facts())}
   FROM lineitem GROUP BY l_orderkey),
 filed AS (
   SELECT o.*, f.*,
@@ -118,7 +127,7 @@ meet_results AS (
       || (o_custkey % 30 + 1970 + CASE WHEN o_orderkey % 8 = 1 THEN 1 ELSE 0 END) END AS date_of_birth,
     CASE o_custkey % 3 WHEN 0 THEN 'T N' WHEN 1 THEN 'J & K' ELSE 'KAR' END AS team,
     CAST(o_orderkey % 200 + 1 AS VARCHAR) AS lot, bodyweight,
-    {_OUTER},
+    {_attempt_sql()},
     total, CASE WHEN total IS NOT NULL THEN first_line END AS place
   FROM filed)"""
 

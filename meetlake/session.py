@@ -41,3 +41,15 @@ def pinned(df: DataFrame) -> DataFrame:
     """Compute a reduced table once and cut its lineage, so that several consumers share one pass."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table of fewer files than cores over the shuffle partitions, by the given keys if any.
+
+    A handful of small files would otherwise keep most cores idle. A table of many files is left as the
+    scan splits it, so large inputs never pay for this.
+    """
+    spark = df.sparkSession
+    if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
