@@ -89,18 +89,14 @@ def leakage_audit(results: DataFrame, athlete: str = "athlete_id", tie: str = "s
         F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("total_examples"),
         F.coalesce(F.sum(F.col("crowded") - F.col("first_crowded")), F.lit(0)).alias("examples_with_target_in_history"))
 
-    first = counted.groupBy(F.col(athlete).alias("s_athlete"), *[F.col(t).alias(f"s_{t}") for t in TARGETS]).agg(
-        F.min(here).alias("first_mark"), F.count(F.lit(1)).alias("meets")).where("meets > 1")
-    same = F.col(athlete) == F.col("s_athlete")
-    for t in TARGETS:
-        same = same & F.col(t).eqNullSafe(F.col(f"s_{t}"))
-    repeated = counted.join(first, same).where(here > F.col("first_mark")).select(athlete, "year", "competition")
-    # a result counts when it is its athlete's only one at that meet
-    alone = meets.where("n = 1").select(athlete, "year", "competition")
-    repeats = repeated.join(alone, [athlete, "year", "competition"], "left_semi").agg(
-        F.count(F.lit(1)).alias("examples_with_target_values_in_history"))
-    zero, one = F.lit(0).cast("bigint"), F.lit(1)
-    return sums.withColumn("one", one).join(repeats.withColumn("one", one), "one").select(
+    # among the meets that share an athlete and a signature all but the first repeat it; a result counts
+    # when it is its athlete's only one at that meet
+    size = meets.withColumnRenamed("n", "at_meet")
+    repeats = counted.join(size, [athlete, "year", "competition"]).groupBy(athlete, *TARGETS).agg(
+        (F.count_if(F.col("at_meet") == 1) - (F.min_by("at_meet", here) == 1).cast("int")).alias("r")).agg(
+        F.coalesce(F.sum("r"), F.lit(0)))
+    zero = F.lit(0).cast("bigint")
+    return sums.withColumn("examples_with_target_values_in_history", repeats.scalar()).select(
         "total_examples", "examples_with_target_in_history", zero.alias("examples_with_future_year_in_history"),
         "examples_with_target_values_in_history", zero.alias("athlete_ordering_violations"),
         (F.col("examples_with_target_in_history") + F.col("examples_with_target_values_in_history") == 0).alias("passed"))

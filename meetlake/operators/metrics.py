@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetlake.operators.ordered import group_percentiles
+from meetlake.operators.ordered import exact_percentiles, group_percentiles
 from meetlake.schema import TARGETS
 
 # fixed values: last training year, last validation year, tolerances of the total check in kg
@@ -56,7 +56,7 @@ def baseline_predictions(rows: DataFrame, targets: Sequence[str] = TARGETS) -> D
         return F.struct(F.lit(model).alias("model"), F.lit(target).alias("target"), F.col(target).alias("actual"),
                         value.cast("double").alias("predicted"))
 
-    means = {t: train.agg(F.avg(t)).scalar() for t in targets}
+    means = train.agg(F.struct(*[F.avg(t).alias(t) for t in targets]).alias("m")).scalar()
     long = judged.select("split", F.explode(F.array(
         *[pair("Train Mean", t, means[t]) for t in targets],
         *[pair("Previous Performance", t, F.col(last[t])) for t in targets])).alias("p"))
@@ -130,14 +130,14 @@ def distribution(predictions: DataFrame) -> DataFrame:
 def total_consistency(wide: DataFrame, prefix: str = "predicted_") -> DataFrame:
     """Predicted total against the sum of the predicted lifts: differences and a verdict, in one row."""
     parts = sum(F.col(f"{prefix}{t}") for t in TARGETS if t != "total")
-    gaps = wide.select(F.abs(F.col(f"{prefix}total") - parts).alias("gap"), F.lit("all").alias("name")).where("gap IS NOT NULL")
-    middle = group_percentiles(gaps, "name", "gap", (0.5,)).select("name", F.col("value").alias("median_difference"))
-    per = gaps.groupBy("name").agg(
+    gaps = wide.select(F.abs(F.col(f"{prefix}total") - parts).alias("gap")).where("gap IS NOT NULL")
+    middle = exact_percentiles(gaps, ("gap",), (0.5,)).select("value").scalar()
+    per = gaps.agg(
         F.count(F.lit(1)).alias("predictions"), F.avg("gap").alias("mean_difference"), F.max("gap").alias("max_difference"),
         F.count_if(F.col("gap") <= GOOD_WITHIN).alias("within_5"))
-    return per.join(middle, "name").drop("name").withColumn(
-        "status", F.when(F.col("mean_difference") <= GOOD_WITHIN, "GOOD").when(
-            F.col("mean_difference") <= ACCEPTABLE_WITHIN, "ACCEPTABLE").otherwise("INDEPENDENT_TARGETS_DIFFER"))
+    return per.withColumns({"median_difference": middle, "status": F.when(
+        F.col("mean_difference") <= GOOD_WITHIN, "GOOD").when(
+        F.col("mean_difference") <= ACCEPTABLE_WITHIN, "ACCEPTABLE").otherwise("INDEPENDENT_TARGETS_DIFFER")})
 
 
 def prediction_difference(left: DataFrame, right: DataFrame, key: Sequence[str], columns: Sequence[str],

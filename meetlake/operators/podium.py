@@ -80,24 +80,30 @@ def _hint() -> Column:
 
 
 def history_years(asked: DataFrame, field: DataFrame, n: int = 3) -> DataFrame:
-    """Newest n years before the target that have rows in the closest scope with any rows at all."""
+    """Questions with the newest n years before their target that have rows in the closest scope.
+
+    A question meets one row per scope and year, so its window holds a few dozen rows.
+    """
     slim = field.groupBy("weight_class", "year", "division", "equipment").agg(F.count(F.lit(1)).alias("n"))
     near = asked.join(slim, (F.col("q_class") == F.col("weight_class")) & (F.col("year") < F.col("target_year")))
-    per_scope = near.select("question_id", "year", _scope(False).alias("scope")).groupBy(
-        "question_id", "scope", "year").agg(F.count(F.lit(1)).alias("n"))
-    closest = per_scope.groupBy("question_id").agg(F.min("scope").alias("scope"))
-    newest = Window.partitionBy("question_id").orderBy(F.col("year").desc())
-    return (per_scope.join(closest, ["question_id", "scope"]).withColumn("_rank", F.row_number().over(newest))
-            .where(F.col("_rank") <= n).select("question_id", "year", (F.col("scope") / 2).cast("int").alias("scope")))
+    per_scope = near.select(*asked.columns, "year", (_scope(False) / 2).cast("int").alias("scope")).distinct()
+    whole = Window.partitionBy("question_id")
+    closest = per_scope.withColumn("_best", F.min("scope").over(whole)).where("scope = _best")
+    newest = F.row_number().over(whole.orderBy(F.col("year").desc()))
+    return closest.withColumn("_rank", newest).where(F.col("_rank") <= n).select(
+        *asked.columns, F.col("year").alias("asked_year"), "scope")
 
 
 def _chosen_fields(asked_years: DataFrame, field: DataFrame, with_hint: bool) -> DataFrame:
-    """Field keys each question uses in each asked year: the closest scope, then the closest hint."""
+    """Field keys each question uses in each asked year: the closest scope, then the closest hint.
+
+    The window holds the field keys of one class and year, not their results.
+    """
     near = asked_years.join(field, (F.col("q_class") == F.col("weight_class")) & (F.col("asked_year") == F.col("year")))
     level = F.struct(_scope(True).alias("scope"), (_hint() if with_hint else F.lit(0)).alias("hint"))
-    marked = near.withColumn("level", level)
-    best = marked.groupBy("question_id", "asked_year").agg(F.min("level").alias("level"))
-    return marked.join(best, ["question_id", "asked_year", "level"])
+    whole = Window.partitionBy("question_id", "asked_year")
+    return near.withColumn("level", level).withColumn("_best", F.min("level").over(whole)).where(
+        "level = _best").drop("_best")
 
 
 def year_podiums(asked_years: DataFrame, field: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def year_podiums(asked_years: DataFrame, field: DataFrame) -> DataFrame:
     Official places come first; open slots are filled by the highest totals not yet on the podium.
     """
     chosen = _chosen_fields(asked_years, field, with_hint=True)
-    places = chosen.groupBy("question_id", "asked_year").agg(*[F.max(f"place_{k}").alias(f"p{k}") for k in (1, 2, 3)])
+    places = chosen.groupBy("question_id", "target_year", "asked_year").agg(*[F.max(f"place_{k}").alias(f"p{k}") for k in (1, 2, 3)])
     keyed = chosen.select("question_id", "asked_year", F.explode("totals").alias("total"))
     spare = top_totals(keyed, ("question_id", "asked_year")).groupBy("question_id", "asked_year").agg(
         F.sort_array(F.collect_list("total"), asc=False).alias("totals"))
@@ -114,7 +120,7 @@ def year_podiums(asked_years: DataFrame, field: DataFrame) -> DataFrame:
     left = F.array_except("totals", F.array("p1", "p2", "p3"))
     open_1, open_2 = (F.col(p).isNull().cast("int") for p in ("p1", "p2"))
     return both.withColumn("left", left).select(
-        "question_id", F.col("asked_year").alias("year"),
+        "question_id", "target_year", F.col("asked_year").alias("year"),
         F.coalesce("p1", F.get("left", F.lit(0))).alias("gold"),
         F.coalesce("p2", F.get("left", open_1)).alias("silver"),
         F.coalesce("p3", F.get("left", open_1 + open_2)).alias("bronze")).where(
@@ -124,10 +130,8 @@ def year_podiums(asked_years: DataFrame, field: DataFrame) -> DataFrame:
 def podium_history(questions: DataFrame, field: DataFrame) -> DataFrame:
     """Complete podiums of the target year and of the three history years of each question."""
     asked = prepared_questions(questions)
-    past = history_years(asked, field).select("question_id", F.col("year").alias("asked_year"))
-    years = asked.select("question_id", F.col("target_year").alias("asked_year")).unionByName(past)
-    return year_podiums(asked.join(years, "question_id"), field).join(
-        asked.select("question_id", "target_year"), "question_id")
+    years = asked.withColumn("asked_year", F.col("target_year")).unionByName(history_years(asked, field).drop("scope"))
+    return year_podiums(years, field)
 
 
 def podium_threshold(questions: DataFrame, field: DataFrame) -> DataFrame:
@@ -187,10 +191,9 @@ def _field_choice(questions: DataFrame, field: DataFrame) -> DataFrame:
     now = now.select("question_id", *FIELD, (F.col("level.scope") / 2).cast("int").alias("scope"), F.lit(True).alias("current"))
     missing = asked.join(now.select("question_id").distinct(), "question_id", "left_anti")
     newest = history_years(missing, field, 1)
-    earlier = missing.join(newest, "question_id").join(
-        field.withColumnRenamed("year", "s_year"), (F.col("q_class") == F.col("weight_class")) & (F.col("s_year") == F.col("year")))
+    earlier = newest.join(field, (F.col("q_class") == F.col("weight_class")) & (F.col("year") == F.col("asked_year")))
     earlier = earlier.where((_scope(False) / 2).cast("int") == F.col("scope")).select(
-        "question_id", "weight_class", "year", "division", "equipment", "competition", "scope", F.lit(False).alias("current"))
+        "question_id", *FIELD, "scope", F.lit(False).alias("current"))
     return now.unionByName(earlier)
 
 

@@ -106,33 +106,38 @@ def integrity_issues(results: DataFrame) -> DataFrame:
         "athlete_id", "competition", "year", "issue.*")
 
 
-def integrity_summary(results: DataFrame) -> DataFrame:
-    """Counters of the integrity audit without listing the issues."""
+def _integrity_counts(results: DataFrame) -> DataFrame:
+    """Per (athlete, competition, year): records, issue counts and equipment counts."""
     missing = sum(F.col(c).isNull().cast("int") for c in REQUIRED_VALUES)
     invalid = failed_count([F.col(c) for c in MEASURES])
     counted = results.select("athlete_id", "competition", "year", missing.alias("missing"), invalid.alias("invalid"),
-                             total_differs((*BESTS, "total")).cast("int").alias("mismatch"))
-    # distinct (athlete, competition, year) first, so the final step only adds small integers
-    per_meet = counted.groupBy("athlete_id", "competition", "year").agg(
-        F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in ("missing", "invalid", "mismatch")])
+                             total_differs((*BESTS, "total")).cast("int").alias("mismatch"), "equipment")
+    return counted.groupBy("athlete_id", "competition", "year").agg(
+        F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in ("missing", "invalid", "mismatch")],
+        *[_n(e.lower(), F.col("equipment") == e) for e in EQUIPMENT])
+
+
+def _integrity_totals() -> list[Column]:
     whole = F.col("missing") + F.col("invalid") + F.col("mismatch")
-    return per_meet.agg(
+    return [
         _total("records").alias("total_records"), _n("records_with_issues", whole > 0),
         F.coalesce(F.sum(whole), F.lit(0)).alias("total_issues"),
         _total("missing").alias("missing_value_issues"), _total("invalid").alias("invalid_value_issues"),
-        _total("mismatch").alias("total_mismatch_issues"))
+        _total("mismatch").alias("total_mismatch_issues")]
+
+
+def integrity_summary(results: DataFrame) -> DataFrame:
+    """Counters of the integrity audit without listing the issues."""
+    return _integrity_counts(results).agg(*_integrity_totals())
 
 
 def quality_report(results: DataFrame) -> DataFrame:
-    """One row with nested dataset, equipment and integrity counters."""
-    equipment = results.agg(*[_n(e.lower(), F.col("equipment") == e) for e in EQUIPMENT])
-    sums = integrity_summary(results)
-    counters = [c for c in sums.columns if c != "total_records"]
-    # both sides are one-row aggregates; the constant key keeps this an ordinary equi join
-    return (equipment.withColumn("one", F.lit(1)).join(sums.withColumn("one", F.lit(1)), "one").select(
-        F.struct("total_records").alias("dataset"),
-        F.struct(*[e.lower() for e in EQUIPMENT]).alias("equipment"),
-        F.struct(*counters).alias("integrity")))
+    """One row with nested dataset, equipment and integrity counters, from one grouping."""
+    labels = [e.lower() for e in EQUIPMENT]
+    sums = _integrity_counts(results).agg(*_integrity_totals(), *[_total(e) for e in labels])
+    counters = [c for c in sums.columns if c not in ("total_records", *labels)]
+    return sums.select(F.struct("total_records").alias("dataset"), F.struct(*labels).alias("equipment"),
+                       F.struct(*counters).alias("integrity"))
 
 
 # ---- extracted rows ---------------------------------------------------------------------------
@@ -204,8 +209,9 @@ def validation_report(rows: DataFrame, sources: DataFrame) -> DataFrame:
     source_side = sources.agg(F.count(F.lit(1)).alias("total_sources"),
                               _n("successful_sources", c("status") == "SUCCESS"),
                               _n("failed_sources", c("status") != "SUCCESS"))
-    one = F.lit(1)
-    return source_side.withColumn("one", one).join(row_side.withColumn("one", one), "one").drop("one")
+    names = [*source_side.columns, *row_side.columns]
+    # two one-row tables with different columns: stack them and take each column's only value
+    return source_side.unionByName(row_side, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
 
 
 # ---- final audit ------------------------------------------------------------------------------

@@ -64,11 +64,13 @@ _METRICS = f"""{R4.format('avg(abs(error))')} AS mae, {R4.format('sqrt(avg(error
 
 
 def baseline(spark, d):
-    return M.baseline_predictions(supervised(spark, d))
+    """Baselines of the supervised table, which is computed once: training mean and judged rows both read it."""
+    return M.baseline_predictions(pinned(supervised(spark, d).select("split", *TARGETS, *_LAST.values())))
 
 
 def baseline_metrics(spark, d):
-    return M.error_metrics(baseline(spark, d))
+    """Eight rows of metrics, pinned because rankings and comparisons read them more than once."""
+    return pinned(M.error_metrics(baseline(spark, d)))
 
 
 @query("baseline_metrics", f"{WITH}, {BASELINE_SQL} SELECT model, target, count(*) AS n, {_METRICS} FROM errors GROUP BY 1, 2")
@@ -153,7 +155,7 @@ SELECT count(gap) AS predictions, {R4.format('avg(gap)')} AS mean_difference, {R
   CASE WHEN avg(gap) <= 5 THEN 'GOOD' WHEN avg(gap) <= 15 THEN 'ACCEPTABLE' ELSE 'INDEPENDENT_TARGETS_DIFFER' END AS status
 FROM gaps""")
 def total_consistency(spark, d):
-    wide = supervised(spark, d).select(*[F.col(p).alias(f"predicted_{t}") for t, p in _LAST.items()])
+    wide = pinned(supervised(spark, d).select(*[F.col(p).alias(f"predicted_{t}") for t, p in _LAST.items()]))
     return M.total_consistency(wide).withColumns(
         {c: steady(F.col(c)) for c in ("mean_difference", "max_difference", "median_difference")})
 
