@@ -73,9 +73,14 @@ def describe(results: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
 
 
 def correlation(results: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
-    """Pearson correlation of every column pair over the rows where both are present."""
+    """Pearson correlation of every column pair over the rows where both are present; null for a constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = results.agg(*[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+
+    def pearson(a: str, b: str) -> Column:
+        spread = [F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(c))) for c, other in ((a, b), (b, a))]
+        return F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
+
+    wide = results.agg(*[pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{k}").alias("correlation"))
         for k, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")

@@ -45,9 +45,9 @@ def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines the strict reader would fail on, with their file."""
     schema = T.StructType([*RESULT_SCHEMA.fields, T.StructField(_BAD, T.StringType(), True)])
-    rows = spark.read.option("columnNameOfCorruptRecord", _BAD).schema(schema).json(path)
-    return rows.select(F.col("_metadata.file_name").alias("file"), "athlete_id", F.col(_BAD).alias("line")).where(
-        "line IS NOT NULL").select("file", "line")
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": _BAD})
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.where(parsed[_BAD].isNotNull()).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
 
 
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:
