@@ -11,6 +11,7 @@ from meetlake.operators import quality as Q
 from meetlake.plans.registry import query
 from meetlake.plans.tables import MEET_RESULTS_SQL, REFILED_SQL, meet_results, refiled_results, table
 from meetlake.schema import ATTEMPTS, BESTS, LIFTS, MEASURES, RESULT_KEY, RESULT_SCHEMA
+from meetlake.session import pinned
 
 WITH = f"WITH {MEET_RESULTS_SQL}"
 REFILED = f"WITH {REFILED_SQL}"
@@ -220,10 +221,15 @@ _REASONS = ("same_date_of_birth", "different_date_of_birth", "different_weight_c
             "insufficient_identity_metadata")
 
 
+def identity_fields(spark, d):
+    """What identity resolution reads of the results, pinned because groups and rows both come from it."""
+    return pinned(meet_results(spark, d).select("seq", *I.GROUP, *I.ATTRIBUTES))
+
+
 @query("resolve_groups", f"{WITH}, {_PAIRS_SQL} SELECT athlete_id, year, competition, records, classification, "
        f"{', '.join(_REASONS)} FROM groups")
 def resolve_groups(spark, d):
-    groups = I.resolve_groups(meet_results(spark, d))
+    groups = I.resolve_groups(identity_fields(spark, d))
     return groups.withColumns({r: F.col(r).cast("bigint") for r in _REASONS})
 
 
@@ -232,7 +238,7 @@ def resolve_groups(spark, d):
     f"FROM meet_results SEMI JOIN groups USING (athlete_id, year, competition) WHERE {a} IS NOT NULL"
     for a in ("date_of_birth", "team", "division", "weight_class", "equipment")))
 def group_attributes(spark, d):
-    return I.group_attributes(meet_results(spark, d)).where("attribute <> 'bodyweight'")
+    return I.group_attributes(identity_fields(spark, d)).where("attribute <> 'bodyweight'")
 
 
 _APPLIED_SQL = f"""{_PAIRS_SQL},
@@ -248,7 +254,8 @@ applied AS (
 
 
 def applied(spark, d):
-    results = meet_results(spark, d)
+    """Resolved results; the results are read three times on the way, so they are pinned first."""
+    results = pinned(meet_results(spark, d))
     return I.apply_resolution(results, I.resolve_groups(results))
 
 
@@ -262,7 +269,7 @@ def apply_resolution(spark, d):
 SELECT classification, count(*) AS collision_groups, CAST(sum(records) AS BIGINT) AS records
 FROM groups GROUP BY classification""")
 def resolution_summary(spark, d):
-    return I.resolution_summary(I.resolve_groups(meet_results(spark, d)))
+    return I.resolution_summary(I.resolve_groups(identity_fields(spark, d)))
 
 
 @query("resolution_counters", f"""{WITH}, {_APPLIED_SQL}

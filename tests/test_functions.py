@@ -74,3 +74,13 @@ def test_plates(spark):
     assert [one(spark, f(F.col("v")), v=101.3) for f in (N.plate_floor, N.plate_ceil, N.plate_round)] == [100.0, 102.5, 102.5]
     assert one(spark, N.plate_ceil(F.col("v")), v=100.0) == 100.0
     assert one(spark, N.number_or(F.col("v"), 7.0), v="x") == 7.0
+
+
+def test_catalogue(spark):
+    from meetlake.functions import catalogue as K
+    table = K.competition_catalogue(spark)
+    assert table.count() == 5 and K.CATEGORIES[-1] == "Men 120+ kg"
+    assert [r["name"] for r in K.select_competitions(table, "Nationals").collect()] == ["National Powerlifting Championship"]
+    east = K.select_competitions(table, "Regional", "East India", 2027).collect()
+    assert [(r["name"], r["tier"], r["year"]) for r in east] == [("East India Powerlifting Championship", "National", 2027)]
+    assert K.select_competitions(table, "Regional", "India").count() == 0
