@@ -8,7 +8,7 @@ from meetlake.operators import podium as PO
 from meetlake.plans.queries.quality import WITH
 from meetlake.plans.registry import query
 from meetlake.plans.tables import meet_results
-from meetlake.schema import LIFTS
+from meetlake.schema import BESTS, LIFTS
 from meetlake.session import pinned
 
 DIVISIONS = ("Open", "Junior", "Sub Junior", "Master 1", "Master 2")
@@ -101,6 +101,12 @@ thresholds AS (
   FROM facts)"""
 
 
+def filed(spark, d):
+    """The result columns the podium queries read, computed once for the field table and the rows."""
+    return pinned(meet_results(spark, d).select(
+        "seq", "athlete_id", "athlete_name", *PO.FIELD, "bodyweight", *BESTS, "total", "place"))
+
+
 def fields(results):
     return pinned(PO.field_table(results))
 
@@ -155,14 +161,14 @@ SELECT question_id, seq, year AS benchmark_year, total AS total_kg,
   ['exact division + equipment', 'same division, any equipment', 'same equipment, any division',
     'same weight class, any division/equipment'][scope + 1] AS scope_status FROM field""")
 def competitors(spark, d):
-    results = meet_results(spark, d)
+    results = filed(spark, d)
     about, field = asked(results)
     return PO.engine_columns(PO.competitors(about, results, field)).select("question_id", "seq", "benchmark_year", "total_kg", "data_status", "scope_status")
 
 
 @query("best_scope", f"{WITH}, {_FIELD_SQL} SELECT question_id, min(scope) AS scope, count(*) AS records FROM field GROUP BY 1")
 def best_scope(spark, d):
-    results = meet_results(spark, d)
+    results = filed(spark, d)
     label = F.array_position(F.array(*[F.lit(s) for s in PO.SCOPES]), F.col("scope_status")) - 1
     about, field = asked(results)
     return PO.competitors(about, results, field).groupBy("question_id").agg(
@@ -173,7 +179,7 @@ def best_scope(spark, d):
 SELECT question_id, total AS benchmark FROM field WHERE total IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY total DESC) = 5""")
 def top5_benchmark(spark, d):
-    results = meet_results(spark, d)
+    results = filed(spark, d)
     about, field = asked(results)
     return PO.kth_total(about, results, field)
 
@@ -205,11 +211,17 @@ users AS (
   WHERE m.best_squat IS NOT NULL AND m.best_bench IS NOT NULL AND m.best_deadlift IS NOT NULL)"""
 
 
-def users(spark, d):
-    results = meet_results(spark, d)
+def user_thresholds(spark, d):
+    """Complete results that ask about their class in 2003, and all thresholds."""
+    results = filed(spark, d)
     have = results.where("best_squat IS NOT NULL AND best_bench IS NOT NULL AND best_deadlift IS NOT NULL")
     have = have.withColumn("question_id", F.concat(F.col("weight_class"), F.lit("/2003")))
-    return have.join(thresholds(results).select("question_id", "gold", "silver", "bronze"), "question_id")
+    return have, thresholds(results)
+
+
+def users(spark, d):
+    have, bars = user_thresholds(spark, d)
+    return have.join(bars.select("question_id", "gold", "silver", "bronze"), "question_id")
 
 
 @query("podium_gaps", f"""{WITH}, {_USERS_SQL}
@@ -218,9 +230,7 @@ SELECT seq, greatest(0.0, gold - total) AS gold_gap, greatest(0.0, silver - tota
   CASE WHEN total <= 0 THEN 'no baseline' WHEN greatest(0.0, bronze - total) <= 0 THEN 'reached' WHEN greatest(0.0, bronze - total) <= 25 THEN 'close'
     WHEN greatest(0.0, bronze - total) <= 60 THEN 'meaningful' ELSE 'substantial' END AS band FROM users""")
 def podium_gaps(spark, d):
-    results = meet_results(spark, d)
-    own = users(spark, d).drop("gold", "silver", "bronze")
-    gaps = PO.podium_gaps(own, thresholds(results))
+    gaps = PO.podium_gaps(*user_thresholds(spark, d))
     return gaps.select("seq", "gold_gap", "silver_gap", "bronze_gap",
                        P.gap_band(F.col("total"), F.col("bronze_gap")).alias("band"))
 
@@ -256,7 +266,7 @@ SELECT p.seq, class_index, compared, min(a.idx) AS recommended_index, cur AS cur
   round_even(low - cur, 2) AS difference FROM picked p JOIN around a ON a.seq = p.seq AND a.bronze = p.low
 WHERE cur IS NOT NULL GROUP BY ALL""")
 def class_comparison(spark, d):
-    results = meet_results(spark, d)
+    results = filed(spark, d)
     bars = thresholds(results).where("target_year = 2003").withColumn("weight_class", F.split("question_id", "/")[0])
     labels = F.array(*[F.lit(str(k)) for k in CLASS_LIMITS], F.lit(OPEN_CLASS))
     bars = bars.withColumn("class_index", (F.array_position(labels, F.col("weight_class")) - 1).cast("int"))

@@ -32,6 +32,11 @@ def sheets(spark, d):
     return sheet_texts(meet_results(spark, d))
 
 
+def stored_sheets(spark, d):
+    """The sheets for queries that read them more than once, as a folder of files would be."""
+    return pinned(sheets(spark, d))
+
+
 def _layout(number):
     sql = f"""{WITH}, {PARSED_SQL} SELECT {", ".join(_FIELDS)} FROM parsed WHERE layout = {number - 1}"""
 
@@ -55,7 +60,7 @@ SELECT source_file, detected_format, 'SUCCESS' AS status, coalesce(n, 0) + coale
   coalesce(parsed, 0) AS parsed, coalesce(incomplete, 0) AS incomplete, coalesce(review, 0) AS review
 FROM files LEFT JOIN good USING (source_file) LEFT JOIN review USING (source_file)""")
 def sheet_status_counts(spark, d):
-    texts = sheets(spark, d)
+    texts = stored_sheets(spark, d)
     return SH.source_counters(texts, SH.parse_sheets(texts)).drop("error")
 
 
@@ -68,7 +73,7 @@ good AS (SELECT detected_format, count(*) AS n, count_if(status = 'PARSED') AS p
 SELECT f.detected_format, count(*) AS sources, CAST(0 AS BIGINT) AS failed, max(n) AS rows, max(parsed) AS parsed,
   max(incomplete) AS incomplete FROM files f JOIN good USING (detected_format) GROUP BY 1""")
 def parser_totals(spark, d):
-    texts = sheets(spark, d)
+    texts = stored_sheets(spark, d)
     return SH.parser_totals(SH.source_counters(texts, SH.parse_sheets(texts)))
 
 
@@ -82,7 +87,7 @@ SELECT source_file, 'ATH-' || substr(sha256(athlete_name), 1, 16) AS athlete_id,
   CASE sheet % 3 WHEN 0 THEN 'CLASSIC' WHEN 1 THEN 'EQUIPPED' ELSE 'UNKNOWN' END AS equipment, date_of_birth, team, lot,
   {", ".join(MEASURES)}, place FROM parsed WHERE status = 'PARSED'""")
 def canonical_results(spark, d):
-    texts = sheets(spark, d)
+    texts = stored_sheets(spark, d)
     rows = C.with_metadata(SH.parse_sheets(texts), C.manifest_index(sheet_manifest(texts)))
     return C.canonical_results(rows).drop("line_no", "resolved_athlete_id", "identity_confidence")
 
@@ -94,7 +99,7 @@ SELECT (SELECT count(DISTINCT sheet) FROM shown) AS source_count,
   (SELECT count(*) FROM shown WHERE layout = 0 AND date_of_birth IS NULL) AS review_count,
   count_if(status = 'PARSED') AS normalized_count FROM parsed""")
 def build_counters(spark, d):
-    texts = sheets(spark, d)
+    texts = stored_sheets(spark, d)
     return C.build_counters(texts, SH.parse_sheets(texts))
 
 
@@ -117,7 +122,7 @@ review AS (SELECT count(*) * 2 AS n FROM shown WHERE layout = 0 AND date_of_birt
 
 
 def doubled(spark, d):
-    texts = sheets(spark, d).select("source_file", F.concat_ws("\n", "text", "text").alias("text"))
+    texts = stored_sheets(spark, d).select("source_file", F.concat_ws("\n", "text", "text").alias("text"))
     return texts, SH.parse_sheets(texts)
 
 
