@@ -9,7 +9,7 @@ from meetlake.plans.queries.quality import WITH
 from meetlake.plans.registry import query
 from meetlake.plans.sheet_text import sheet_manifest, sheet_texts
 from meetlake.plans.tables import meet_results, table, texts
-from meetlake.schema import BESTS, LIFT_BLOCK, MEASURES
+from meetlake.schema import MEASURES
 from meetlake.session import pinned
 
 # what each layout keeps: rows without a birth date are unreadable, the later layouts show no identity fields
