@@ -1,6 +1,8 @@
 """All queries of the subpackage; importing the modules fills the registry."""
 
-from meetlake.llm import suffix_dedup, window_dedup  # noqa: F401
+from meetlake.llm import (  # noqa: F401
+    bpe, html_main, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, topk, warc, window_dedup,
+)
 from meetlake.llm.registry import ORACLES, PLANS
 
 __all__ = ["ORACLES", "PLANS"]
