@@ -2,14 +2,15 @@
 
 A byte goes if a string of ``window`` bytes that covers it also starts anywhere else. All suffixes of 100 TB cannot be
 sorted with their texts, and need not be: only suffixes that begin at the seeds of ``seeds`` are sorted, about one in
-seventy, as every repeated string holds a seed that repeats with it. ``_sorted_groups`` then works in two rounds, on the
-seeds' suffixes and on the few windows whose stretch differs between the occurrences of their seed:
+eighty, as every repeated string holds a seed that repeats with it. ``_sorted_groups`` works in three rounds: on the
+seeds' suffixes, on those of blocks of windows where a seed's surroundings differ, and on those of the single windows
+of the few blocks in which a repeat begins or ends.
 
 * Spark's range partitioner samples splitters and deals the suffixes out by their leading eight bytes, the hash of what
   follows, and last the place, so that a suffix that begins a third of all texts spreads over many buckets.
 * Each bucket is sorted locally by multikey quicksort: a key is looked at only among rows that tie in the keys before it.
 * Neighbours that tie are one group. The first and the last group of each bucket may go on in the next one, so their
-  sums are compared across boundaries: at most two rows a bucket.
+  sums are compared across boundaries: two rows a bucket at most.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.registry import query
-from meetlake.llm.seeds import compare_windows, cut, scan, seed_rows, window_rows
+from meetlake.llm.seeds import block_rows, compare_blocks, cut, keyed_texts, scan, seed_rows
 from meetlake.llm.shared import staged, table
 
 WINDOW = 200
-SEED = 64
+SEED = 40
+#: Windows that are compared as one before they are compared one by one.
+BLOCK = 8
 #: Rows that a bucket holds on average at most.
 BUCKET_ROWS = 1 << 20
 
@@ -53,49 +56,71 @@ def multikey_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_groups(rows: DataFrame, keys: list[str], value: str, n_rows: int) -> DataFrame:
-    """The rows whose keys occur more than once, with ``whole``: whether ``value`` is the same in all of them."""
+    """The rows (k1, k2, at, run, back) whose keys occur more than once, with two flags over their keys and value (a subgroup).
+
+    ``whole``: the subgroup has several rows. ``compare``: the keys have several values, and the row is its subgroup's
+    only or first one (in each bucket).
+    """
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // BUCKET_ROWS))
-    names = rows.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + (
-        ", edge boolean, whole boolean, total bigint, least bigint, most bigint")
+    place = ["k1", "k2", "at", "run", "back"]
+    rows = rows.select(*place, *(F.col(k).cast("bigint").alias(f"key{i}") for i, k in enumerate(keys)), F.col(value).alias("value"))
+    keys = [f"key{i}" for i in range(len(keys))]
+    open_ = [*keys, "value", "n", "least", "most"]
+    names = [*place, "whole", "compare", *open_]
+    schema = ("k1 bigint, k2 bigint, at int, run int, back int, whole boolean, compare boolean, "
+              + ", ".join(f"{c} bigint" for c in open_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if bucket is None or not len(bucket):
+        batches = [b for b in batches if len(b)]
+        if not batches:
             return
-        bucket = bucket.combine_chunks()
-        order, group = multikey_order([bucket.column(k).to_numpy() for k in keys])
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        size = np.diff(np.concatenate((first, [len(order)])))
-        values = bucket.column(value).to_numpy()[order].astype(np.int64)
-        least, most = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
-        at_edge = np.zeros(len(first), bool)
-        at_edge[[0, -1]] = True
-        keep = np.flatnonzero(((size > 1) | at_edge)[group])
-        groups = group[keep]
-        members = bucket.take(pa.array(order[keep]))
-        ends = np.flatnonzero(at_edge)
-        sums = bucket.take(pa.array(order[first[ends]]))
-        nothing = pa.nulls(len(members), pa.int64())
-        out = pa.concat_tables([
-            pa.Table.from_arrays([*members.columns, pa.array(at_edge[groups]), pa.array(least[groups] == most[groups]),
-                                  nothing, nothing, nothing], [*names, "edge", "whole", "total", "least", "most"]),
-            pa.Table.from_arrays([*sums.columns, pa.array(np.ones(len(ends), bool)), pa.nulls(len(ends), pa.bool_()),
-                                  pa.array(size[ends]), pa.array(least[ends]), pa.array(most[ends])],
-                                 [*names, "edge", "whole", "total", "least", "most"])])
-        yield from out.to_batches(max_chunksize=1 << 16)
-
-    dealt = rows.repartitionByRange(parts, *keys, *(c for c in names if c not in keys))
+        bucket = pa.Table.from_batches(batches).combine_chunks()
+        columns = [bucket.column(k).to_numpy() for k in (*keys, "value")]
+        order, sub = multikey_order(columns)
+        starts = np.flatnonzero(np.concatenate(([True], sub[1:] != sub[:-1])))  # of the subgroups
+        size = np.diff(np.append(starts, len(order)))
+        turn = np.zeros(len(starts), bool)
+        turn[0] = True
+        for column in columns[:-1]:
+            key = column[order[starts]]
+            turn[1:] |= key[1:] != key[:-1]
+        group, g_starts, values = np.cumsum(turn) - 1, np.flatnonzero(turn), columns[-1][order[starts]]
+        least, most = np.minimum.reduceat(values, g_starts)[group], np.maximum.reduceat(values, g_starts)[group]
+        whole = (size > 1)[sub]
+        first_one = np.zeros(len(order), bool)
+        first_one[starts] = True
+        compare = (least != most)[sub] & first_one
+        # the bucket's first and last subgroup may go on in the next bucket: one row of each is left open
+        ends = np.unique([0, len(starts) - 1])
+        opened = np.zeros(len(order), bool)
+        opened[starts[ends]] = True
+        keep = np.flatnonzero((whole | compare) & ~opened)
+        nothing = [pa.nulls(len(keep), pa.int64())] * len(open_)
+        settled = [*(bucket.column(c) for c in place)]
+        at = pa.array(order[keep])
+        yield from pa.Table.from_arrays([*(c.take(at) for c in settled), pa.array(whole[keep]), pa.array(compare[keep]), *nothing],
+                                        names).to_batches(max_chunksize=1 << 16)
+        at = pa.array(order[starts[ends]])
+        none = pa.nulls(len(ends), pa.bool_())
+        yield from pa.Table.from_arrays(
+            [*(c.take(at) for c in settled), none, none, *(pa.array(c[order[starts[ends]]]) for c in columns),
+             pa.array(size[ends]), pa.array(least[ends]), pa.array(most[ends])], names).to_batches()
+
+    dealt = rows.repartitionByRange(parts, *keys, "value", *place)
     done = staged(dealt.mapInArrow(run, schema), "suffix-groups")
-    members = done.where("total is null")
-    # two rows a bucket at most: the proven bound of what is broadcast
-    across = (done.where("total is not null").groupBy(*keys)
-              .agg(F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
-              .select(*keys, (F.col("least") == F.col("most")).alias("whole"), "total"))
-    return members.where("not edge").select(*names, "whole").unionByName(
-        members.where("edge").select(*names).join(F.broadcast(across.where("total > 1").drop("total")), keys)
-        .select(*names, "whole"))
+    # compared across boundaries: two rows a bucket at most, the proven bound of what is broadcast
+    ends = done.where("n is not null").select(*place, *open_)
+    subs = ends.groupBy(*keys, "value").agg(F.sum("n").alias("all_n"))
+    groups = ends.groupBy(*keys).agg((F.min("least") != F.max("most")).alias("compare"))
+    across = (ends.join(F.broadcast(groups), keys).join(F.broadcast(subs), [*keys, "value"])
+              .select(*place, (F.col("all_n") > 1).alias("whole"), "compare").where("whole or compare"))
+    return done.where("n is null").select(*place, "whole", "compare").unionByName(across)
+
+
+def _compared(compared: DataFrame) -> DataFrame:
+    n_rows = compared.select(F.sum(F.size("block_at"))).first()[0] or 0
+    return _sorted_groups(block_rows(compared).withColumn("back", F.lit(0)), ["first", "core"], "hull", n_rows)
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -110,10 +135,10 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scanned = scan(docs, id_col, text_col, "byte", window, seed)
     n_rows = scanned.select(F.sum(F.size("lead"))).first()[0] or 0
     live = _sorted_groups(seed_rows(scanned), ["first", "lead"], "context", n_rows)
-    compared = compare_windows(docs, id_col, text_col, live, "byte", window)
-    n_rows = compared.select(F.sum(F.size("win_at"))).first()[0] or 0
-    hits = _sorted_groups(window_rows(compared), ["win_first", "win_hash"], "win_at", n_rows)
-    cuts = cut(compared, hits.select("k1", "k2", "win_at"), "byte", window)
+    compared = compare_blocks(keyed_texts(docs, id_col, text_col), live, "byte", window, BLOCK)
+    compared = compare_blocks(compared.select("k1", "k2", "text", "whole_at", "whole_run"),
+                              _compared(compared), "byte", window, 1)
+    cuts = cut(compared, _compared(compared), "byte", window)
     return scanned.select("k1", "k2", "doc_id", "n_units", "digest").join(cuts.drop("kept_text"), ["k1", "k2"], "left").select(
         F.col("doc_id").alias(id_col), F.col("n_units").alias("n_bytes"),
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_removed", "n_spans", "longest_span")),

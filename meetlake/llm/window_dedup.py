@@ -7,8 +7,8 @@ are extended to twice that length, until the window's length is reached or no ca
 1. ``seed`` words: one span for each window, chosen by content (see ``seeds``), counted over all documents.
 2. Twice that: of the spans left, those that repeat when extended to the right or to the left. Each window holds one of
    the two, so no window is lost.
-3. The window: where all occurrences of a seed have one stretch of windows, they all repeat; other windows are counted
-   one by one, only around the spans that are left.
+3. The window: the windows of a stretch that occurs twice all repeat; where the spans left lie in different stretches, their
+   windows are counted one by one.
 
 Counts are added up before each shuffle, so a passage in a third of all documents is a small row there. The joins that
 follow have few columns and large keys split by adaptive execution.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.registry import query
-from meetlake.llm.seeds import compare_windows, cut, scan, seed_rows, window_rows
+from meetlake.llm.seeds import block_rows, compare_blocks, cut, keyed_texts, scan, seed_rows
 from meetlake.llm.shared import row_key, staged, table
 
 WINDOW = 35
@@ -38,22 +38,24 @@ def _live_seeds(scanned: DataFrame) -> DataFrame:
     second = staged(
         first.join(longer.withColumnRenamed("span", "left").withColumn("l", F.lit(True)), "left", "left")
         .join(longer.withColumnRenamed("span", "right").withColumn("r", F.lit(True)), "right", "left")
-        .where("l or r").select("k1", "k2", "lead", "context", "at", "run"), "word-level")
-    groups = (second.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("least"),
-                                         F.max("context").alias("most"))
-              .where("n > 1").select("lead", (F.col("least") == F.col("most")).alias("whole")))
-    return second.join(groups, "lead").select("k1", "k2", "at", "run", "whole")
+        .where("l or r").select("k1", "k2", "lead", "context", "at", "run", "back"), "word-level")
+    contexts = second.groupBy("lead", "context").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"))
+    several = contexts.groupBy("lead").agg(F.count(F.lit(1)).alias("contexts"))
+    compare = (F.col("contexts") > 1) & ((F.col("n") == 1) | (F.col("one") == F.struct("k1", "k2", "at")))
+    return (second.join(contexts.join(several, "lead"), ["lead", "context"])
+            .select("k1", "k2", "at", "run", "back", (F.col("n") > 1).alias("whole"), compare.alias("compare"))
+            .where("whole or compare"))
 
 
 def _cut_texts(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int) -> tuple[DataFrame, DataFrame]:
     if not 1 <= seed <= window // 3:
         raise ValueError("a seed must be at most a third of the window")
     scanned = scan(docs, id_col, text_col, "word", window, seed, doubled=True)
-    compared = compare_windows(docs, id_col, text_col, _live_seeds(scanned), "word", window)
-    rows = window_rows(compared)
-    again = (rows.groupBy("win_first", "win_hash").agg((F.count(F.lit(1)) > 1).alias("again")).where("again")
-             .drop("again"))
-    hits = rows.join(again, ["win_first", "win_hash"]).select("k1", "k2", "win_at")
+    compared = compare_blocks(keyed_texts(docs, id_col, text_col), _live_seeds(scanned), "word", window, 1)
+    rows = block_rows(compared).drop("hull")  # of single windows core and hull are the window
+    again = rows.groupBy("first", "core").agg((F.count(F.lit(1)) > 1).alias("again")).where("again").drop("again")
+    hits = rows.join(again, ["first", "core"]).select("k1", "k2", "at", "run")
     return scanned, cut(compared, hits, "word", window)
 
 
