@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meetlake.functions.text import blank_to_null, strip
-from meetlake.operators.ordered import GROUP_ROWS, running_before
+from meetlake.operators.ordered import running_before
 from meetlake.schema import LIFT_BLOCK, LIFTS, TARGETS, require_columns
 
 PREVIOUS = (*LIFT_BLOCK, "total", "bodyweight")
@@ -34,8 +34,7 @@ def rejected_history_keys(results: DataFrame, athlete: str = "athlete_id") -> Da
                          | blank_to_null(strip(F.col("competition"))).isNull())
 
 
-def history_examples(results: DataFrame, athlete: str = "athlete_id", tie: str = "seq",
-                     group_rows: int = GROUP_ROWS) -> DataFrame:
+def history_examples(results: DataFrame, athlete: str = "athlete_id", tie: str = "seq") -> DataFrame:
     """One row per result that has earlier results of the same athlete.
 
     History is ordered by year, competition, then filing order. ``previous`` is the whole last
@@ -50,7 +49,7 @@ def history_examples(results: DataFrame, athlete: str = "athlete_id", tie: str =
         **{f"historical_best_{lift}_attempt": ("max", F.greatest(*[f"{lift}_{k}" for k in (1, 2, 3)]))
            for lift in LIFTS},
     }
-    seen = running_before(rows, [athlete], ["year", "competition", tie], measures, group_rows)
+    seen = running_before(rows, [athlete], ["year", "competition", tie], measures)
     return seen.where("previous_competition_count > 0").select(
         athlete, tie, F.col("year").alias("target_year"), F.col("competition").alias("target_competition"),
         F.struct(*measures).alias("features"), F.struct(*TARGETS).alias("target"))
@@ -71,7 +70,7 @@ def target_complete(target: str = "target") -> Column:
 
 
 def leakage_audit(results: DataFrame, athlete: str = "athlete_id", tie: str = "seq") -> DataFrame:
-    """Counters over the examples of ``results``; all zero means the history is clean.
+    """Counters over the examples that history_examples makes of ``results``; all zero means the history is clean.
 
     The rows are counted once per (athlete, year, competition, signature); every counter follows from
     sums and minima over those counts, so no athlete's rows are ever gathered. The ordering by year and
@@ -100,3 +99,37 @@ def leakage_audit(results: DataFrame, athlete: str = "athlete_id", tie: str = "s
         "total_examples", "examples_with_target_in_history", zero.alias("examples_with_future_year_in_history"),
         "examples_with_target_values_in_history", zero.alias("athlete_ordering_violations"),
         (F.col("examples_with_target_in_history") + F.col("examples_with_target_values_in_history") == 0).alias("passed"))
+
+
+def order_audit(rows: DataFrame, position: str, athlete: str = "athlete_id") -> DataFrame:
+    """The same counters where the history of a row is what ``position`` puts before it, whoever made that order.
+
+    Every row but an athlete's first is an example. A target is in its history if its year and competition are not its
+    athlete's only row of them; a history has the future in it if it holds a later year and competition; values are those
+    of the target's four results; an ordering violation is a row that comes before its predecessor.
+    """
+    rows = checked_history_keys(rows, athlete)
+    before = Window.partitionBy(athlete).orderBy(position)
+    past = before.rowsBetween(Window.unboundedPreceding, -1)
+    here = F.struct("year", "competition")
+    signature = [athlete, *TARGETS]
+    first = rows.groupBy(*signature).agg(F.min(position).alias("first"))
+    at_meet = rows.groupBy(athlete, "year", "competition").agg(F.count(F.lit(1)).alias("at_meet"))
+    same = F.lit(True)
+    for c in signature:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}"))
+    seen = rows.alias("r").join(first.alias("f"), same).select("r.*", "first").join(
+        at_meet, [athlete, "year", "competition"]).select(
+        F.row_number().over(before).alias("n"), F.max(here).over(past).alias("latest"), F.lag(here).over(before).alias("last"),
+        here.alias("here"), (F.col("at_meet") != 1).alias("crowded"), (F.col("first") < F.col(position)).alias("repeated"))
+
+    def n(name: str, test: Column) -> Column:
+        return F.count_if(F.coalesce(test, F.lit(False))).alias(name)
+
+    c = F.col
+    counted = seen.where("n > 1").agg(
+        F.count(F.lit(1)).alias("total_examples"), n("examples_with_target_in_history", c("crowded")),
+        n("examples_with_future_year_in_history", ~c("crowded") & (c("latest") > c("here"))),
+        n("examples_with_target_values_in_history", ~c("crowded") & c("repeated")),
+        n("athlete_ordering_violations", c("here") < c("last")))
+    return counted.withColumn("passed", sum(c(x) for x in counted.columns[1:]) == 0)

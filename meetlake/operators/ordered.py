@@ -7,16 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetlake.session import ensure_checkpoint_dir
-
-GROUP_ROWS = 2_000_000  # a window task may hold this many rows of one group
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the biggest group; counts are combined before the shuffle."""
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return top or 0
-
+#: Widths of the brackets tried around a percentile, widest first, as shares of the rows.
+MARGINS = (1.0, 0.1, 0.01, 0.001, 0.0001)
 
 def _combine(kind: str, value: Column, frame) -> Column:
     if kind == "count":
@@ -31,44 +23,35 @@ def _combine(kind: str, value: Column, frame) -> Column:
 
 
 def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   measures: Mapping[str, tuple[str, Column]], group_rows: int = GROUP_ROWS) -> DataFrame:
+                   measures: Mapping[str, tuple[str, Column]]) -> DataFrame:
     """Add measures over the rows strictly before each row of its group.
 
     ``measures`` maps a new column to (kind, expression), kind being count, sum, max or last. ``order``
-    must order the rows of a group without ties. Groups up to ``group_rows`` rows take one window. Beyond
-    that the rows are range-partitioned by (keys, order), so a hot group spreads over many chunks; the
-    chunks are pinned in a checkpoint, each chunk runs its own window, and one small window over chunk
-    totals carries the state from chunk to chunk. Both ways give the same rows.
+    must order the rows of a group without ties. The first order column cuts a group into chunks: each chunk
+    runs its own window, and a window over one row per chunk carries the state from chunk to chunk. A hot
+    group so spreads over as many tasks as it has values of that column.
     """
-    if largest_group(df, keys) <= group_rows:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[_combine(kind, value, frame).alias(name)
-                                for name, (kind, value) in measures.items()])
-
-    ensure_checkpoint_dir(df.sparkSession)
-    chunks = max(df.sparkSession.sparkContext.defaultParallelism,
-                 int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    step = order[0]
     values = [value.alias(f"_v_{name}") for name, (_, value) in measures.items()]
-    pinned = (df.select("*", *values).repartitionByRange(chunks, *keys, *order)
-              .withColumn("_chunk", F.spark_partition_id()).checkpoint())
+    rows = df.select("*", *values)
 
     whole = []
     for name, (kind, _) in measures.items():
         v = F.col(f"_v_{name}")
         total = {"count": F.count(v), "sum": F.sum(v), "max": F.max(v), "last": F.max_by(v, F.struct(*order))}[kind]
         whole.append(total.alias(f"_c_{name}"))
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = pinned.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"), *whole)
-    carried = carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), *[
+    by_step = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, step).agg(*whole)
+    carried = carried.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, step)], *[
         (F.sum(F.col(f"_c_{name}")) if kind in ("count", "sum") else F.max(F.col(f"_c_{name}")) if kind == "max"
-         else F.last(F.col(f"_c_{name}"))).over(by_chunk).alias(f"_p_{name}")
+         else F.last(F.col(f"_c_{name}"))).over(by_step).alias(f"_p_{name}")
         for name, (kind, _) in measures.items()])
 
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = pinned.select("*", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order)).alias("_n"), *[
+    inside = Window.partitionBy(*keys, step).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select("*", F.row_number().over(Window.partitionBy(*keys, step).orderBy(*order)).alias("_n"), *[
         _combine(kind, F.col(f"_v_{name}"), inside).alias(f"_l_{name}") for name, (kind, _) in measures.items()])
-    same = F.col("_chunk") == F.col("_k_chunk")
-    for k in keys:
+    same = F.lit(True)
+    for k in (*keys, step):
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     both = local.join(carried, same, "left")
     merged = {
@@ -81,38 +64,41 @@ def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                      small: int = 100_000, accuracy: int = 100_000) -> DataFrame:
+                      accuracy: int = 100_000) -> DataFrame:
     """Linearly interpolated percentiles per column, exact at any size: rows of (name, prob, value)."""
     known = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "name", "v")
     # one bracket row per listed column, so the broadcast side is bounded by the column list
-    return _percentiles(known, probs, small, accuracy, F.broadcast)
+    return _percentiles(known, probs, accuracy, F.broadcast)
 
 
 def group_percentiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
-                      small: int = 100_000, accuracy: int = 100_000) -> DataFrame:
+                      accuracy: int = 100_000) -> DataFrame:
     """The same per value of a group column: rows of (name, prob, value)."""
     known = df.select(F.col(group).alias("name"), F.col(value).cast("double").alias("v"))
-    return _percentiles(known, probs, small, accuracy, lambda side: side)
+    return _percentiles(known, probs, accuracy, lambda side: side)
 
 
-def _percentiles(values: DataFrame, probs: Sequence[float], small: int, accuracy: int, side) -> DataFrame:
+def _percentiles(values: DataFrame, probs: Sequence[float], accuracy: int, side) -> DataFrame:
     """A mergeable sketch first brackets each percentile; only values inside the bracket are then counted
-    per distinct value and walked in order. The bracket is a bounded share of the rows (all rows when a
-    name has at most ``small`` values), so no task ever sorts a whole column.
+    per distinct value and walked in order. A bracket reaches as far as the sketch may err and two rows more, so
+    it is a small share of the rows; a rank outside it, which the sketch's guarantee excludes, fails the job.
     """
     known = values.where("v IS NOT NULL")
-    margin = 5.0 / accuracy
-    low = [max(0.0, p - margin) for p in probs]
-    high = [min(1.0, p + margin) for p in probs]
-    sketch = known.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
-        F.percentile_approx("v", low, accuracy).alias("lows"),
-        F.percentile_approx("v", high, accuracy).alias("highs"))
-    bracket = sketch.select("name", "n", F.posexplode(F.arrays_zip("lows", "highs")).alias("i", "b"),
-                            "lowest", "highest").select(
-        "name", "n", "i", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1).alias("prob"),
-        F.when(F.col("n") <= small, F.col("lowest")).otherwise(F.col("b.lows")).alias("lo"),
-        F.when(F.col("n") <= small, F.col("highest")).otherwise(F.col("b.highs")).alias("hi"))
+    grid = sorted({min(1.0, max(0.0, p + d * m)) for p in probs for m in MARGINS for d in (-1, 1)})
+    place = {q: i + 1 for i, q in enumerate(grid)}
+    sketch = known.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", grid, accuracy).alias("q"))
+
+    def edge(p: float, way: int) -> Column:
+        """The narrowest edge whose margin covers the sketch's error and two rows."""
+        out = F.element_at("q", place[min(1.0, max(0.0, p + way * MARGINS[0]))])
+        for m in MARGINS[1:]:
+            wide_enough = F.lit(m) >= 2 / F.col("n") + 2.0 / accuracy
+            out = F.when(wide_enough, F.element_at("q", place[min(1.0, max(0.0, p + way * m))])).otherwise(out)
+        return out
+
+    bracket = sketch.select("name", "n", F.posexplode(F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), edge(p, -1).alias("lo"), edge(p, 1).alias("hi")) for p in probs])).alias("i", "b")
+    ).select("name", "n", "i", "b.*")
     per_name = bracket.groupBy("name").agg(F.collect_list(F.struct("i", "prob", "n", "lo", "hi")).alias("brackets"))
     tagged = known.join(side(per_name), "name").select("name", "v", F.explode("brackets").alias("b")).select(
         "name", F.col("b.i").alias("i"), F.col("b.prob").alias("prob"), F.col("b.n").alias("n"),
@@ -123,8 +109,11 @@ def _percentiles(values: DataFrame, probs: Sequence[float], small: int, accuracy
     ranked = counted.withColumn("upto", F.sum("count").over(walk)).where("v IS NOT NULL")
     spot = F.col("prob") * (F.col("n") - 1)
     at = ranked.groupBy("name", "prob", "n").agg(
+        F.min(F.col("upto") - F.col("count")).alias("less"), F.max("upto").alias("most"),
         F.min(F.when(F.col("upto") >= F.floor(spot) + 1, F.col("v"))).alias("below"),
         F.min(F.when(F.col("upto") >= F.ceil(spot) + 1, F.col("v"))).alias("beyond"))
     part = spot - F.floor(spot)
-    return at.select("name", "prob",
-                     (F.col("below") + (F.col("beyond") - F.col("below")) * part).alias("value"))
+    held = (F.col("less") <= F.floor(spot)) & (F.col("most") >= F.ceil(spot) + 1)
+    value = F.col("below") + (F.col("beyond") - F.col("below")) * part
+    return at.select("name", "prob", F.when(held, value).otherwise(
+        F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")).alias("value"))

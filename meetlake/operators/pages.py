@@ -146,7 +146,10 @@ def competition_blocks(pages: DataFrame, base: str, text_has: str = "Powerliftin
         page, "competition", absolute_url(base, F.col("href")).alias("men_url")).distinct()
 
 
-def source_rows(year_links: DataFrame, blocks: DataFrame, page: str = "page_id") -> DataFrame:
-    """Year pages with their competition blocks as source rows awaiting verification."""
-    return year_links.select(page, F.col("label").alias("year")).join(blocks, page).select(
+def source_rows(year_links: DataFrame, pages: DataFrame, blocks: DataFrame, page: str = "page_id",
+                url: str = "url") -> DataFrame:
+    """The competition blocks of the pages that the year links lead to, as source rows awaiting verification."""
+    behind = year_links.select(F.col("label").alias("year"), F.col("url").alias("_to")).join(
+        pages.select(page, F.col(url).alias("_to")), "_to")
+    return behind.join(blocks, page).select(
         "year", "competition", "men_url", F.lit("NEEDS_VERIFICATION").alias("status"))

@@ -254,25 +254,29 @@ def user_ranks(users: DataFrame, field: DataFrame, by: Sequence[str], value: str
 
 def podium_gaps(users: DataFrame, thresholds: DataFrame, on: Sequence[str] = ("question_id",),
                 total: str = "total") -> DataFrame:
-    """Distance of each user to every podium value, never below zero."""
-    return users.join(thresholds.select(*on, "gold", "silver", "bronze"), list(on)).withColumns({
+    """Distance of each user to every podium value, never below zero.
+
+    Thresholds have one row per question, that is per weight class and target year: a small table however many users ask
+    the same few questions, so it is sent to the users instead of shuffling them by question.
+    """
+    return users.join(F.broadcast(thresholds.select(*on, "gold", "silver", "bronze")), list(on)).withColumns({
         f"{m}_gap": F.greatest(F.lit(0.0), F.col(m) - F.col(total)) for m in ("gold", "silver", "bronze")})
 
 
 def class_comparison(athletes: DataFrame, thresholds: DataFrame, plan: Sequence[str] = ("target_year",)) -> DataFrame:
     """Bronze of the athlete's class and of its neighbours; the lowest one is named.
 
-    ``thresholds`` holds one row per plan and class index. Three candidate classes per athlete are
-    looked up by key, so this stays an equi join.
+    ``thresholds`` holds one row per plan and class index, so at most plans times classes: each plan's classes become one
+    map, the maps are sent to the athletes, and an athlete's three candidates are looked up in its row.
     """
     own = athletes.withColumn("class_index", class_index(F.col("bodyweight"))).where("class_index IS NOT NULL")
-    around = own.select("*", F.explode(F.array(*[F.col("class_index") + k for k in (-1, 0, 1)])).alias("candidate"))
-    table = thresholds.select(*plan, F.col("class_index").alias("candidate"), "bronze")
-    joined = around.join(table, [*plan, "candidate"])
-    per = joined.groupBy(*athletes.columns, "class_index").agg(
-        F.max(F.when(F.col("candidate") == F.col("class_index"), F.col("bronze"))).alias("current_bronze"),
-        F.min(F.struct("bronze", "candidate")).alias("low"),
-        F.count(F.lit(1)).alias("compared"))
+    bars = thresholds.groupBy(*plan).agg(F.map_from_entries(F.collect_list(F.struct("class_index", "bronze"))).alias("bars"))
+    near = [F.col("class_index") + k for k in (-1, 0, 1)]
+    known = F.array_compact(F.array(*[
+        F.when(F.map_contains_key("bars", k), F.struct(F.element_at("bars", k).alias("bronze"), k.alias("candidate"))) for k in near]))
+    per = own.join(F.broadcast(bars), list(plan)).select(
+        *athletes.columns, "class_index", F.element_at("bars", near[1]).alias("current_bronze"),
+        F.array_min(known).alias("low"), F.size(known).cast("bigint").alias("compared"))
     return per.where("current_bronze IS NOT NULL").select(
         *athletes.columns, "class_index", "compared", F.col("low.candidate").alias("recommended_index"),
         F.bround("current_bronze", 2).alias("current_bronze"), F.bround("low.bronze", 2).alias("recommended_bronze"),

@@ -219,14 +219,17 @@ def validation_report(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def final_audit(resolved: DataFrame, key: Sequence[str] = AUDIT_KEY) -> DataFrame:
     """Counters of the last gate before release, and PASS or FAIL.
 
-    Rows are first added up per result key, which also counts duplicate keys: one shuffle in all.
+    Rows are first added up per result key, which also counts duplicate keys: one shuffle in all. Measures may still be
+    text: what is no number is counted as invalid and plays no part in the other counters.
     """
     c = F.col
+    resolved = resolved.select("*", *[c(m).alias(f"raw_{m}") for m in MEASURES]).withColumns(
+        {m: c(m).try_cast("double") for m in MEASURES})
     absent = {f"missing_{r}": blank_to_null(strip(c(r).cast("string"))).isNull() for r in AUDIT_REQUIRED}
     flags = {
         **{k: t.cast("int") for k, t in absent.items()},
         **{f"confidence_{k.lower()}": (c("identity_confidence") == k).cast("int") for k in CONFIDENCES},
-        "invalid_numerics": sum((c(m).isNotNull() & c(m).try_cast("double").isNull()).cast("int") for m in MEASURES),
+        "invalid_numerics": sum((c(f"raw_{m}").isNotNull() & c(m).isNull()).cast("int") for m in MEASURES),
         "zero_attempts": sum(F.coalesce((c(a) == 0).cast("int"), F.lit(0)) for a in ATTEMPTS),
         "total_mismatches": total_differs((*BESTS, "total"), 0.01).cast("int"),
     }

@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 from meetlake.functions.text import blank_to_null, strip
 from meetlake.schema import MEASURES, require_columns
 
+# fixed values: the columns that exports and the canonical table must have
 REQUIRED = ("athlete_id", "resolved_athlete_id", "year", "competition", "division", "equipment", "weight_class",
             *MEASURES, "place", "lot", "team", "date_of_birth", "identity_confidence")
 CANONICAL = ("athlete_id", "resolved_athlete_id", "athlete_name", "year", "competition", "date_of_birth")
 BRIDGE_KEYS = ("athlete_id", "year", "competition", "date_of_birth")
 TEXT_COLUMNS = ("athlete_id", "resolved_athlete_id", "athlete_name", "competition", "division", "equipment",
                 "team", "date_of_birth", "identity_confidence")
-WHOLE_NUMBERS = ("year", "weight_class", "place", "lot")
-HISTORY_COLUMNS = ("resolved_athlete_id", "athlete_name", "year", "competition", "division", "equipment",
-                   "weight_class", *MEASURES, "place", "lot", "team", "date_of_birth", "identity_confidence",
-                   "athlete_id")
+WHOLE_NUMBERS = ("year", "place", "lot")
 
 
 def trim_texts(df: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
@@ -27,8 +25,14 @@ def trim_texts(df: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> DataFram
 
 
 def coerce_numbers(df: DataFrame, columns: Sequence[str] = MEASURES) -> DataFrame:
-    """Unreadable numbers become null; years, classes, places and lots become whole numbers."""
+    """Unreadable numbers become null; years, places and lots become whole numbers.
+
+    Weight classes stay text, so that the open class keeps its name; a class read as a number loses its decimals.
+    """
     whole = {c: F.col(c).try_cast("double").try_cast("int") for c in WHOLE_NUMBERS if c in df.columns}
+    if "weight_class" in df.columns:
+        text = strip(F.col("weight_class").cast("string"))
+        whole["weight_class"] = F.coalesce(text.try_cast("double").try_cast("int").cast("string"), text)
     return df.withColumns({c: F.col(c).try_cast("double") for c in columns if c in df.columns} | whole)
 
 

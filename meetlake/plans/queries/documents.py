@@ -139,6 +139,8 @@ def men_links(spark, d):
 
 @query("source_rows")
 def source_rows(spark, d):
+    """Pages stand for year pages by the path of their url, so that links of some pages lead to others."""
     pages = texts(spark, d, "pages")
+    years = pages.select("page_id", F.concat(F.lit(BASE), F.regexp_extract("url", r"(/[a-z]+)/", 1)).alias("url"), "html")
     blocks = PG.competition_blocks(pages, BASE, "the", "the", "the", ("shsh",))
-    return PG.source_rows(PG.labelled_links(pages, BASE, r"^[a-z]{4}$"), blocks)
+    return PG.source_rows(PG.labelled_links(pages, BASE, r"^[a-z]{4}$"), years, blocks)

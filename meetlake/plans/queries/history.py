@@ -160,3 +160,21 @@ SELECT count(*) AS total_examples, count_if(same_meet <> 1) AS examples_with_tar
 def _(spark, d):
     # the audit reads its input along two ways, so the few columns it needs are computed once
     return H.leakage_audit(pinned(meet_results(spark, d).select("seq", "athlete_id", "year", "competition", *TARGETS)))
+
+
+@query("order_audit", f"""WITH {MEET_RESULTS_SQL}, seen AS (
+SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY athlete_id, year, competition) AS at_meet,
+  max({{'y': year, 'c': competition}}) OVER (PARTITION BY athlete_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest,
+  lag({{'y': year, 'c': competition}}) OVER w AS last, {{'y': year, 'c': competition}} AS here,
+  min(seq) OVER (PARTITION BY athlete_id, best_squat, best_bench, best_deadlift, total) AS first
+FROM meet_results WINDOW w AS (PARTITION BY athlete_id ORDER BY seq)),
+counted AS (
+SELECT count(*) AS total_examples, count_if(at_meet <> 1) AS examples_with_target_in_history,
+  count_if(at_meet = 1 AND latest > here) AS examples_with_future_year_in_history,
+  count_if(at_meet = 1 AND first < seq) AS examples_with_target_values_in_history,
+  count_if(here < last) AS athlete_ordering_violations FROM seen WHERE n > 1)
+SELECT *, examples_with_target_in_history + examples_with_future_year_in_history + examples_with_target_values_in_history
+  + athlete_ordering_violations = 0 AS passed FROM counted""")
+def order_audit(spark, d):
+    """The tables' filing order is no order of time, so the counters are above zero."""
+    return H.order_audit(meet_results(spark, d).select("seq", "athlete_id", "year", "competition", *TARGETS), "seq")

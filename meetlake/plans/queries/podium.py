@@ -221,7 +221,8 @@ def user_thresholds(spark, d):
 
 def users(spark, d):
     have, bars = user_thresholds(spark, d)
-    return have.join(bars.select("question_id", "gold", "silver", "bronze"), "question_id")
+    # one row per weight class and target year: its bound
+    return have.join(F.broadcast(bars.select("question_id", "gold", "silver", "bronze")), "question_id")
 
 
 @query("podium_gaps", f"""{WITH}, {_USERS_SQL}

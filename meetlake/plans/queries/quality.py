@@ -298,6 +298,21 @@ def final_audit(spark, d):
     return Q.final_audit(applied(spark, d))
 
 
+@query("final_audit_text", f"""{WITH}, {_APPLIED_SQL}
+SELECT count(*) AS total_records, count_if(seq % 7 = 0 AND bodyweight IS NOT NULL) + count_if(seq % 5 = 0 AND squat_1 IS NOT NULL)
+    AS invalid_numerics,
+  {" + ".join(f"count_if({a} = 0{' AND seq % 5 <> 0' if a == 'squat_1' else ''})" for a in ATTEMPTS)} AS zero_attempts,
+  count_if(abs(best_squat + best_bench + best_deadlift - total) > 0.01) AS total_mismatches, 'FAIL' AS result FROM applied""")
+def final_audit_text(spark, d):
+    """Results as text, with words in place of some numbers."""
+    rows = applied(spark, d)
+    text = {m: F.col(m).cast("string") for m in MEASURES}
+    text["bodyweight"] = F.when((F.col("seq") % 7 == 0) & F.col("bodyweight").isNotNull(), F.lit("sixty")).otherwise(text["bodyweight"])
+    text["squat_1"] = F.when((F.col("seq") % 5 == 0) & F.col("squat_1").isNotNull(), F.lit("n/a")).otherwise(text["squat_1"])
+    return Q.final_audit(rows.withColumns(text)).select(
+        "total_records", "invalid_numerics", "zero_attempts", "total_mismatches", "result")
+
+
 # ---- descriptive tables -----------------------------------------------------------------------
 
 @query("overview", f"""{WITH}

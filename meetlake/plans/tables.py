@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from meetlake.functions.text import equipment_of, weight_class_of
 from meetlake.schema import LIFTS, RESULT_SCHEMA
-from meetlake.session import spread
 
 # fixed values: return flag of each lift
 FLAG = {"squat": "A", "bench": "N", "deadlift": "R"}
@@ -22,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with long texts, spread over the cores when it comes in few files."""
-    return spread(table(spark, sf_dir, name))
+    """A table with long texts, split as the scan splits it."""
+    return table(spark, sf_dir, name)
 
 
 def _line_facts() -> list[str]:
@@ -79,8 +78,8 @@ def meet_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines are reduced per order before they meet the orders, so both sides of the join have one row per
     key. The dates, customers and meets of large orders play no part in the partitioning.
     """
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
-    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders")
     facts = lines.groupBy("l_orderkey").agg(*map(F.expr, _line_facts()))
     joined = facts.join(orders, F.expr("l_orderkey = o_orderkey")).withColumn("meet", F.expr(_MEET))
     columns = {n: F.expr(c) for n, c in _result_columns().items()} | {

@@ -1,11 +1,16 @@
-"""Session construction and the checkpoint location."""
+"""Session construction and stages in the shared folder."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "meetlake", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution on and UTC time; sizes stay with the cluster unless given."""
@@ -21,35 +26,43 @@ def build_session(app: str = "meetlake", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; choose one only for a local master that names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a folder of its own only on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="meetlake-checkpoint-")
-    context.setCheckpointDir(named)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="meetlake-stage-")
+    return _LOCAL[app]
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Compute a reduced table once and cut its lineage, so that several consumers share one pass."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def fresh_folder(spark: SparkSession, name: str, below: str | None = None) -> str:
+    """A path that no other run uses, below the given folder or the shared one."""
+    return f"{below or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table of fewer files than cores over the shuffle partitions, by the given keys if any.
+def pinned(df: DataFrame, below: str | None = None) -> DataFrame:
+    """Write a reduced table once as Parquet and read it back, so that several consumers share one pass.
 
-    A handful of small files would otherwise keep most cores idle. A table of many files is left as the
-    scan splits it, so large inputs never pay for this.
+    Readers still prune columns and push filters down, and a lost executor costs only its own tasks.
     """
-    spark = df.sparkSession
-    if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    path = fresh_folder(df.sparkSession, "stage", below)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster, for sessions that did not start from its folder."""
+    if spark.sparkContext.master.startswith("local["):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='meetlake-ship-')}/meetlake", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)  # the driver serves it to the executors

@@ -36,31 +36,46 @@ def read_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataF
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
-def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Canonical JSON lines; blank lines are skipped. In strict mode a malformed line fails the job."""
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.option("mode", mode).schema(RESULT_SCHEMA).json(path)
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Canonical JSON lines; blank lines are skipped, and a malformed line fails the job."""
+    return spark.read.option("mode", "FAILFAST").schema(RESULT_SCHEMA).json(path)
 
 
-def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines the strict reader would fail on, with their file."""
+def split_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The good rows of canonical JSON lines, and the lines that read_results would fail on: (rows, rejects).
+
+    A reject has its file, the byte at which its split began and its number within it where Spark knows them, and the
+    line itself: between the two tables no line is lost.
+    """
     schema = T.StructType([*RESULT_SCHEMA.fields, T.StructField(_BAD, T.StringType(), True)])
-    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": _BAD})
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.where(parsed[_BAD].isNotNull()).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line_in_block"))
+    parsed = lines.where(F.trim("value") != "").withColumn(
+        "row", F.from_json("value", schema, {"columnNameOfCorruptRecord": _BAD}))
+    rows = parsed.where(F.col(f"row.{_BAD}").isNull()).select(*[f"row.{n}" for n in RESULT_SCHEMA.names])
+    rejects = parsed.where(F.col(f"row.{_BAD}").isNotNull()).select("file", "block_start", "line_in_block", F.col("value").alias("line"))
+    return rows, rejects
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines the reader fails on, with their file and place."""
+    return split_results(spark, path)[1]
 
 
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:
-    """Strict canonical table: malformed lines, missing columns and an empty file all fail."""
-    names = spark.read.json(path).columns
-    if not names:
+    """Strict canonical table: malformed lines, missing columns and an empty file all fail; the first bad line is named."""
+    keys = spark.read.text(path).where(F.trim("value") != "").select(F.explode(F.json_object_keys("value")).alias("name"))
+    bad = malformed_lines(spark, path).first()
+    if bad:
+        raise ValueError(f"malformed line {bad['line_in_block'] + 1} of {bad['file']} from byte {bad['block_start']}: {bad['line'][:200]}")
+    names = {r["name"] for r in keys.where(F.col("name").isin(RESULT_SCHEMA.names)).distinct().collect()}  # the schema's at most
+    if not names and spark.read.text(path).where(F.trim("value") != "").isEmpty():
         raise ValueError(f"no records in {path}")
-    if _BAD in names:
-        raise ValueError(f"malformed lines in {path}")
-    absent = sorted(set(RESULT_SCHEMA.names) - set(names))
+    absent = sorted(set(RESULT_SCHEMA.names) - names)
     if absent:
         raise ValueError("missing columns: " + ", ".join(absent))
-    return read_results(spark, path, strict=True)
+    return read_results(spark, path)
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:

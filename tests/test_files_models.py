@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -59,11 +60,17 @@ def test_unknown_source_fails_only_in_strict_mode(spark, folder):
 def test_result_files(spark, results, tmp_path):
     rows = results(dict(resolved_athlete_id="R"), dict(total=None))
     W.write_jsonl(rows, str(tmp_path / "j"))
-    line = json.loads(next((tmp_path / "j").glob("*.json")).read_text().splitlines()[0])
+    line = json.loads("".join(p.read_text() for p in sorted((tmp_path / "j").glob("*.json"))).splitlines()[0])
     assert list(line) == sorted(line) and "team" in line and line["team"] is None
     (tmp_path / "broken.jsonl").write_text(json.dumps(line) + "\n\n{not json\n")
-    assert R.read_results(spark, str(tmp_path / "broken.jsonl")).count() == 1
-    assert R.malformed_lines(spark, str(tmp_path / "broken.jsonl")).first()["line"] == "{not json"
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        R.read_results(spark, str(tmp_path / "broken.jsonl")).collect()
+    good, bad = R.split_results(spark, str(tmp_path / "broken.jsonl"))
+    assert good.count() == 1 and [(r["line"], r["line_in_block"]) for r in bad.collect()] == [("{not json", 2)]
+    (tmp_path / "words.jsonl").write_text(json.dumps(line) + "\n" + json.dumps({**line, "bodyweight": "sixty"}) + "\n")
+    good, bad = R.split_results(spark, str(tmp_path / "words.jsonl"))
+    assert good.count() == 1 and "sixty" in bad.first()["line"]
+    assert good.columns == R.read_results(spark, str(tmp_path / "words.jsonl")).columns
     with pytest.raises(ValueError, match="malformed"):
         R.read_canonical(spark, str(tmp_path / "broken.jsonl"))
     (tmp_path / "short.jsonl").write_text('{"athlete_id": "a"}\n')
@@ -72,7 +79,7 @@ def test_result_files(spark, results, tmp_path):
     W.write_quality_report(rows, str(tmp_path / "q"))
     assert spark.read.json(str(tmp_path / "q")).first()["dataset"]["total_records"] == 2
     W.write_contract(spark, str(tmp_path / "c"))
-    assert R.application_table is not None and W.read_contract(spark, str(tmp_path / "c"))[0] == PRODUCTION_FEATURES
+    assert W.read_contract(spark, str(tmp_path / "c"))[0] == PRODUCTION_FEATURES
     (tmp_path / "report.json").write_text(json.dumps({"groups": [
         {"athlete_id": "a", "year": 2020, "competition": "M", "classification": c} for c in ("SAME", "SPLIT")]}))
     assert R.read_resolution(spark, str(tmp_path / "report.json")).first()["classification"] == "SPLIT"

@@ -46,6 +46,8 @@ def test_coercion(spark):
     raw = spark.createDataFrame([(" x ", "12.5", "2020.0", "bad")], "team string, bodyweight string, year string, total string")
     got = S.coerce_numbers(S.trim_texts(raw)).first()
     assert (got["team"], got["bodyweight"], got["year"], got["total"]) == ("x", 12.5, 2020, None)
+    classes = spark.createDataFrame([("120+",), (" 66 ",), ("66.0",), (None,)], "weight_class string")
+    assert [r[0] for r in S.coerce_numbers(classes).select("weight_class").collect()] == ["120+", "66", "66", None]
     with pytest.raises(ValueError, match="missing columns"):
         S.application_table(raw)
 
@@ -97,4 +99,6 @@ def test_competition_blocks(spark):
     assert got == {("State Powerlifting Cup", BASE + "/m.pdf"), ("Club Powerlifting Cup", BASE + "/c.pdf")}
     links = spark.createDataFrame([(1, "u", "2019")], "page_id int, url string, label string")
     blocks = spark.createDataFrame([(1, "Cup", "m")], "page_id int, competition string, men_url string")
-    assert tuple(PG.source_rows(links, blocks).first()) == ("2019", "Cup", "m", "NEEDS_VERIFICATION")
+    pages = spark.createDataFrame([(1, "v"), (2, "u"), (3, "w")], "page_id int, url string")
+    blocks = blocks.unionByName(blocks.selectExpr("2 AS page_id", "'Open' AS competition", "'o' AS men_url"))
+    assert [tuple(r) for r in PG.source_rows(links, pages, blocks).collect()] == [("2019", "Open", "o", "NEEDS_VERIFICATION")]
