@@ -43,6 +43,8 @@ AROUND = frozenset(
     "search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 HOLDER = frozenset("article body content entry main post story text".split())
 NEVER = frozenset("button form input select textarea".split())
+#: Containers that say nothing by themselves.
+NEUTRAL = frozenset("center dd div dl dt li ol section table tbody td tfoot th thead tr ul".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -141,6 +143,10 @@ def tree(html: str) -> list[Node]:
     return nodes
 
 
+def surrounds(node: Node) -> bool:
+    return node.tag in AROUND or node.tag not in ("article", "main") and bool(node.marks & AROUND)
+
+
 def _bucket(n: float) -> int:
     return min(7, int(math.log2(n + 1) / 1.5))
 
@@ -150,13 +156,13 @@ def set_features(nodes: list[Node]) -> None:
         if node.tag == "#text":
             text, size = node.text, len(node.text)
             parent = nodes[node.parent].tag
-            node.features = ("in:" + parent, f"len:{_bucket(size)}", f"link:{round(4 * min(1.0, node.link / size))}",
+            place = () if parent in NEUTRAL else ("in:" + parent,)
+            node.features = (*place, f"len:{_bucket(size)}", f"link:{round(4 * min(1.0, node.link / size))}",
                              f"stop:{text[-1] in '.!?:'}", f"commas:{min(3, text.count(', '))}")
         else:
-            around = bool(node.marks & AROUND) or node.tag in AROUND
-            holds = bool(node.marks & HOLDER) or node.tag in HOLDER and node.tag != "body"
-            node.features = ("tag:" + node.tag, f"around:{around}", f"holds:{holds and not around}")
-    return
+            around, holds = surrounds(node), bool(node.marks & HOLDER) or node.tag in HOLDER and node.tag != "body"
+            name = () if node.tag in NEUTRAL else ("tag:" + node.tag,)
+            node.features = (*name, f"around:{around}", f"holds:{holds and not around}")
 
 
 def truth(nodes: list[Node]) -> list[bool]:
@@ -164,8 +170,8 @@ def truth(nodes: list[Node]) -> list[bool]:
     inside, out = [], []
     for node in nodes:
         above = inside[node.parent] if node.parent >= 0 else None
-        if above is False or node.tag in AROUND or node.marks & AROUND or node.tag in NEVER:
-            state = False if above is not None or node.tag in AROUND or node.marks & AROUND else None
+        if above is False or surrounds(node) or node.tag in NEVER:
+            state = False
         elif node.tag in ("article", "main"):
             state = True
         else:
@@ -176,7 +182,8 @@ def truth(nodes: list[Node]) -> list[bool]:
 
 
 def kind(node: Node) -> str:
-    return "text" if node.tag == "#text" else "block"
+    """Which parent-child potential a node has: text, elements that may begin an article, and all others."""
+    return "text" if node.tag == "#text" else "holder" if "holds:True" in node.features else "block"
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, tuple[int, int]]:
@@ -212,25 +219,30 @@ class Model:
     """Log potentials from counts, and exact marginals of a page's nodes."""
 
     SMOOTH = 0.5
+    #: A text run's features overlap (short ones rarely end a sentence), so each counts for a part. What no labelled page has
+    #: is no proof: ratios end at LIMIT. The names that surround articles are knowledge beyond the labels: at least AROUND.
+    TEXT_PART, LIMIT, AROUND = 0.4, 3.0, -10.0
 
     def __init__(self, counts: dict[str, tuple[int, int]]):
-        totals = {k: counts.get("all:" + k, (0, 0)) for k in ("text", "block")}
+        no_blocks, yes_blocks = (sum(counts.get("all:" + k, (0, 0))[i] for k in ("block", "holder")) for i in (0, 1))
+        totals, s = {"text": counts.get("all:text", (0, 0)), "block": (no_blocks, yes_blocks)}, self.SMOOTH
         self.own = {}
         for name, (no, yes) in counts.items():
-            if name.split(":")[0] in ("all", "pair"):
+            what = name.split(":")[0]
+            if what in ("all", "pair"):
                 continue
-            all_no, all_yes = totals["block" if name.split(":")[0] in ("tag", "around", "holds") else "text"]
-            s = self.SMOOTH
-            self.own[name] = math.log((yes + s) / (all_yes + 2 * s)) - math.log((no + s) / (all_no + 2 * s))
+            of_block = what in ("tag", "around", "holds")
+            all_no, all_yes = totals["block" if of_block else "text"]
+            ratio = math.log((yes + s) / (all_yes + 2 * s)) - math.log((no + s) / (all_no + 2 * s))
+            self.own[name] = min(max(ratio, -self.LIMIT), self.LIMIT) * (1 if of_block else self.TEXT_PART)
+        self.own["around:True"] = min(self.own.get("around:True", 0.0), self.AROUND)
         self.pair = {}
-        for what in ("text", "block"):
+        for what in ("text", "block", "holder"):
             rows = []
             for state in (0, 1):
                 no, yes = counts.get(f"pair:{what}:{state}", (0, 0))
-                total = no + yes + 2 * self.SMOOTH
-                rows.append(((no + self.SMOOTH) / total, (yes + self.SMOOTH) / total))
+                rows.append(tuple((n + s) / (no + yes + 2 * s) for n in (no, yes)))
             self.pair[what] = rows
-        no, yes = counts.get("all:block", (0, 0))
         self.own["tag:page"] = -8.0  # the page as a whole is never an article
 
     def marginals(self, nodes: list[Node]) -> list[float]:
