@@ -21,6 +21,7 @@ HEADLINE = (
     "profile", "integrity_issues", "deduplicated", "resolve_groups", "apply_resolution", "describe",
     "latest_record", "leaderboard", "podium_threshold", "attempt_plan",
     "content_class", "format_profile", "canonical_results",
+    "error_percentiles", "user_rank", "competitors", "class_comparison",
 )
 
 

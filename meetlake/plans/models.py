@@ -69,17 +69,16 @@ def prepare(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=preparation(train)).fit(train)
 
 
-def candidates(rows: int, size: float = 1.0) -> dict[str, object]:
-    """Candidate regressors; ``rows`` scales the ridge penalty, ``size`` the number of trees."""
-    trees = lambda n: max(2, int(n * size))
+def candidates(rows: int) -> dict[str, object]:
+    """Candidate regressors; ``rows`` scales the ridge penalty."""
     common = dict(featuresCol="features", labelCol="label", predictionCol="predicted")
     forest = dict(minInstancesPerNode=2, maxDepth=10, seed=SEED, **common)
     return {
         "Ridge": LinearRegression(regParam=10.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, **common),
         "ElasticNet": LinearRegression(regParam=0.01, elasticNetParam=0.5, maxIter=200, standardization=False, **common),
-        "Random Forest": RandomForestRegressor(numTrees=trees(500), featureSubsetStrategy="sqrt", **forest),
-        "Extra Trees": RandomForestRegressor(numTrees=trees(500), featureSubsetStrategy="all", **forest),
-        "Gradient Boosting": GBTRegressor(maxIter=trees(300), stepSize=0.03, maxDepth=3, minInstancesPerNode=3,
+        "Random Forest": RandomForestRegressor(numTrees=500, featureSubsetStrategy="sqrt", **forest),
+        "Extra Trees": RandomForestRegressor(numTrees=500, featureSubsetStrategy="all", **forest),
+        "Gradient Boosting": GBTRegressor(maxIter=300, stepSize=0.03, maxDepth=3, minInstancesPerNode=3,
                                           seed=SEED, **common),
     }
 
@@ -251,14 +250,26 @@ def projection_failures(projected: DataFrame) -> DataFrame:
                          F.count_if(F.col("ai_predicted_total").isNull()).alias("failures"))
 
 
-def session_models(spark: SparkSession, supervised: DataFrame, size: float, names: Sequence[str] | None = None):
-    """Preparation, fitted candidates and prepared splits of a supervised table with a split column."""
+def bounded(rows: DataFrame, limit: int, key: str) -> DataFrame:
+    """About ``limit`` rows at most, chosen by a hash of their key, so that the choice doesn't depend on partitions."""
+    share = min(1.0, limit / max(rows.count(), 1))
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+
+
+def session_models(spark: SparkSession, supervised: DataFrame, train_rows: int, key: str, names: Sequence[str] | None = None):
+    """Preparation, fitted candidates and prepared splits of a supervised table with a split column.
+
+    ``train_rows`` bounds the labelled rows that models are trained on; all judged rows are kept.
+    """
     rows = complete_rows(supervised)
-    train = rows.where("split = 'train'")
+    train = bounded(rows.where("split = 'train'"), train_rows, key)
     prep = prepare(train)
-    wanted = candidates(train.count(), size)
+    wanted = candidates(train.count())
     if names is not None:
         wanted = {n: wanted[n] for n in names}
-    prepared = prep.transform(rows)
-    fitted = fit_all(prepared.where("split = 'train'"), wanted)
-    return prep, fitted, prepared
+    learned = prep.transform(train).select("features", *TARGETS).persist()
+    try:
+        fitted = fit_all(learned, wanted)
+    finally:
+        learned.unpersist()
+    return prep, fitted, prep.transform(rows)

@@ -100,7 +100,8 @@ def test_models_end_to_end(spark, results, tmp_path):
     table = results(*history())
     rows = M.with_split(supervised_dataset(table), 2018, 2019).cache()
     assert M.shared_years(rows).count() == 0
-    prep, fitted, prepared = ML.session_models(spark, rows, 0.01, ("Ridge", "Random Forest"))
+    prep, fitted, prepared = ML.session_models(spark, rows.withColumn("seq", F.monotonically_increasing_id()), 1000, "seq",
+                                               ("Ridge", "Random Forest"))
     metrics = M.error_metrics(ML.long_predictions(prepared.where("split = 'validation'"), fitted))
     assert metrics.count() == 8
     chosen = {r["target"]: r["model"] for r in M.best_models(metrics).collect()}
@@ -158,6 +159,6 @@ def test_metrics_by_hand(spark):
 def test_guards_and_grid():
     with pytest.raises(ValueError, match="not allowed"):
         forbid_columns((*HISTORY_FEATURES, "total"), TARGETS)
-    forest = ML.candidates(10, 0.01)["Random Forest"]
+    forest = ML.candidates(10)["Random Forest"]
     grid = ML.sampled_grid(forest, {"maxDepth": (2, 3), "minInstancesPerNode": (1, 2)}, 20)
     assert len(grid) == 4 and len(ML.sampled_grid(forest, ML.TUNING["Random Forest"], 20)) == 20
