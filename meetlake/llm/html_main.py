@@ -6,7 +6,7 @@ potential ties it to its parent. Both are log ratios of counts over labelled pag
 down again and give each text run's exact marginal; runs that are more likely content than not are the text.
 
 Labels come from pages that mark their article themselves (``labelled``). The counts are a small table of features,
-whatever the corpus; they are summed by Spark over at most ``sample`` labelled pages, those with the least hash of their id.
+whatever the corpus; they are summed by Spark over about ``sample`` pages at most, those with a small hash of their id.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.registry import query
-from meetlake.llm.shared import table
+from meetlake.llm.shared import bounded, table
 
 SAMPLE = 4000
 
@@ -188,9 +188,7 @@ def kind(node: Node) -> str:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, tuple[int, int]]:
     """Counts of every feature and every parent-child pair by state, over pages that mark their article."""
-    labelled = (pages.where(F.lower(html_col).rlike("<(article|main)[ >]")).select(F.xxhash64(F.col(id_col)).alias("turn"),
-                                                                                 F.col(html_col).alias("html"))
-                .orderBy("turn", "html").limit(sample).repartition(8).select("html"))
+    labelled = bounded(pages, sample, id_col).where(F.lower(html_col).rlike("<(article|main)[ >]")).select(F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

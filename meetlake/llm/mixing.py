@@ -66,7 +66,7 @@ def target_shares(cells: DataFrame, margin: str, target: float | Mapping[str, fl
     """
     sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("share"))
     if isinstance(target, Mapping):
-        wanted = cells.sparkSession.createDataFrame(list(target.items()), f"{margin} string, given double")
+        wanted = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], f"{margin} string, given double")
         sums = sums.join(wanted, margin, "left").select(margin, F.coalesce("given", F.lit(0.0)).alias("share"))
     else:
         sums = sums.select(margin, F.when(F.col("share") > 0, F.pow("share", target)).otherwise(0.0).alias("share"))

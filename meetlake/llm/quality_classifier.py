@@ -4,7 +4,7 @@ A text's features are the n-grams of its words and of their shapes (runs of capi
 character each, so ``shout!!`` and ``noise!!`` agree), hashed into 2 ** BITS places. A family's n-grams weigh one in all,
 so long texts don't outweigh short ones. Scores are sparse dot products of these weights with the model's.
 
-The model is trained in one task on at most ``sample`` labelled rows, those with the least hash of their id, so the
+The model is trained in one task on about SAMPLE labelled rows at most, those with a small hash of their id, so the
 choice doesn't depend on partitions. The bound is a documented parameter, not a property of the data: training is
 sequential by nature, and the weights (one megabyte whatever the corpus) are broadcast to score all texts in parallel.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.registry import query
-from meetlake.llm.shared import Rolling, _BYTE_VALUE, _BYTES, mixed, table, text_parts, word_hashes, words_of
+from meetlake.llm.shared import Rolling, _BYTE_VALUE, _BYTES, bounded, mixed, table, text_parts, word_hashes, words_of
 
 BITS, SAMPLE, THRESHOLD = 18, 8_000, 0.3
 ORDERS = (1, 2)
@@ -91,27 +91,30 @@ class Follower:
             self.update(np.append(at, 1 << BITS), np.append(x, 1.0), label, balance[label])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weights and bias from rows (id, text, label); both labels weigh the same in all. Without both, all weights are 0."""
+def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and bias from rows (id, text, label); both labels weigh the same in all. Without both, all weights are 0.
+
+    One task holds all rows, so the caller bounds them (``bounded``). Rows with other labels are left out.
+    """
     chosen = labelled.select(F.xxhash64("id").alias("turn"), "id", F.coalesce("text", F.lit("")).alias("text"),
                              F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    chosen = chosen.orderBy("turn", "id", "label").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches, pa.schema([("text", pa.string()), ("label", pa.int32())])).combine_chunks()
-        labels = rows.column("label").to_numpy().astype(np.int64)
+        batches = list(batches)
+        labels = np.concatenate([b.column("label").to_numpy() for b in batches] or [np.zeros(0)]).astype(np.int64)
         counts = np.bincount(labels, minlength=2)
         model = Follower()
         if counts.all():
             balance = tuple(len(labels) / (2 * counts))
-            for column in rows.column("text").chunks:
-                done = 0
-                for low, high, data, offsets in text_parts(column):
-                    model.learn(data, offsets, labels[low:high], balance)
+            done = 0
+            for batch in batches:
+                for low, high, data, offsets in text_parts(batch.column("text")):
+                    model.learn(data, offsets, labels[done + low:done + high], balance)
+                done += len(batch)
         weights = model.weights().astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
-    rows = chosen.coalesce(1).sortWithinPartitions("turn", "id", "label").select("text", "label")
+    rows = chosen.repartition(1).sortWithinPartitions("turn", "id", "label", "text").select("text", "label")
     found = rows.mapInArrow(run, "weights binary").collect()
     weights = np.frombuffer(found[0]["weights"], np.float32).astype(np.float64) if found else np.zeros((1 << BITS) + 1)
     return weights[:-1], float(weights[-1])
@@ -143,5 +146,5 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~held_out)
-    model = train(docs.join(labels, "doc_id").withColumnRenamed("doc_id", "id"))
+    model = train(docs.join(bounded(labels, SAMPLE, "doc_id"), "doc_id").withColumnRenamed("doc_id", "id"))
     return scored(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), model)

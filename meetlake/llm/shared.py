@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(_SPACES)] = True
 
 _LOCAL: dict[str, str] = {}
+_STAGES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,13 +49,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _STAGES[out] = path
+    return out
+
+
+def discard(stage: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more: all that came of it has been staged itself."""
+    jvm, path = stage.sparkSession.sparkContext._jvm, _STAGES.pop(stage)
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(stage.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(rows: DataFrame, limit: int, key: str) -> DataFrame:
+    """About ``limit`` rows at most, those whose key has a small hash: the choice depends on nothing but the keys and the count."""
+    share = min(1.0, limit / max(rows.count(), 1))
+    return rows if share == 1.0 else rows.where(F.shiftrightunsigned(F.xxhash64(key), 11) < F.lit(int(share * (1 << 53))))
+
+
 def row_key(ident: Column, text: Column) -> list[Column]:
     """Two columns that name a row by its id and text: rows that agree in both are repeats with equal results."""
     return [F.coalesce(ident.cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(text).alias("k2")]

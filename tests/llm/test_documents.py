@@ -93,7 +93,7 @@ def test_base_counts(make_docs, odd_texts):
 
 
 def test_outliers_go_and_clean_documents_stay(make_docs, rng):
-    clean = [(n, " ".join(prose(rng, rng.randint(30, 400)).split())) for n in range(280)]
+    clean = [(n, " ".join(prose(rng, rng.randint(30, 400)).split())) for n in range(420)]
     noisy = [(1000 + n, " ".join(w + "###" for w in prose(rng, 100).split())) for n in range(25)]
     got = {r["doc_id"]: r["kept"] for r in quality_rules.judged(make_docs(clean + noisy)).collect()}
     assert all(got[i] for i, _ in clean) and not any(got[i] for i, _ in noisy)
@@ -128,7 +128,7 @@ def test_classifier_learns_and_scores_all(spark, make_docs, rng):
     rows = docs.where("doc_id < 5000 and doc_id % 4 <> 0").select(
         F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") < 1000, 1).otherwise(0).alias("label"))
     model = quality_classifier.train(rows.unionByName(rows.limit(1).withColumn("label", F.lit(None).cast("int"))))
-    again = quality_classifier.train(rows.repartition(7), sample=10**6)
+    again = quality_classifier.train(rows.repartition(7))
     assert np.array_equal(model[0], again[0])
     out = quality_classifier.scored(docs, model).collect()
     assert len(out) == 183 and all(0 <= r["score"] <= 1 for r in out)
