@@ -9,12 +9,10 @@ from meetlake.functions.text import CLASS_LIMITS, OPEN_CLASS
 
 WEIGHT_CLASSES = tuple(f"{k} kg" for k in (*CLASS_LIMITS, OPEN_CLASS))
 CATEGORIES = tuple(f"Men {c}" for c in WEIGHT_CLASSES)
-# fixed values: divisions, meet families, regions and selectable years
+# fixed values: divisions, meet families and regions
 DIVISIONS = ("Sub Junior", "Junior", "Open", "Master 1", "Master 2", "Master 3", "Master 4")
 COMPETITION_TYPES = ("Nationals", "Regional")
 REGIONS = ("India", "East India", "West India", "North India", "South India")
-HISTORICAL_YEARS = (2024, 2025, 2026)
-PLANNING_YEARS = tuple(range(2026, 2036))
 
 
 def competition_catalogue(spark: SparkSession) -> DataFrame:

@@ -94,8 +94,8 @@ def status_counts(sources: DataFrame, status: str = "content_status") -> DataFra
 
 
 def review_sample(rows: DataFrame, n: int, status: str = "status") -> DataFrame:
-    """The first n rows under review, for eyes only."""
-    return rows.where(F.col(status) == "REVIEW").limit(n)
+    """The first n rows under review in the order of their columns, for eyes only."""
+    return rows.where(F.col(status) == "REVIEW").orderBy(*rows.columns).limit(n)
 
 
 # ---- format profile ---------------------------------------------------------------------------

@@ -12,11 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meetlake.functions.text import canonical_division, canonical_equipment, class_index, strip
+from meetlake.functions.text import canonical_division, canonical_equipment, checked_tier, class_index, strip
 from meetlake.operators.ordered import running_before
 
 FIELD = ("weight_class", "year", "division", "equipment", "competition")
-QUESTION = ("question_id", "weight_class", "target_year", "division", "equipment", "meet_tier", "competition")
 # fixed values: scope labels from the closest to the widest, and words that mark a tier in a meet name
 SCOPES = ("exact division + equipment", "same division, any equipment", "same equipment, any division",
           "same weight class, any division/equipment")
@@ -51,14 +50,17 @@ def field_table(results: DataFrame) -> DataFrame:
 
 
 def prepared_questions(questions: DataFrame) -> DataFrame:
-    """Trimmed questions with normalised division and equipment; missing optional columns are null."""
+    """Trimmed questions with normalised division and equipment; missing optional columns are null.
+
+    An unknown meet tier fails the job.
+    """
     have = set(questions.columns)
     text = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     return questions.select(
         F.col("question_id"), F.col("weight_class").alias("q_class"), F.col("target_year").cast("int").alias("target_year"),
         canonical_division(text("division")).alias("q_division"),
         canonical_equipment(text("equipment")).alias("q_equipment"),
-        F.lower(strip(text("meet_tier"))).alias("q_tier"), strip(text("competition")).alias("q_meet"))
+        F.lower(F.when(strip(text("meet_tier")) != "", checked_tier(text("meet_tier")))).alias("q_tier"), strip(text("competition")).alias("q_meet"))
 
 
 def _scope(with_meet: bool) -> Column:
@@ -216,11 +218,6 @@ def engine_columns(field: DataFrame) -> DataFrame:
         "equipment": canonical_equipment(F.col("equipment")), "division": canonical_division(F.col("division"))})
 
 
-def in_field_order(field: DataFrame) -> DataFrame:
-    return field.orderBy("question_id", F.col("total_kg").desc_nulls_last(), F.col("placing").asc_nulls_last(),
-                         F.col("name").asc_nulls_last())
-
-
 def kth_total(questions: DataFrame, results: DataFrame, field: DataFrame, k: int = 5) -> DataFrame:
     """k-th highest total of each question's field; no row when the field is smaller."""
     by_field = Window.partitionBy(*FIELD).orderBy(F.col("total").desc())

@@ -11,6 +11,7 @@ from meetlake.functions.numbers import failed_count, non_negative_or_null, total
 from meetlake.functions.text import blank_to_null, normal_name, strip
 from meetlake.schema import ATTEMPTS, BESTS, EQUIPMENT, LIFTS, MEASURES
 
+# fixed values: what the reports name
 REQUIRED_VALUES = ("bodyweight", *BESTS, "total")
 HISTOGRAMS = ("year", "competition", "division", "weight_class", "equipment")
 AUDIT_REQUIRED = ("athlete_id", "resolved_athlete_id", "identity_confidence", "competition", "year",

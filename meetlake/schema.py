@@ -44,20 +44,6 @@ MANIFEST_SCHEMA = T.StructType([
 
 # fixed values: allowed labels
 EQUIPMENT = ("CLASSIC", "EQUIPPED", "UNKNOWN")
-DOCUMENT_TYPES = ("RESULTS_PDF", "UNKNOWN")
-PROCESSING = ("PENDING", "SUCCESS", "FAILED", "REVIEW")
-
-SOURCE_SCHEMA = T.StructType([
-    T.StructField("source_id", T.StringType(), False),
-    T.StructField("federation", T.StringType(), True),
-    T.StructField("competition", T.StringType(), True),
-    T.StructField("year", T.IntegerType(), True),
-    T.StructField("document_type", T.StringType(), False),
-    T.StructField("source_location", T.StringType(), False),
-    T.StructField("extraction_status", T.StringType(), False),
-    T.StructField("parser_status", T.StringType(), False),
-    T.StructField("validation_status", T.StringType(), False),
-])
 
 CONTEXT_FEATURES = ("year", "division", "weight_class", "equipment")
 HISTORY_FEATURES = (
