@@ -123,6 +123,11 @@ def whole(unit: str, text: bytes) -> bytes:
     return text if unit == "byte" else b" ".join(text.split())
 
 
+def facts(scanned: DataFrame) -> DataFrame:
+    """What a scan says of the documents themselves, staged, so that the seeds can be discarded."""
+    return staged(scanned.select("k1", "k2", "doc_id", "n_units", "digest"), "facts")
+
+
 def seed_rows(scanned: DataFrame) -> DataFrame:
     names = [c for c in scanned.columns if c in _LISTS | _DOUBLE | _FIRST]
     return scanned.select("k1", "k2", F.inline(F.arrays_zip(*names)))
@@ -131,16 +136,15 @@ def seed_rows(scanned: DataFrame) -> DataFrame:
 _BLOCKS = {"at": "int", "run": "int", "first": "bigint", "core": "bigint", "hull": "bigint"}
 
 
-def compare_blocks(texts: DataFrame, live: DataFrame, unit: str, window: int, block: int) -> DataFrame:
-    """The texts that still have live runs of windows, the runs that repeat whole, and the blocks that are yet to compare.
+def compare_blocks(texts: DataFrame, live: DataFrame, unit: str, window: int, block: int, whole: bool = True) -> DataFrame:
+    """The texts that have live runs of windows, and the blocks of these runs that are yet to compare, staged.
 
-    ``texts`` has k1, k2, text and from an earlier call whole_at and whole_run; ``live`` has k1, k2, at, run, back, whole (all
-    windows repeat) and compare. Staged: a row per text with a live run, or per text of the earlier call.
+    ``texts`` has k1, k2 and text; ``live`` has k1, k2, at, run, back, whole (all windows repeat) and compare. One row per
+    text with a live run. Without ``whole`` the texts and the runs that repeat whole are left out.
     """
-    again = "whole_at" in texts.columns
-    schema = "k1 bigint, k2 bigint, text string, whole_at array<int>, whole_run array<int>, " + ", ".join(
+    schema = "k1 bigint, k2 bigint, " + "text string, whole_at array<int>, whole_run array<int>, " * whole + ", ".join(
         f"block_{k} array<{v}>" for k, v in _BLOCKS.items())
-    names = ["k1", "k2", "text", "whole_at", "whole_run", *(f"block_{k}" for k in _BLOCKS)]
+    names = ["k1", "k2", *(("text", "whole_at", "whole_run") if whole else ()), *(f"block_{k}" for k in _BLOCKS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,30 +169,21 @@ def compare_blocks(texts: DataFrame, live: DataFrame, unit: str, window: int, bl
                 place, size = local + bounds[own_text], stop - start
                 whole_stop = np.searchsorted(text[full], np.arange(high - low), "right")
                 block_stop = np.searchsorted(own_text, np.arange(high - low), "right")
-                whole_at = list_array(at[full], whole_stop, pa.int32())
-                whole_run = list_array(length[full], whole_stop, pa.int32())
-                if again:
-                    older = [batch.column(k).slice(low, high - low) for k in ("whole_at", "whole_run")]
-                    whole_at, whole_run = (_joined(o, n) for o, n in zip(older, (whole_at, whole_run), strict=True))
+                kept = [batch.column("text").slice(low, high - low), list_array(at[full], whole_stop, pa.int32()),
+                        list_array(length[full], whole_stop, pa.int32())] if whole else []
                 # the core is that of the full block, also where a text has only some of its windows
                 inner = place + (reach[owner] - start) % block
                 first = first_bytes(data, inner) if unit == "byte" else as_long(values[inner])
                 yield pa.RecordBatch.from_arrays([
-                    *(batch.column(k).slice(low, high - low) for k in ("k1", "k2", "text")), whole_at, whole_run,
+                    *(batch.column(k).slice(low, high - low) for k in ("k1", "k2")), *kept,
                     list_array(local.astype(np.int32), block_stop, pa.int32()),
                     list_array(size.astype(np.int32), block_stop, pa.int32()), list_array(first, block_stop, pa.int64()),
                     list_array(as_long(roll.spans(inner, inner - block + 1 + window)), block_stop, pa.int64()),
                     list_array(as_long(roll.spans(place, place + size - 1 + window)), block_stop, pa.int64())], names)
 
     per_text = live.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "run", "back", "whole", "compare")).alias("runs"))
-    joined = texts.join(per_text, ["k1", "k2"], "left" if again else "inner")
-    none = F.array().cast("array<struct<at:int,run:int,back:int,whole:boolean,compare:boolean>>")
-    keep = ["k1", "k2", "text", *(("whole_at", "whole_run") if again else ())]
-    return staged(joined.select(*keep, F.coalesce("runs", none).alias("runs")).mapInArrow(run, schema), f"{unit}-blocks")
-
-
-def _joined(one: pa.ListArray, two: pa.ListArray) -> pa.ListArray:
-    return pa.array([a + b for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True)], one.type)
+    joined = texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "runs")
+    return staged(joined.mapInArrow(run, schema), f"{unit}-blocks")
 
 
 def _ramps(lengths: np.ndarray) -> np.ndarray:

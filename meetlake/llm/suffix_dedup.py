@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.registry import query
-from meetlake.llm.seeds import block_rows, compare_blocks, cut, keyed_texts, scan, seed_rows
-from meetlake.llm.shared import staged, table
+from meetlake.llm.seeds import block_rows, compare_blocks, cut, facts, keyed_texts, scan, seed_rows
+from meetlake.llm.shared import discard, staged, table
 
 WINDOW = 200
 SEED = 40
@@ -134,12 +134,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("a seed has at least eight bytes and fits into the window")
     scanned = scan(docs, id_col, text_col, "byte", window, seed)
     n_rows = scanned.select(F.sum(F.size("lead"))).first()[0] or 0
+    documents = facts(scanned)
     live = _sorted_groups(seed_rows(scanned), ["first", "lead"], "context", n_rows)
+    discard(scanned)
     compared = compare_blocks(keyed_texts(docs, id_col, text_col), live, "byte", window, BLOCK)
-    compared = compare_blocks(compared.select("k1", "k2", "text", "whole_at", "whole_run"),
-                              _compared(compared), "byte", window, 1)
-    cuts = cut(compared, _compared(compared), "byte", window)
-    return scanned.select("k1", "k2", "doc_id", "n_units", "digest").join(cuts.drop("kept_text"), ["k1", "k2"], "left").select(
+    blocks = _compared(compared)
+    windows = compare_blocks(compared.select("k1", "k2", "text"), blocks.where("compare"), "byte", window, 1, False)
+    hits = blocks.where("whole").select("k1", "k2", "at", "run").unionByName(_compared(windows).select("k1", "k2", "at", "run"))
+    cuts = cut(compared, hits, "byte", window)
+    return documents.join(cuts.drop("kept_text"), ["k1", "k2"], "left").select(
         F.col("doc_id").alias(id_col), F.col("n_units").alias("n_bytes"),
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_removed", "n_spans", "longest_span")),
         F.coalesce("kept_digest", "digest").alias("kept_sha256"))

@@ -20,18 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.registry import query
-from meetlake.llm.seeds import block_rows, compare_blocks, cut, keyed_texts, scan, seed_rows
-from meetlake.llm.shared import row_key, staged, table
+from meetlake.llm.seeds import block_rows, compare_blocks, cut, facts, keyed_texts, scan, seed_rows
+from meetlake.llm.shared import discard, row_key, staged, table
 
 WINDOW = 35
 SEED = 9
 
 
-def _live_seeds(scanned: DataFrame) -> DataFrame:
+def _doubled(scanned: DataFrame) -> DataFrame:
+    """The seeds that repeat at their own length and at twice that. The scan is discarded."""
     seeds = seed_rows(scanned)
     twice = F.count(F.lit(1)) > 1
     repeated = seeds.groupBy("lead").agg(twice.alias("again")).where("again").select("lead")
     first = staged(seeds.join(repeated, "lead"), "word-level")
+    discard(scanned)
     # a document can hold a span both as left and as right extension: counted twice, it is only kept for the next level
     longer = (first.select(F.explode(F.array("left", "right")).alias("span")).where("span <> 0")
               .groupBy("span").agg(twice.alias("again")).where("again").select("span"))
@@ -39,6 +41,12 @@ def _live_seeds(scanned: DataFrame) -> DataFrame:
         first.join(longer.withColumnRenamed("span", "left").withColumn("l", F.lit(True)), "left", "left")
         .join(longer.withColumnRenamed("span", "right").withColumn("r", F.lit(True)), "right", "left")
         .where("l or r").select("k1", "k2", "lead", "context", "at", "run", "back"), "word-level")
+    discard(first)
+    return second
+
+
+def _live_seeds(second: DataFrame) -> DataFrame:
+    """Whose windows repeat whole, and which are yet to compare."""
     contexts = second.groupBy("lead", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"))
     several = contexts.groupBy("lead").agg(F.count(F.lit(1)).alias("contexts"))
@@ -52,11 +60,14 @@ def _cut_texts(docs: DataFrame, id_col: str, text_col: str, window: int, seed: i
     if not 1 <= seed <= window // 3:
         raise ValueError("a seed must be at most a third of the window")
     scanned = scan(docs, id_col, text_col, "word", window, seed, doubled=True)
-    compared = compare_blocks(keyed_texts(docs, id_col, text_col), _live_seeds(scanned), "word", window, 1)
+    documents = facts(scanned)
+    second = _doubled(scanned)
+    compared = compare_blocks(keyed_texts(docs, id_col, text_col), _live_seeds(second), "word", window, 1)
+    discard(second)
     rows = block_rows(compared).drop("hull")  # of single windows core and hull are the window
     again = rows.groupBy("first", "core").agg((F.count(F.lit(1)) > 1).alias("again")).where("again").drop("again")
     hits = rows.join(again, ["first", "core"]).select("k1", "k2", "at", "run")
-    return scanned, cut(compared, hits, "word", window)
+    return documents, cut(compared, hits, "word", window)
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -66,8 +77,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no words; texts shorter than the window lose none. Repeated rows are documents of their
     own, so each is the other's copy. Rows with null ids are returned with a null id. Other columns are not looked at.
     """
-    scanned, cuts = _cut_texts(docs, id_col, text_col, window, seed)
-    return scanned.select("k1", "k2", "doc_id", "n_units", "digest").join(cuts.drop("kept_text"), ["k1", "k2"], "left").select(
+    documents, cuts = _cut_texts(docs, id_col, text_col, window, seed)
+    return documents.join(cuts.drop("kept_text"), ["k1", "k2"], "left").select(
         F.col("doc_id").alias(id_col), F.col("n_units").alias("n_words"),
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_removed", "n_spans", "longest_span")),
         F.coalesce("kept_digest", "digest").alias("kept_sha256"))
