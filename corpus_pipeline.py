@@ -16,6 +16,9 @@ from meetlake.llm.shared import staged, table
 from meetlake.llm.simhash import one_of_each
 from meetlake.llm.window_dedup import without_repeated_words
 
+#: Near copies are texts within the bits of op2, and all texts whose five-word shingles are similar by so many percent.
+SIMILAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or are outliers of their language and source go."""
@@ -24,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays."""
-    return one_of_each(docs)
+    return one_of_each(docs, percent=SIMILAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

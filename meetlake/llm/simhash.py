@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.components import components
+from meetlake.llm.likeness import similar_links
 from meetlake.llm.registry import query
 from meetlake.llm.shared import as_long, row_key, staged, table, text_parts
 
@@ -206,17 +207,21 @@ def trie_links(nodes: DataFrame, errors: int = ERRORS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    errors: int = ERRORS) -> DataFrame:
+                    errors: int = ERRORS, percent: int | None = None) -> DataFrame:
     """Per row: k1, k2 (its key), doc_id, fp and root (the component's least fingerprint; signed longs), component_id (the
     least doc_id that it reaches), n_linked.
 
     n_linked counts the rows of the component. Null and empty texts have fingerprint 0 and link like any other. Null ids
-    don't count for component_id; it is null if a component has no other. Repeated rows link with each other. Other
-    columns are not looked at.
+    don't count for component_id; it is null if a component has no other. Repeated rows link with each other. With
+    ``percent``, texts whose five-word shingles have that Jaccard similarity or more link as well, whatever their
+    fingerprints. Other columns are not looked at.
     """
     found = fingerprints(docs, id_col, text_col, shingle)
     nodes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    roots = components(trie_links(nodes.select("fp"), errors))
+    links = trie_links(nodes.select("fp"), errors)
+    if percent is not None:
+        links = links.unionByName(similar_links(docs, found, percent, id_col, text_col))
+    roots = components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_linked"))
@@ -224,12 +229,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                errors: int = ERRORS) -> DataFrame:
+                errors: int = ERRORS, percent: int | None = None) -> DataFrame:
     """The documents with one row left of each component: that with the least id, of equal ids that with the least key.
 
     Of rows that repeat both id and text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, errors)
+    found = near_duplicates(docs, id_col, text_col, shingle, errors, percent)
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "k1", "k2")
     first = found.groupBy("root").agg(F.min(order).alias("o")).select("o.k1", "o.k2")
     one, two = (c.alias(f"__{k}") for c, k in zip(row_key(docs[id_col], docs[text_col]), ("k1", "k2"), strict=True))

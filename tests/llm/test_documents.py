@@ -72,6 +72,35 @@ def test_one_of_each_group_stays(odd_docs, odd_texts):
     assert ids == Counter(odd_texts[rank[g]][0] for g in set(groups.values()))
 
 
+def test_similar_texts_leave_one(make_docs, rng):
+    """Planted near copies far beyond 4 bits, against the sets of five words of all pairs."""
+    import corpus_pipeline
+    pairs = []
+    for n in range(12):
+        base = prose(rng, rng.randint(60, 260)).split()
+        for k in range(6):
+            words = list(base)
+            for _ in range(k):
+                words[rng.randrange(len(words))] = f"other{rng.randrange(10**9)}"
+            pairs.append((100 * n + k, " ".join(words).upper() if k == 1 else " \n".join(words)))
+    pairs += [(5000, None), (5001, ""), (5002, "a b"), (5003, "A  b"), (5004, prose(rng, 300))]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in pairs]
+    values = [brute.simhash(t) for _, t in pairs]
+    root = list(range(len(pairs)))
+    far = 0
+    for i in range(len(pairs)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            similar = union > 0 and 5 * len(sets[i] & sets[j]) >= 4 * union
+            far += similar and (values[i] ^ values[j]).bit_count() > 4
+            if similar or (values[i] ^ values[j]).bit_count() <= 4:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert far > 20
+    got = corpus_pipeline.simhash_near_dedup(None, make_docs(pairs), "").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(pairs[r][0] for r in set(root))
+
+
 # --- quality rules -----------------------------------------------------------------------------------------------
 
 def brute_counts(text):
