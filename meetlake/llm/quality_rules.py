@@ -26,15 +26,20 @@ from meetlake.llm.shared import Rolling, row_key, staged, table, text_parts, wor
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 
-#: The transformed statistics, and the spread that is added to each one's estimate: differences within it mean nothing, and
-#: a statistic that is the same in nearly all documents (no symbols, say) doesn't make the scatter singular.
-FLOORS = {"log_words": 1.0, "word_length": 0.6, "symbol_share": 0.04, "dup_line_share": 0.15, "repeat_share": 0.1}
+#: The transformed statistics, and the least unit of each: statistics are measured in robust spreads of the data, pooled over
+#: the groups, and one that is the same in nearly all documents (no symbols, say) in this small unit instead.
+LEAST = {"log_words": 0.1, "word_length": 0.1, "symbol_share": 0.06, "dup_line_share": 0.06, "repeat_share": 0.06}
+#: The part of a unit that is added to each statistic's spread in an estimate, so that no scatter is singular.
+FLOORS = dict.fromkeys(LEAST, 0.3)
 #: Share of the closest documents; steps; the smallest group with estimates of its own.
 SHARE, STEPS, MIN_GROUP = 0.75, 4, 50
 #: The scatter of the closest three quarters of five normal variables, times this, is that of all of them.
 CONSISTENCY = 1.41
 #: Largest squared distance kept: a normal vector of five exceeds it once in a million.
 MAX_DISTANCE = 36.0
+#: Documents have longer tails than normal vectors (short ones vary more), so distances up to so many times the lower quartile
+#: of all distances are kept too. The quartile lies within the clean documents even where nearly half are not.
+TAIL = 100.0
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(SYMBOLS)] = 1
@@ -152,6 +157,15 @@ def estimates(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> D
     return now
 
 
+def _in_units(vectors: DataFrame, good: Column) -> DataFrame:
+    """The statistics in units: 1.4826 times the median distance from the group's median over all good rows, LEAST at least."""
+    keys, rows = ["lang_group", "source_group"], vectors.where(good)
+    middle = rows.groupBy(*keys).agg(*(F.percentile_approx(n, 0.5, 10000).alias(f"{n}_m") for n in _NAMES))
+    spread = rows.join(middle, keys).agg(*(F.percentile_approx(F.abs(F.col(n) - F.col(f"{n}_m")), 0.5, 10000).alias(n)
+                                           for n in _NAMES)).first()
+    return vectors.withColumns({n: F.col(n) / max(1.4826 * (spread[n] or 0.0), LEAST[n]) for n in _NAMES})
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
            source_col: str = "source", max_distance: float = MAX_DISTANCE) -> DataFrame:
     """Per row: k1, k2 (its key), doc_id, the base counts, base_failed, distance (squared; null without an estimate), kept.
@@ -166,6 +180,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.select("*", failed.alias("base_failed"), *_vector(),
                        *(F.coalesce(F.concat(F.lit("="), c), F.lit("null")).alias(f"{c}_group") for c in ("lang", "source")))
+    rows = _in_units(rows, ~F.col("base_failed"))
     sizes = rows.where("not base_failed").groupBy("lang_group", "source_group").count()
     named = sizes.select("lang_group", F.col("source_group").alias("old"), "count",
                          F.when(F.col("count") < MIN_GROUP, F.lit(_POOL)).otherwise(F.col("source_group")).alias("source_group"))
@@ -176,6 +191,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                .withColumnRenamed("pool", "source_group"))
     fitted = estimates(vectors.where("not base_failed and source_group is not null"))
     measured = vectors.join(fitted, ["lang_group", "source_group"], "left").withColumn("distance", _squared_distance())
+    quarter = measured.where("not base_failed").agg(F.percentile_approx("distance", 0.25, 10000)).first()[0]
+    max_distance = max(max_distance, TAIL * (quarter or 0.0))
     return measured.select("k1", "k2", "doc_id", *_COUNTS, "base_failed", "distance",
                            (~F.col("base_failed") & F.coalesce(F.col("distance") <= max_distance, F.lit(True))).alias("kept"))
 

@@ -148,6 +148,26 @@ def test_estimate_is_that_of_the_closest(spark):
     assert np.allclose(got["inverse"], np.linalg.inv(scatter + ridge).ravel(), rtol=1e-5, atol=1e-6)
 
 
+def group_of(spark, texts, lang="en", source="s"):
+    return spark.createDataFrame([(i, t, lang, source) for i, t in texts], "doc_id bigint, text string, lang string, source string")
+
+
+def test_outliers_in_one_statistic_go(spark, rng):
+    words = lambda n, low, high: ["".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(low, high))) for _ in range(n)]
+    lines = lambda w, k=10: "\n".join(" ".join(w[i:i + k]) for i in range(0, len(w), k))
+    clean = [(n, lines(words(rng.randint(80, 300), 3, 7))) for n in range(300)]
+    many = words(150, 3, 7)
+    short = [" ".join(words(5, 3, 7)) for _ in range(10)]
+    odd = {
+        1001: lines(words(60_000, 3, 7)), 1002: lines(words(150, 14, 18)), 1003: lines([w + "#" * (k % 3 == 0) for k, w in enumerate(many)]),
+        # two thirds of the lines are copies, in an order in which hardly eight words repeat
+        1004: "\n".join(short[(k * k + k // 10) % 10] for k in range(10)) + "\n" + "\n".join(" ".join(words(5, 3, 7)) + "\n-" for _ in range(20)),
+        1005: lines(many + many[:20], 9)}
+    got = quality_rules.judged(group_of(spark, clean + list(odd.items()))).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(odd)
+
+
 # --- quality classifier ------------------------------------------------------------------------------------------
 
 def test_classifier_learns_and_scores_all(spark, make_docs, rng):
