@@ -4,7 +4,7 @@ Each document becomes a vector of transformed statistics. Per group (language an
 estimate gives centre and scatter of the half of the documents that lie closest together; a document whose Mahalanobis
 distance from them is too large is rejected.
 
-The estimate is distributed: concentration steps alternate between one aggregation of the distances (the quantile that cuts
+The estimate is distributed: concentration steps, from several starts side by side until their determinants stop falling, alternate between one aggregation of the distances (the quantile that cuts
 off the wanted share, from a mergeable sketch) and one of the moments of the documents within it. Both are added up before the
 shuffle, so a group with a third of all documents is one small row a task. Groups' estimates are rows of a table.
 """
@@ -31,10 +31,11 @@ SYMBOLS = b"#*$%&|<>"
 LEAST = {"log_words": 0.1, "word_length": 0.1, "symbol_share": 0.06, "dup_line_share": 0.06, "repeat_share": 0.06}
 #: The part of a unit that is added to each statistic's spread in an estimate, so that no scatter is singular.
 FLOORS = dict.fromkeys(LEAST, 0.3)
-#: Share of the closest documents; steps; the smallest group with estimates of its own.
-SHARE, STEPS, MIN_GROUP = 0.75, 4, 50
-#: The scatter of the closest three quarters of five normal variables, times this, is that of all of them.
-CONSISTENCY = 1.41
+#: Share of the closest documents; most steps; starts side by side; the least fall of the log determinant that goes on; the
+#: smallest group with estimates of its own.
+SHARE, STEPS, STARTS, FALL, MIN_GROUP = 0.5, 50, 4, 1e-3, 50
+#: The scatter of the closest half of five normal variables, times this, is that of all of them.
+CONSISTENCY = 1.91
 #: Largest squared distance kept: a normal vector of five exceeds it once in a million.
 MAX_DISTANCE = 36.0
 #: Documents have longer tails than normal vectors (short ones vary more), so distances up to so many times the lower quartile
@@ -114,7 +115,7 @@ def _vector() -> list[Column]:
 _NAMES = tuple(FLOORS)
 _P = len(_NAMES)
 _POOL = "(small sources)"
-_ESTIMATE = "lang_group string, source_group string, centre array<double>, inverse array<double>, log_det double"
+_ESTIMATE = "lang_group string, source_group string, start int, centre array<double>, inverse array<double>, log_det double"
 
 
 def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +130,7 @@ def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             inverse.append(np.linalg.inv(scatter + ridge).ravel())
             log_det.append(np.linalg.slogdet(scatter + ridge)[1])
         yield frame.drop(columns="scatter").assign(inverse=inverse, log_det=log_det)[
-            ["lang_group", "source_group", "centre", "inverse", "log_det"]]
+            ["lang_group", "source_group", "start", "centre", "inverse", "log_det"]]
 
 
 def _squared_distance() -> Column:
@@ -139,22 +140,45 @@ def _squared_distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
-def estimates(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """MCD centre and inverse scatter of every group (lang_group, source_group), over all of its rows."""
+def _starts(quartiles: DataFrame, keys: list[str], starts: int) -> DataFrame:
+    """Of every group the first ``starts`` of: median and quartile range, then no scatter at the median and each quartile."""
+    def start(number: int, place: int, spread: bool) -> Column:
+        scatter = [F.pow((F.col(n)[2] - F.col(n)[0]) / 1.349, 2) if spread and i == j else F.lit(0.0)
+                   for i, n in enumerate(_NAMES) for j in range(i, _P)]
+        return F.struct(F.lit(number).alias("start"), F.array(*(F.col(n)[place] for n in _NAMES)).alias("centre"),
+                        F.array(*scatter).alias("scatter"))
+
+    chosen = [start(0, 1, True), start(1, 1, False), start(2, 0, False), start(3, 2, False)][:starts]
+    return quartiles.select(*keys, F.explode(F.array(*chosen)).alias("s")).select(*keys, "s.*")
+
+
+def estimates(vectors: DataFrame, share: float = SHARE, steps: int = STEPS, starts: int = 1, fall: float = 0.0) -> DataFrame:
+    """MCD centre and inverse scatter of every group (lang_group, source_group), over all of its rows.
+
+    All starts take concentration steps side by side. A step lowers the log determinant of the scatter with its ridge; a
+    start ends when it falls by ``fall`` at most, and of each group's starts that with the least one is returned.
+    """
     keys = ["lang_group", "source_group"]
+    each = [*keys, "start"]
     quartiles = vectors.groupBy(*keys).agg(*(F.percentile_approx(n, [0.25, 0.5, 0.75], 10000).alias(n) for n in _NAMES))
-    spread = [F.pow((F.col(n)[2] - F.col(n)[0]) / 1.349, 2) if i == j else F.lit(0.0)
-              for i, n in enumerate(_NAMES) for j in range(i, _P)]
-    groups = quartiles.select(*keys, F.array(*(F.col(n)[1] for n in _NAMES)).alias("centre"), F.array(*spread).alias("scatter"))
-    now = staged(groups.mapInPandas(_estimate, _ESTIMATE), "mcd")
+    now = staged(_starts(quartiles, keys, starts).mapInPandas(_estimate, _ESTIMATE), "mcd").withColumn("log_det", F.lit(float("inf")))
+    ended = []
     for _ in range(steps):
-        measured = vectors.join(now, keys).withColumn("d2", _squared_distance()).select(*keys, *_NAMES, "d2")
-        cut = measured.groupBy(*keys).agg(F.percentile_approx("d2", share, 10000).alias("cut"))
-        moments = measured.join(cut, keys).where("d2 <= cut").groupBy(*keys).agg(
+        measured = vectors.join(now, keys).withColumn("d2", _squared_distance()).select(*each, *_NAMES, "d2")
+        cut = measured.groupBy(*each).agg(F.percentile_approx("d2", share, 10000).alias("cut"))
+        moments = measured.join(cut, each).where("d2 <= cut").groupBy(*each).agg(
             F.array(*(F.avg(n) for n in _NAMES)).alias("centre"),
             F.array(*(F.covar_pop(_NAMES[i], _NAMES[j]) * CONSISTENCY for i in range(_P) for j in range(i, _P))).alias("scatter"))
-        now = staged(moments.mapInPandas(_estimate, _ESTIMATE), "mcd")
-    return now
+        before = now.select(*each, F.col("log_det").alias("last"))
+        found = staged(moments.mapInPandas(_estimate, _ESTIMATE).join(before, each), "mcd")
+        ended.append(found.where(F.col("last") - F.col("log_det") <= fall).drop("last"))
+        now = found.where(F.col("last") - F.col("log_det") > fall).drop("last")
+        if now.isEmpty():
+            break
+    for part in ended:
+        now = now.unionByName(part)
+    best = now.groupBy(*keys).agg(F.min(F.struct("log_det", "start", "centre", "inverse")).alias("e"))
+    return staged(best.select(*keys, "e.centre", "e.inverse", "e.log_det"), "mcd")
 
 
 def _in_units(vectors: DataFrame, good: Column) -> DataFrame:
@@ -189,7 +213,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                   .select("lang_group", "old", F.col("source_group").alias("pool")), "mcd-groups")
     vectors = (rows.withColumnRenamed("source_group", "old").join(used, ["lang_group", "old"], "left")
                .withColumnRenamed("pool", "source_group"))
-    fitted = estimates(vectors.where("not base_failed and source_group is not null"))
+    fitted = estimates(vectors.where("not base_failed and source_group is not null"), starts=STARTS, fall=FALL)
     measured = vectors.join(fitted, ["lang_group", "source_group"], "left").withColumn("distance", _squared_distance())
     quarter = measured.where("not base_failed").agg(F.percentile_approx("distance", 0.25, 10000)).first()[0]
     max_distance = max(max_distance, TAIL * (quarter or 0.0))

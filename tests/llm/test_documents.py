@@ -168,6 +168,13 @@ def test_outliers_in_one_statistic_go(spark, rng):
     assert {r["doc_id"] for r in got if not r["kept"]} == set(odd)
 
 
+def test_two_fifths_of_junk_go(spark, rng):
+    clean = [(n, " ".join(prose(rng, rng.randint(60, 300)).split())) for n in range(120)]
+    noisy = [(1000 + n, " ".join(w + "###" for w in prose(rng, rng.randint(60, 300)).split())) for n in range(80)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judged(group_of(spark, clean + noisy)).collect()}
+    assert {i for i, k in got.items() if k} == {i for i, _ in clean}
+
+
 # --- quality classifier ------------------------------------------------------------------------------------------
 
 def test_classifier_learns_and_scores_all(spark, make_docs, rng):
