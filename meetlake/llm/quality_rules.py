@@ -31,9 +31,10 @@ SYMBOLS = b"#*$%&|<>"
 LEAST = {"log_words": 0.1, "word_length": 0.1, "symbol_share": 0.06, "dup_line_share": 0.06, "repeat_share": 0.06}
 #: The part of a unit that is added to each statistic's spread in an estimate, so that no scatter is singular.
 FLOORS = dict.fromkeys(LEAST, 0.3)
-#: Share of the closest documents; most steps; starts side by side; the least fall of the log determinant that goes on; the
-#: smallest group with estimates of its own.
-SHARE, STEPS, STARTS, FALL, MIN_GROUP = 0.5, 50, 4, 1e-3, 50
+#: Share of the closest documents; most steps; starts side by side; the least fall of the log determinant that goes on.
+SHARE, STEPS, STARTS, FALL = 0.5, 50, 4, 1e-3
+#: So many documents weigh as much in a group's estimate as the estimate of its language does, and in that as the corpus's.
+PRIOR = 50.0
 #: The scatter of the closest half of five normal variables, times this, is that of all of them.
 CONSISTENCY = 1.91
 #: Largest squared distance kept: a normal vector of five exceeds it once in a million.
@@ -114,7 +115,7 @@ def _vector() -> list[Column]:
 
 _NAMES = tuple(FLOORS)
 _P = len(_NAMES)
-_POOL = "(small sources)"
+_ALL = "(all)"  # names of groups begin with = or are null
 _ESTIMATE = "lang_group string, source_group string, start int, centre array<double>, inverse array<double>, log_det double"
 
 
@@ -181,6 +182,45 @@ def estimates(vectors: DataFrame, share: float = SHARE, steps: int = STEPS, star
     return staged(best.select(*keys, "e.centre", "e.inverse", "e.log_det"), "mcd")
 
 
+def _shrunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Estimates of a group, its language and the corpus (c, k, n with 2, 1, 0) to the group's, shrunk smoothly by the counts.
+
+    Each is a mixture of its own and the wider one; that the centres differ is spread of the mixture.
+    """
+    for frame in batches:
+        centres, inverses = [], []
+        for row in frame.itertuples():
+            centre, scatter = np.array(row.c0), np.linalg.inv(np.reshape(row.k0, (_P, _P)))
+            for c, k, n in ((row.c1, row.k1, row.n1), (row.c2, row.k2, row.n2)):
+                own, gap = n / (n + PRIOR), np.array(c) - centre
+                scatter = own * np.linalg.inv(np.reshape(k, (_P, _P))) + (1 - own) * scatter + own * (1 - own) * np.outer(gap, gap)
+                centre = centre + own * gap
+            centres.append(centre)
+            inverses.append(np.linalg.inv(scatter).ravel())
+        yield frame[["lang_group", "source_group"]].assign(centre=centres, inverse=inverses)
+
+
+def shrunk_estimates(vectors: DataFrame) -> DataFrame:
+    """Centre and inverse of every language and source, however few documents it has."""
+    names = [F.struct(lang.alias("l"), source.alias("s")) for lang, source in (
+        (F.col("lang_group"), F.col("source_group")), (F.col("lang_group"), F.lit(_ALL)), (F.lit(_ALL), F.lit(_ALL)))]
+    levels = vectors.select(F.explode(F.array(*names)).alias("g"), *_NAMES).select(
+        F.col("g.l").alias("lang_group"), F.col("g.s").alias("source_group"), *_NAMES)
+    keys = ["lang_group", "source_group"]
+    fitted = estimates(levels, starts=STARTS, fall=FALL).join(levels.groupBy(*keys).count(), keys)
+    fitted = staged(fitted.select(*keys, "centre", "inverse", "count"), "mcd-levels")
+
+    def level(number: int) -> list[Column]:
+        return [F.col("centre").alias(f"c{number}"), F.col("inverse").alias(f"k{number}"), F.col("count").alias(f"n{number}")]
+
+    groups = fitted.where(F.col("source_group") != _ALL).select(*keys, *level(2))
+    languages = fitted.where((F.col("lang_group") != _ALL) & (F.col("source_group") == _ALL)).select("lang_group", *level(1))
+    corpus = fitted.where(F.col("lang_group") == _ALL).select(*level(0))
+    joined = groups.join(languages, "lang_group").crossJoin(F.broadcast(corpus))  # one row
+    return staged(joined.mapInPandas(_shrunk, "lang_group string, source_group string, centre array<double>, "
+                                     "inverse array<double>"), "mcd-shrunk")
+
+
 def _in_units(vectors: DataFrame, good: Column) -> DataFrame:
     """The statistics in units: 1.4826 times the median distance from the group's median over all good rows, LEAST at least."""
     keys, rows = ["lang_group", "source_group"], vectors.where(good)
@@ -195,8 +235,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Per row: k1, k2 (its key), doc_id, the base counts, base_failed, distance (squared; null without an estimate), kept.
 
     Null texts have no words and fail; null languages and sources are groups of their own. Documents that fail the base
-    rules take no part in the estimates. Sources with under MIN_GROUP documents in a language are estimated together; if
-    these are too few as well, there is no estimate and the documents are kept. Repeated rows count as often as they
+    rules take no part in the estimates. A group's estimate is shrunk towards that of its language, and this towards the
+    corpus's, the more the fewer documents there are, so every document gets a verdict. Repeated rows count as often as they
     come. Other columns are not looked at.
     """
     rows = counted(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.col(lang_col).alias("lang"),
@@ -205,16 +245,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = rows.select("*", failed.alias("base_failed"), *_vector(),
                        *(F.coalesce(F.concat(F.lit("="), c), F.lit("null")).alias(f"{c}_group") for c in ("lang", "source")))
     rows = _in_units(rows, ~F.col("base_failed"))
-    sizes = rows.where("not base_failed").groupBy("lang_group", "source_group").count()
-    named = sizes.select("lang_group", F.col("source_group").alias("old"), "count",
-                         F.when(F.col("count") < MIN_GROUP, F.lit(_POOL)).otherwise(F.col("source_group")).alias("source_group"))
-    pools = named.groupBy("lang_group", "source_group").agg(F.sum("count").alias("total"))
-    used = staged(named.join(pools, ["lang_group", "source_group"]).where(f"total >= {MIN_GROUP}")
-                  .select("lang_group", "old", F.col("source_group").alias("pool")), "mcd-groups")
-    vectors = (rows.withColumnRenamed("source_group", "old").join(used, ["lang_group", "old"], "left")
-               .withColumnRenamed("pool", "source_group"))
-    fitted = estimates(vectors.where("not base_failed and source_group is not null"), starts=STARTS, fall=FALL)
-    measured = vectors.join(fitted, ["lang_group", "source_group"], "left").withColumn("distance", _squared_distance())
+    fitted = shrunk_estimates(rows.where("not base_failed"))
+    measured = rows.join(fitted, ["lang_group", "source_group"], "left").withColumn("distance", _squared_distance())
     quarter = measured.where("not base_failed").agg(F.percentile_approx("distance", 0.25, 10000)).first()[0]
     max_distance = max(max_distance, TAIL * (quarter or 0.0))
     return measured.select("k1", "k2", "doc_id", *_COUNTS, "base_failed", "distance",

@@ -175,6 +175,17 @@ def test_two_fifths_of_junk_go(spark, rng):
     assert {i for i, k in got.items() if k} == {i for i, _ in clean}
 
 
+def test_small_groups_get_verdicts(spark, rng):
+    """Junk of a rare language and of a rare source goes, their clean documents stay."""
+    text = lambda junk=False: " ".join(w + "###" * junk for w in prose(rng, rng.randint(60, 300)).split())
+    docs = group_of(spark, [(n, text()) for n in range(150)]).unionByName(
+        group_of(spark, [(1000 + n, text(n == 0)) for n in range(12)], "rare", "s")).unionByName(
+        group_of(spark, [(2000 + n, text(n == 0)) for n in range(7)], "en", "small"))
+    got = quality_rules.judged(docs).collect()
+    assert all(r["distance"] is not None for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == {1000, 2000}
+
+
 # --- quality classifier ------------------------------------------------------------------------------------------
 
 def test_classifier_learns_and_scores_all(spark, make_docs, rng):
