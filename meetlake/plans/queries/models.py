@@ -286,15 +286,18 @@ def stored_models(spark, d):
 
 @query("tuned_models")
 def tuned_models(spark, d):
-    """Random search for the forest: 20 draws from the full space, each on 5 folds, for the total.
+    """Random search for boosting and the forest on all targets: 20 draws from the full space each, on 5 folds.
 
-    A target takes 100 fits of up to 500 trees; the other three targets are the same call of ``tune``.
+    A model and target take 100 fits of up to 500 rounds or trees; SEARCH_ROWS bounds the labelled rows alone.
     """
     rows = ML.complete_rows(pinned(supervised(spark, d).select("seq", "split", *PRODUCTION_FEATURES, *TARGETS)))
     train = ML.bounded(rows.where("split = 'train'"), SEARCH_ROWS, "seq")
     prep = ML.prepare(train)
     learned = prep.transform(train).select("features", *TARGETS).persist()
-    forest = ML.candidates(1)["Random Forest"]
-    grid = ML.sampled_grid(forest, ML.TUNING["Random Forest"])
-    best = {("Random Forest", "total"): ML.tune(learned, forest, "total", grid, parallelism=8).bestModel}
+    models = ML.candidates(1)
+    best = {}
+    for name, space in ML.TUNING.items():
+        grid = ML.sampled_grid(models[name], space)
+        for target in TARGETS:
+            best[name, target] = ML.tune(learned, models[name], target, grid, parallelism=8).bestModel
     return M.error_metrics(ML.long_predictions(prep.transform(rows.where("split = 'validation'")), best))

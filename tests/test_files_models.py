@@ -162,3 +162,20 @@ def test_guards_and_grid():
     forest = ML.candidates(10)["Random Forest"]
     grid = ML.sampled_grid(forest, {"maxDepth": (2, 3), "minInstancesPerNode": (1, 2)}, 20)
     assert len(grid) == 4 and len(ML.sampled_grid(forest, ML.TUNING["Random Forest"], 20)) == 20
+
+
+def test_search_covers_all_models_and_targets(spark, monkeypatch):
+    from types import SimpleNamespace
+    from meetlake.plans.queries import models as queries
+    asked = []
+
+    def tune(learned, estimator, target, grid, **_):
+        asked.append((type(estimator).__name__, target, len(grid)))
+        return SimpleNamespace(bestModel=(type(estimator).__name__, target))
+
+    monkeypatch.setattr(queries.ML, "tune", tune)
+    monkeypatch.setattr(queries.ML, "long_predictions", lambda rows, best: best)
+    monkeypatch.setattr(queries.M, "error_metrics", lambda best: best)
+    best = queries.tuned_models(spark, "/root/testdata/sf0.001")
+    assert set(best) == {(m, t) for m in queries.ML.TUNING for t in queries.TARGETS} and len(asked) == 8
+    assert all(n == 20 for *_, n in asked)
