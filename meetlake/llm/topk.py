@@ -102,22 +102,24 @@ def _search(k: int):
 
 
 def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0,
-          k: int = K) -> DataFrame:
+          k: int = K, repeats: bool = False) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of every query's k highest inner products with the other rows.
 
     Ties go to smaller ids; a query with fewer other rows gets all of them. Vectors null or with null or non-finite components
     and rows without an id take no part, neither as queries nor as candidates. Components beyond 64-bit integers are
-    clipped to them. Of rows that repeat an id and vector one takes part. Vectors of unequal length are
+    clipped to them. Of rows that repeat an id and vector one takes part, with ``repeats`` all. Vectors of unequal length are
     compared in the components that both have. Other columns are not looked at.
     """
-    vectors = integer_vectors(df, id_col, vector_col, scale).distinct()
+    vectors = integer_vectors(df, id_col, vector_col, scale)
+    vectors = vectors if repeats else vectors.distinct()
     queries = vectors.where(is_query(F.col("vec_id")))
     n_blocks = max(1, -(-vectors.count() // CANDIDATES))
     n_queries = max(1, -(-queries.count() // QUERIES))
     row = F.struct("vec_id", "v")
-    # ids are distinct, so blocks dealt by their hash are bounded
-    packed = vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(row).alias("r"))
-    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_queries)).alias("turn")).agg(F.collect_list(row).alias("q"))
+    # dealt by row and not by id, so blocks are bounded whatever ids repeat; the results are those of any dealing
+    number = F.monotonically_increasing_id()
+    packed = vectors.withColumn("block", F.pmod(F.xxhash64(number), F.lit(n_blocks))).groupBy("block").agg(F.collect_list(row).alias("r"))
+    asked = queries.withColumn("turn", F.pmod(F.xxhash64(number, F.lit(1)), F.lit(n_queries))).groupBy("turn").agg(F.collect_list(row).alias("q"))
     sent = asked.select("turn", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
     met = (sent.join(packed, "block").repartition(max(n_blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))),
                                                   "block", F.col("turn") % 4).sortWithinPartitions("block", "turn")
@@ -149,4 +151,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 @query("op4_topk_search", _SQL)
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+    return top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, repeats=True)

@@ -167,3 +167,9 @@ def test_repeated_vectors_and_no_vectors(spark):
     got = topk.top_k(df, lambda c: c % 20 == 0)
     assert [tuple(r) for r in got.collect()] == [(0, 1, 1, 2048)]
     assert topk.top_k(df.limit(0), lambda c: c % 20 == 0).count() == 0
+
+
+def test_repeated_candidates_keep_their_places(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    got = topk.top_k(df, lambda c: c % 20 == 0, scale=1.0, k=2, repeats=True).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 2), (0, 2, 1, 2)]
