@@ -93,6 +93,15 @@ def format_profile(spark, d):
     return profiles(spark, d)
 
 
+@query("format_headers", f"""WITH {PROFILE_SQL}
+SELECT doc_id, array_to_string(list_transform(list_filter(ls, lambda l, i: list_contains(hs, ms[i]))[1:5],
+  lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), '|') AS header_examples FROM headed""")
+def format_headers(spark, d):
+    """The first five header lines of every document, which format_profile leaves out, as one text."""
+    found = DC.format_profile(texts(spark, d, "documents").select("doc_id", "text"), terms=FORMATS)
+    return found.select("doc_id", F.array_join("header_examples", "|").alias("header_examples"))
+
+
 @query("format_signature", f"""WITH {PROFILE_SQL}
 SELECT format_signature, count(*) AS file_count, min(doc_id) AS first_file, max(doc_id) AS last_file
 FROM profiles GROUP BY 1""")

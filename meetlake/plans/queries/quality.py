@@ -241,6 +241,17 @@ def group_attributes(spark, d):
     return I.group_attributes(identity_fields(spark, d)).where("attribute <> 'bodyweight'")
 
 
+@query("group_bodyweights", f"""{WITH}, {_PAIRS_SQL}
+SELECT DISTINCT athlete_id, year, competition, 'bodyweight' AS attribute,
+  CAST(CAST({R4.format("bodyweight")} AS DECIMAL(18, 4)) AS VARCHAR) AS value
+FROM meet_results SEMI JOIN groups USING (athlete_id, year, competition) WHERE bodyweight IS NOT NULL""")
+def group_bodyweights(spark, d):
+    """The attribute that group_attributes leaves out, as text of four decimals that both engines share."""
+    weight = F.floor(F.col("bodyweight") * F.lit(1e4) + F.lit(0.5001)) / F.lit(1e4)
+    rows = identity_fields(spark, d).withColumn("bodyweight", weight.cast("decimal(18,4)"))
+    return I.group_attributes(rows).where("attribute = 'bodyweight'")
+
+
 _APPLIED_SQL = f"""{_PAIRS_SQL},
 applied AS (
   SELECT m.* EXCLUDE (resolved_athlete_id, identity_confidence),

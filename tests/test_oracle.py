@@ -26,3 +26,8 @@ def test_flagship_query(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_left_out_columns_are_reached(spark):
+    assert PLANS["group_bodyweights"](spark, SF_DIR).count() > 0
+    assert PLANS["format_headers"](spark, SF_DIR).where("header_examples <> ''").count() > 0
