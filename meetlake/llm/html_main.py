@@ -188,7 +188,8 @@ def kind(node: Node) -> str:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, tuple[int, int]]:
     """Counts of every feature and every parent-child pair by state, over pages that mark their article."""
-    labelled = bounded(pages, sample, id_col).where(F.lower(html_col).rlike("<(article|main)[ >]")).select(F.col(html_col).alias("html"))
+    marked = pages.where(F.lower(html_col).rlike("<(article|main)[ >]"))
+    labelled = bounded(marked, sample, id_col, html_col).select(F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

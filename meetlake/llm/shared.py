@@ -65,10 +65,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(rows: DataFrame, limit: int, key: str) -> DataFrame:
+def bounded(rows: DataFrame, limit: int, *key: str) -> DataFrame:
     """About ``limit`` rows at most, those whose key has a small hash: the choice depends on nothing but the keys and the count."""
     share = min(1.0, limit / max(rows.count(), 1))
-    return rows if share == 1.0 else rows.where(F.shiftrightunsigned(F.xxhash64(key), 11) < F.lit(int(share * (1 << 53))))
+    return rows if share == 1.0 else rows.where(F.shiftrightunsigned(F.xxhash64(*key), 11) < F.lit(int(share * (1 << 53))))
 
 
 def row_key(ident: Column, text: Column) -> list[Column]:

@@ -173,3 +173,12 @@ def test_repeated_candidates_keep_their_places(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     got = topk.top_k(df, lambda c: c % 20 == 0, scale=1.0, k=2, repeats=True).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 2), (0, 2, 1, 2)]
+
+
+def test_rare_marked_pages_are_all_learned(spark):
+    """The bound holds for marked pages, also without ids, and pages that mark nothing don't count towards it."""
+    plain = [(n, f"<body><p>plain {n}</p></body>") for n in range(400)]
+    marked = [(None, f"<body><article><p>marked {n}</p></article></body>") for n in range(40)]
+    pages = spark.createDataFrame(plain + marked, "page_id bigint, html string")
+    assert html_main.train(pages, sample=40)["tag:article"] == (0, 40)
+    assert 0 < html_main.train(pages, sample=10)["tag:article"][1] < 30
