@@ -97,10 +97,14 @@ def text_parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word ``[^\\x20\\x09-\\x0D]+``, and the first word of each text (with an end)."""
-    inside = ~IS_SPACE[data]
+    return runs_of(~IS_SPACE[data], offsets)
+
+
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of true places; runs end where a text does. The first run of each text (with an end)."""
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge = np.zeros(len(inside) + 1, dtype=bool)
     edge[offsets] = True
     before = np.concatenate(([False], inside[:-1]))
     after = np.concatenate((inside[1:], [False]))
