@@ -529,6 +529,8 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"),
+    def of(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select("doc_id", *(of(k).alias(f"n_{k}") for k in KINDS), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"),
                         (F.size("spans") - F.size("base")).alias("n_added"))
