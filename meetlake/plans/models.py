@@ -1,7 +1,7 @@
 """Next-performance models: preparation, candidates, selection, tuning, storage and batch prediction.
 
-MLlib trains on the executors; the driver only holds fitted parameters. Models that MLlib lacks are
-represented by their nearest relative: the boosted-tree family by GBTRegressor, extra trees by a forest.
+Preparation and linear models are MLlib's; tree ensembles are fitted side by side, in one Spark job, from a table of bounded
+size (``trees.py``). The driver only holds fitted parameters.
 """
 
 from __future__ import annotations
@@ -12,17 +12,17 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (
     Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meetlake.operators.metrics import error_percentiles
 from meetlake.operators.temporal import athlete_year, temporal_features
+from meetlake.plans import trees
+from meetlake.plans.trees import Boosting, Forest
 from meetlake.schema import (
     HISTORY_FEATURES, PRODUCTION_FEATURES, TARGETS, forbid_columns, require_columns,
 )
@@ -31,11 +31,8 @@ CATEGORICAL = ("division", "weight_class", "equipment")
 NUMERIC = tuple(f for f in PRODUCTION_FEATURES if f not in CATEGORICAL)
 SEED = 42
 # fixed values: what the search draws from
-TUNING = {
-    "Gradient Boosting": {"maxIter": (100, 200, 300, 500), "stepSize": (0.01, 0.03, 0.05, 0.1),
-                          "maxDepth": (2, 3, 4, 5), "minInstancesPerNode": (2, 3, 5, 10)},
-    "Random Forest": {"numTrees": (200, 300, 500), "maxDepth": (5, 10, 15), "minInstancesPerNode": (1, 2, 5)},
-}
+TUNING = {"Gradient Boosting": {"rounds": (100, 200, 300, 500), "rate": (0.01, 0.03, 0.05, 0.1), "depth": (2, 3, 4, 5),
+                                "min_rows": (2, 3, 5, 10), "subsample": (0.7, 0.85, 1.0), "loss": ("squared_error", "huber")}}
 
 
 def preparation(train: DataFrame) -> list:
@@ -72,14 +69,12 @@ def prepare(train: DataFrame) -> PipelineModel:
 def candidates(rows: int) -> dict[str, object]:
     """Candidate regressors; ``rows`` scales the ridge penalty."""
     common = dict(featuresCol="features", labelCol="label", predictionCol="predicted")
-    forest = dict(minInstancesPerNode=2, maxDepth=10, seed=SEED, **common)
     return {
         "Ridge": LinearRegression(regParam=10.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, **common),
         "ElasticNet": LinearRegression(regParam=0.01, elasticNetParam=0.5, maxIter=200, standardization=False, **common),
-        "Random Forest": RandomForestRegressor(numTrees=500, featureSubsetStrategy="sqrt", **forest),
-        "Extra Trees": RandomForestRegressor(numTrees=500, featureSubsetStrategy="all", **forest),
-        "Gradient Boosting": GBTRegressor(maxIter=300, stepSize=0.03, maxDepth=3, minInstancesPerNode=3,
-                                          seed=SEED, **common),
+        "Random Forest": Forest(trees=500, share="sqrt", min_rows=2),
+        "Extra Trees": Forest(trees=500, share="all", min_rows=2, random_cuts=True),
+        "Gradient Boosting": Boosting(rounds=300, rate=0.03, depth=3, min_rows=3, loss="huber"),
     }
 
 
@@ -94,14 +89,19 @@ def _in_parallel(jobs: Sequence, work, width: int = 4) -> list:
 
 
 def fit_all(prepared_train: DataFrame, models: Mapping[str, object], targets: Sequence[str] = TARGETS) -> dict:
-    """Fitted model per (model name, target) on prepared training rows."""
-    jobs = [(m, t) for m in models for t in targets]
+    """Fitted model per (model name, target) on prepared training rows, whose number the caller has bounded."""
+    ensembles = {n: m for n, m in models.items() if isinstance(m, (Forest, Boosting))}
+    jobs = [(m, t) for m in models if m not in ensembles for t in targets]
 
     def fit(job):
         name, target = job
         return job, models[name].copy().fit(prepared_train.withColumn("label", F.col(target)))
 
-    return dict(_in_parallel(jobs, fit))
+    fitted = dict(_in_parallel(jobs, fit))
+    if ensembles:
+        table = trees.Table.of(prepared_train, targets)
+        fitted |= trees.tree_models(prepared_train.sparkSession, table, ensembles, targets, SEED)
+    return fitted
 
 
 def long_predictions(prepared: DataFrame, fitted: Mapping[tuple[str, str], object], keep: Sequence[str] = ()) -> DataFrame:
@@ -115,7 +115,7 @@ def long_predictions(prepared: DataFrame, fitted: Mapping[tuple[str, str], objec
     return out
 
 
-def sampled_grid(estimator, space: Mapping[str, Sequence], draws: int = 20, seed: int = SEED) -> list[dict]:
+def sampled_grid(space: Mapping[str, Sequence], draws: int = 20, seed: int = SEED) -> list[dict]:
     """Distinct random parameter combinations of a search space."""
     rng, seen = random.Random(seed), {}
     sizes = 1
@@ -123,15 +123,28 @@ def sampled_grid(estimator, space: Mapping[str, Sequence], draws: int = 20, seed
         sizes *= len(values)
     while len(seen) < min(draws, sizes):
         choice = {k: rng.choice(v) for k, v in space.items()}
-        seen[tuple(choice.items())] = {estimator.getParam(k): v for k, v in choice.items()}
+        seen[tuple(choice.items())] = choice
     return list(seen.values())
 
 
-def tune(prepared_train: DataFrame, estimator, target: str, grid: list[dict], folds: int = 5, parallelism: int = 4):
-    """Cross-validated search on training rows only, by MAE."""
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, numFolds=folds, seed=SEED, parallelism=parallelism,
-                            evaluator=RegressionEvaluator(labelCol="label", predictionCol="predicted", metricName="mae"))
-    return search.fit(prepared_train.withColumn("label", F.col(target)))
+def search(prepared_train: DataFrame, draws: Sequence[Boosting], targets: Sequence[str] = TARGETS, folds: int = 5) -> DataFrame:
+    """(target, draw, cv_mae, rank): mean error over shuffled folds of every draw, the best draw of a target first.
+
+    All fits are one Spark job over the table of the given rows, whose number the caller has bounded.
+    """
+    table = trees.Table.of(prepared_train, targets)
+    scores = trees.staged_scores(prepared_train.sparkSession, table, draws, folds, SEED)
+    mean = scores.groupBy("target", "draw").agg(F.avg("mae").alias("cv_mae"))
+    return mean.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("cv_mae", "draw")))
+
+
+def tuned(prepared_train: DataFrame, draws: Sequence[Boosting], found: DataFrame, name: str) -> dict:
+    """The best draw of each target, fitted on all given rows, by (name, target)."""
+    best = {r["target"]: draws[r["draw"]] for r in found.where("rank = 1").collect()}  # one row a target
+    table = trees.Table.of(prepared_train, list(best))
+    spark = prepared_train.sparkSession
+    fitted = trees.fitted_trees(spark, table, [(draw, n) for n, draw in enumerate(best.values())], SEED)
+    return {(name, target): trees.TreeModel(fitted.where(F.col("job") == n)) for n, target in enumerate(best)}
 
 
 # ---- production models ------------------------------------------------------------------------
@@ -178,6 +191,27 @@ def history_violations(requests: DataFrame, history: DataFrame, athlete: str = "
     return requests.join(history.select(athlete, "year"), athlete).where(F.col("year") >= F.col("target_year"))
 
 
+def guarded(requests: DataFrame, history: DataFrame, key: str = "request_id") -> DataFrame:
+    """Requests that bring their own history (rows by request) with last_year and a status: ACCEPTED, NO_HISTORY, or
+    HISTORY_REACHES_TARGET if any row is not strictly before the target year. A missing target year or key is REJECTED."""
+    last = history.groupBy(key).agg(F.max("year").alias("last_year"))
+    return requests.join(last, key, "left").withColumn(
+        "status", F.when(F.col(key).isNull() | F.col("target_year").isNull(), "REJECTED").when(
+            F.col("last_year").isNull(), "NO_HISTORY").when(
+            F.col("last_year") >= F.col("target_year"), "HISTORY_REACHES_TARGET").otherwise("ACCEPTED"))
+
+
+def answered(requests: DataFrame, history: DataFrame, models: Mapping[str, PipelineModel], key: str = "request_id",
+             mode: str = "reference") -> DataFrame:
+    """Every request with its status and the four predictions, which only accepted ones have."""
+    judged = guarded(requests, history, key)
+    accepted = judged.where("status = 'ACCEPTED'").withColumn("request_id", F.col(key))
+    own = history.join(accepted.select(key), key, "left_semi").withColumn("request_key", F.col(key))
+    rows = request_features(accepted.withColumn("request_key", F.col(key)), own, mode, "request_key")
+    found = predict(rows, models).select(F.col("request_id").alias(key), *[f"predicted_{t}" for t in models])
+    return judged.join(found, key, "left")
+
+
 def _through_year(years: DataFrame, athlete: str) -> DataFrame:
     """History features that include the row's own year."""
     line = Window.partitionBy(athlete).orderBy("year")

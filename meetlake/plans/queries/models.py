@@ -10,14 +10,14 @@ from meetlake.plans import models as ML
 from meetlake.plans.queries.history import FEATURES_SQL
 from meetlake.plans.queries.quality import R4, WITH
 from meetlake.plans.registry import query
-from meetlake.plans.tables import meet_results
+from meetlake.plans.tables import meet_results, table
 from meetlake.schema import PRODUCTION_FEATURES, TARGETS
-from meetlake.session import fresh_folder, pinned
+from meetlake.session import file_stamp, fresh_folder, pinned
 
 TRAIN_END, VALIDATION_END = 1998, 2000
-#: Labelled rows that the models, and each fit of the search, are trained on at most. Trees, rounds, candidates, draws and
-#: folds are not cut.
-TRAIN_ROWS, SEARCH_ROWS = 20_000, 1_000
+#: Labelled rows that the models, and each fit of the search, are trained on at most. Trees, rounds, depth, candidates, draws
+#: and folds are not cut.
+TRAIN_ROWS, SEARCH_ROWS = 20_000, 2_000
 
 SPLIT_SQL = f"""{FEATURES_SQL},
 supervised AS (
@@ -197,14 +197,31 @@ def request_features_as_of(spark, d):
         "request_id", "year", *[c for c in _SHOWN if c != "previous_year_count"])
 
 
-# ---- models: no SQL states a fitted model -----------------------------------------------------
+@query("request_guard", f"""{WITH}
+SELECT c.c_custkey AS request_id, max(m.year) AS last_year, CASE WHEN max(m.year) IS NULL THEN 'NO_HISTORY'
+  WHEN max(m.year) >= 2000 THEN 'HISTORY_REACHES_TARGET' ELSE 'ACCEPTED' END AS status
+FROM customer c LEFT JOIN meet_results m ON m.athlete_name = 'CUSTOMER#' || lpad(CAST(c.c_custkey AS VARCHAR), 9, '0')
+GROUP BY c.c_custkey""")
+def request_guard(spark, d):
+    """Every customer asks for 2000 and brings all results."""
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.lit(2000).alias("target_year"))
+    history = meet_results(spark, d).select(
+        F.regexp_extract("athlete_name", r"#0*(\d+)$", 1).cast("long").alias("request_id"), "year")
+    return ML.guarded(asked, history).select("request_id", "last_year", "status")
+
+
+# ---- models: no SQL states a fitted model; what follows from the rows alone is stated ------------
 
 _FITTED: dict = {}
+_JUDGED = f"""{SPLIT_SQL},
+whole AS (SELECT * FROM supervised WHERE {" AND ".join(f"{t} IS NOT NULL" for t in TARGETS)}),
+target(target) AS (VALUES {", ".join(f"('{t}')" for t in TARGETS)}),
+asking AS (SELECT DISTINCT athlete_id FROM meet_results WHERE year < 2001)"""
 
 
 def _models(spark, d):
-    """All candidates on all targets, fitted once for a session and folder: seven queries read the same models."""
-    key = (spark.sparkContext.applicationId, d)
+    """All candidates on all targets, fitted once for a session and the files of a folder: several queries read the same models."""
+    key = (spark.sparkContext.applicationId, file_stamp(spark, d))
     if key not in _FITTED:
         keep = ("seq", "athlete_id", "split", *PRODUCTION_FEATURES, *TARGETS, *_LAST.values())
         keep = tuple(dict.fromkeys(keep))
@@ -224,7 +241,7 @@ def model_comparison(spark, d):
 
 def _chosen(spark, d):
     """Model name per target with the least validation error: four rows, asked for once."""
-    key = ("chosen", spark.sparkContext.applicationId, d)
+    key = ("chosen", spark.sparkContext.applicationId, file_stamp(spark, d))
     if key not in _FITTED:
         _FITTED[key] = {r["target"]: r["model"] for r in M.best_models(_judged(spark, d)).collect()}
     return _FITTED[key]
@@ -269,12 +286,13 @@ def field_projection(spark, d):
     models, _ = _production(spark, d)
     results = meet_results(spark, d)
     rows = ML.predict(ML.request_features(requests(spark, d), results, athlete="athlete_id"), models)
-    field = results.where("year = 2000").select("seq", "athlete_id", "weight_class", "year", "total")
+    field = results.select("seq", "athlete_id", "weight_class", "year", "total")
     projected = ML.field_projection(field, rows.drop("weight_class", "year"), ("athlete_id",))
     return PO.leaderboard(projected, ("weight_class", "year"))
 
 
-@query("stored_models")
+@query("stored_models", f"""{WITH}, {_JUDGED}
+SELECT count(*) AS rows, {", ".join(f"0.0::DOUBLE AS max_predicted_{t}" for t in TARGETS)}, true AS equal FROM asking""")
 def stored_models(spark, d):
     models, _ = _production(spark, d)
     rows = pinned(ML.request_features(requests(spark, d), meet_results(spark, d), athlete="athlete_id"))
@@ -284,20 +302,87 @@ def stored_models(spark, d):
     return M.prediction_difference(ML.predict(rows, models), ML.predict(rows, ML.load_models(path)), ("request_id",), columns)
 
 
+def _sound(*columns):
+    """Values are there and finite."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return F.coalesce(out, F.lit(False))
+
+
+@query("model_checks", f"""{WITH}, {_JUDGED},
+judged AS (SELECT split, count(*) AS n FROM whole GROUP BY split)
+SELECT 'comparison' AS part, model || ' ' || target AS subject, (SELECT n FROM judged WHERE split = 'validation') AS n, true AS sound
+FROM target, (VALUES ('Ridge'), ('ElasticNet'), ('Random Forest'), ('Extra Trees'), ('Gradient Boosting')) AS m(model)
+UNION ALL SELECT 'test', target, (SELECT n FROM judged WHERE split = 'test'), true FROM target
+UNION ALL SELECT 'predictions', 'requests', (SELECT count(*) FROM asking), true
+UNION ALL SELECT 'report', target, (SELECT count(*) FROM asking), true FROM target
+UNION ALL SELECT 'projection', CASE WHEN a.athlete_id IS NULL THEN 'Historical benchmark' ELSE 'AI prediction if competing' END,
+  count(*), true FROM meet_results m LEFT JOIN asking a USING (athlete_id) GROUP BY 2""")
+def model_checks(spark, d):
+    """How many rows each part of the model work judges or answers, and whether its values hold what they must.
+
+    A comparison is sound if its errors are finite and the model is right within the spread of its target; a test if its gain
+    follows from the two errors; predictions if they are finite; a projection if it is the prediction or the total.
+    """
+    spread = _models(spark, d)[2].agg(*[(F.max(t) - F.min(t)).alias(t) for t in TARGETS]).unpivot(
+        [], list(TARGETS), "target", "spread")
+    compared = model_comparison(spark, d).join(spread, "target").select(
+        F.lit("comparison").alias("part"), F.concat_ws(" ", "model", "target").alias("subject"), "n",
+        (_sound("mae", "rmse", "median_absolute_error") & (F.col("mae") <= F.col("rmse")) & (F.col("rmse") < F.col("spread"))).alias("sound"))
+    gain = (F.col("baseline_mae") - F.col("mae")) / F.col("baseline_mae") * 100
+    tested = test_evaluation(spark, d).select(
+        F.lit("test"), "target", "n", _sound("mae", "rmse", "improvement_pct") & (F.abs(gain - F.col("improvement_pct")) < 1e-9))
+    names = [f"predicted_{t}" for t in TARGETS]
+    predicted = model_predictions(spark, d).agg(F.count(F.lit(1)).alias("n"), F.bool_and(_sound(*names)).alias("sound")).select(
+        F.lit("predictions"), F.lit("requests"), "n", "sound")
+    report = prediction_report(spark, d).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
+        _sound("prediction_kg", "historical_mae_kg") & (F.col("historical_p90_error_kg") >= 0)).alias("sound")).select(
+        F.lit("report"), "target", "n", "sound")
+    projected = field_projection(spark, d).groupBy("projection_source").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
+        F.col("projected_total").eqNullSafe(F.coalesce("ai_predicted_total", "total"))).alias("sound")).select(
+        F.lit("projection"), "projection_source", "n", "sound")
+    out = compared
+    for part in (tested, predicted, report, projected):
+        out = out.union(part)
+    return out
+
+
+def _searched(spark, d):
+    """Draws and their cross-validated errors on all targets, and the best draws fitted; found once for the files of a folder."""
+    key = ("search", spark.sparkContext.applicationId, file_stamp(spark, d))
+    if key not in _FITTED:
+        rows = ML.complete_rows(pinned(supervised(spark, d).select("seq", "split", *PRODUCTION_FEATURES, *TARGETS)))
+        train = ML.bounded(rows.where("split = 'train'"), TRAIN_ROWS, "seq")
+        prep = ML.prepare(train)
+        learned = pinned(prep.transform(train).select("seq", "features", *TARGETS))
+        scores, best = {}, {}
+        for name, space in ML.TUNING.items():
+            draws = [ML.Boosting(**choice) for choice in ML.sampled_grid(space)]
+            scores[name] = ML.search(ML.bounded(learned, SEARCH_ROWS, "seq"), draws)
+            best |= ML.tuned(learned, draws, scores[name], name)
+        _FITTED[key] = scores, best, prep.transform(rows.where("split = 'validation'"))
+    return _FITTED[key]
+
+
 @query("tuned_models")
 def tuned_models(spark, d):
-    """Random search for boosting and the forest on all targets: 20 draws from the full space each, on 5 folds.
+    """Random search for boosting on all targets: 20 draws from the full space, on 5 folds; validation errors of the best draws.
 
-    A model and target take 100 fits of up to 500 rounds or trees; SEARCH_ROWS bounds the labelled rows alone.
+    SEARCH_ROWS bounds the labelled rows of a fit of the search, TRAIN_ROWS those that the best draws are fitted on.
     """
-    rows = ML.complete_rows(pinned(supervised(spark, d).select("seq", "split", *PRODUCTION_FEATURES, *TARGETS)))
-    train = ML.bounded(rows.where("split = 'train'"), SEARCH_ROWS, "seq")
-    prep = ML.prepare(train)
-    learned = prep.transform(train).select("features", *TARGETS).persist()
-    models = ML.candidates(1)
-    best = {}
-    for name, space in ML.TUNING.items():
-        grid = ML.sampled_grid(models[name], space)
-        for target in TARGETS:
-            best[name, target] = ML.tune(learned, models[name], target, grid, parallelism=8).bestModel
-    return M.error_metrics(ML.long_predictions(prep.transform(rows.where("split = 'validation'")), best))
+    _, best, judged = _searched(spark, d)
+    return M.error_metrics(ML.long_predictions(judged, best))
+
+
+@query("search_scores", f"""{WITH}, {_JUDGED}
+SELECT 'Gradient Boosting' AS model, target, 20::BIGINT AS draws, 20::BIGINT AS ranks, true AS ordered FROM target""")
+def search_scores(spark, d):
+    """Of each target of the search how many draws have a mean error over the folds, and whether their ranks follow it."""
+    out = None
+    for name, scores in _searched(spark, d)[0].items():
+        part = scores.groupBy("target").agg(
+            F.count_if(F.col("cv_mae") > 0).alias("draws"), F.countDistinct("rank").alias("ranks"),
+            (F.min_by("cv_mae", "rank") == F.min("cv_mae")).alias("ordered")).select(F.lit(name).alias("model"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

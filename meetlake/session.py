@@ -59,6 +59,17 @@ def pinned(df: DataFrame, below: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_stamp(spark: SparkSession, folder: str) -> tuple:
+    """Path, size and time of every file below a folder: what a result that is kept for the session depends on."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors of a cluster, for sessions that did not start from its folder."""
     if spark.sparkContext.master.startswith("local["):

@@ -159,23 +159,33 @@ def test_metrics_by_hand(spark):
 def test_guards_and_grid():
     with pytest.raises(ValueError, match="not allowed"):
         forbid_columns((*HISTORY_FEATURES, "total"), TARGETS)
-    forest = ML.candidates(10)["Random Forest"]
-    grid = ML.sampled_grid(forest, {"maxDepth": (2, 3), "minInstancesPerNode": (1, 2)}, 20)
-    assert len(grid) == 4 and len(ML.sampled_grid(forest, ML.TUNING["Random Forest"], 20)) == 20
-
-
-def test_search_covers_all_models_and_targets(spark, monkeypatch):
-    from types import SimpleNamespace
-    from meetlake.plans.queries import models as queries
-    asked = []
-
-    def tune(learned, estimator, target, grid, **_):
-        asked.append((type(estimator).__name__, target, len(grid)))
-        return SimpleNamespace(bestModel=(type(estimator).__name__, target))
-
-    monkeypatch.setattr(queries.ML, "tune", tune)
-    monkeypatch.setattr(queries.ML, "long_predictions", lambda rows, best: best)
-    monkeypatch.setattr(queries.M, "error_metrics", lambda best: best)
-    best = queries.tuned_models(spark, "/root/testdata/sf0.001")
-    assert set(best) == {(m, t) for m in queries.ML.TUNING for t in queries.TARGETS} and len(asked) == 8
-    assert all(n == 20 for *_, n in asked)
+    grid = ML.sampled_grid({"depth": (2, 3), "min_rows": (1, 2)}, 20)
+    assert len(grid) == 4 and len(ML.sampled_grid(ML.TUNING["Gradient Boosting"], 20)) == 20
+
+
+def test_requests_with_their_own_history(spark, results):
+    rows = results(*[dict(athlete_id="x", year=y, total=t) for y, t in ((2017, 500.0), (2018, 520.0))], dict(athlete_id="x", year=2021))
+    history = rows.withColumn("request_id", F.when(F.col("year") == 2021, "late").otherwise("fine"))
+    asked = spark.createDataFrame([("fine", 2020), ("late", 2021), ("none", 2020), ("fine2", None)], "request_id string, target_year int") \
+        .selectExpr("*", "'Open' AS division", "'66' AS weight_class", "'CLASSIC' AS equipment")
+
+    class Total:
+        def transform(self, df):
+            return df.withColumn("predicted", F.col("previous_total") + 1)
+
+    got = {r["request_id"]: r for r in ML.answered(asked, history, {"total": Total()}).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {
+        "fine": "ACCEPTED", "late": "HISTORY_REACHES_TARGET", "none": "NO_HISTORY", "fine2": "REJECTED"}
+    # as in the feature rows of single requests: the latest year's features describe the time before it
+    assert got["fine"]["predicted_total"] == 501.0 and all(got[k]["predicted_total"] is None for k in ("late", "none", "fine2"))
+
+
+def test_kept_models_depend_on_the_files(spark, tmp_path):
+    import os
+    from meetlake.session import file_stamp
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    first = file_stamp(spark, str(tmp_path))
+    assert first == file_stamp(spark, str(tmp_path))
+    part = next(p for p in (tmp_path / "t.parquet").iterdir() if p.suffix == ".parquet")
+    os.utime(part, (1, 1))
+    assert file_stamp(spark, str(tmp_path)) != first
