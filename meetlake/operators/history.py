@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meetlake.functions.text import blank_to_null, strip
@@ -109,8 +109,6 @@ def order_audit(rows: DataFrame, position: str, athlete: str = "athlete_id") ->
     of the target's four results; an ordering violation is a row that comes before its predecessor.
     """
     rows = checked_history_keys(rows, athlete)
-    before = Window.partitionBy(athlete).orderBy(position)
-    past = before.rowsBetween(Window.unboundedPreceding, -1)
     here = F.struct("year", "competition")
     signature = [athlete, *TARGETS]
     first = rows.groupBy(*signature).agg(F.min(position).alias("first"))
@@ -118,16 +116,19 @@ def order_audit(rows: DataFrame, position: str, athlete: str = "athlete_id") ->
     same = F.lit(True)
     for c in signature:
         same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}"))
-    seen = rows.alias("r").join(first.alias("f"), same).select("r.*", "first").join(
+    tagged = rows.alias("r").join(first.alias("f"), same).select("r.*", "first").join(
         at_meet, [athlete, "year", "competition"]).select(
-        F.row_number().over(before).alias("n"), F.max(here).over(past).alias("latest"), F.lag(here).over(before).alias("last"),
-        here.alias("here"), (F.col("at_meet") != 1).alias("crowded"), (F.col("first") < F.col(position)).alias("repeated"))
+        athlete, position, here.alias("here"), (F.col("at_meet") != 1).alias("crowded"),
+        (F.col("first") < F.col(position)).alias("repeated"))
+    # a scan of parts, so one athlete's rows are no task of their own
+    seen = running_before(tagged, [athlete], [position], {
+        "n": ("count", F.lit(1)), "latest": ("max", F.col("here")), "last": ("last", F.col("here"))})
 
     def n(name: str, test: Column) -> Column:
         return F.count_if(F.coalesce(test, F.lit(False))).alias(name)
 
     c = F.col
-    counted = seen.where("n > 1").agg(
+    counted = seen.where("n > 0").agg(
         F.count(F.lit(1)).alias("total_examples"), n("examples_with_target_in_history", c("crowded")),
         n("examples_with_future_year_in_history", ~c("crowded") & (c("latest") > c("here"))),
         n("examples_with_target_values_in_history", ~c("crowded") & c("repeated")),

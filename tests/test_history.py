@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meetlake.operators import history as H
 from meetlake.operators import temporal as T
-from meetlake.operators.ordered import exact_percentiles, running_before
+from meetlake.operators.ordered import exact_percentiles, group_percentiles, in_parts, running_before
 from meetlake.schema import PRODUCTION_FEATURES
 
 
@@ -96,17 +96,34 @@ def test_yearly_features(results):
     assert sum(v for k, v in T.chronology_check(joined).first().asDict().items() if k not in ("rows", "history_without_years")) == 0
 
 
-@pytest.mark.parametrize(("size", "accuracy"), [(1, 1000), (2, 1000), (9, 1000), (3000, 1000), (3000, 100000)])
-def test_percentiles_match_interpolation(spark, size, accuracy):
-    """Exact with wide and with narrow brackets, under a dominant value."""
-    rng = random.Random(1)
-    values = [rng.choice([5.0, 5.0, rng.random() * 100]) for _ in range(size)]
-    df = spark.createDataFrame([(v, None if i % 7 else v) for i, v in enumerate(values)], "a double, b double")
-    got = {(r["name"], r["prob"]): r["value"] for r in exact_percentiles(df, ("a", "b"), (0.0, 0.25, 0.5, 0.9, 1.0), accuracy).collect()}
+@pytest.mark.parametrize("size", [1, 2, 9, 3000])
+def test_percentiles_match_interpolation(spark, size):
+    """Exact under a dominant value, with values of all signs and magnitudes and with few distinct ones."""
     import numpy as np
-    for name, column in (("a", values), ("b", values[::7])):
-        for p in (0.0, 0.25, 0.5, 0.9, 1.0):
-            assert got[(name, p)] == pytest.approx(float(np.percentile(column, p * 100)))
+    rng = random.Random(size)
+    wide = [rng.choice([5.0, 5.0, -0.0, 0.0, rng.random() * 100, -rng.random() * 1e-300, rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300)])
+            for _ in range(size)]
+    df = spark.createDataFrame([(v, None if i % 7 else v, round(v, 0) % 3, None) for i, v in enumerate(wide)], "a double, b double, c double, d double")
+    probs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {(r["name"], r["prob"]): r["value"] for r in exact_percentiles(df, ("a", "b", "c", "d"), probs).collect()}
+    assert len(got) == 15  # a column without values has none
+    for name, column in (("a", wide), ("b", wide[::7]), ("c", [round(v, 0) % 3 for v in wide])):
+        for p in probs:
+            assert got[(name, p)] == pytest.approx(float(np.percentile(column, p * 100)), rel=1e-12)
+
+
+def test_group_percentiles_by_radix(spark):
+    """Groups of all sizes, a hot and a null one; no window, no sort of values in the plan."""
+    import numpy as np
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "x", "y", None]), round(rng.gauss(0, 50), rng.choice([0, 1, 9]))) for _ in range(4000)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    found = group_percentiles(df, "g", "v", (0.1, 0.5, 0.99))
+    got = {(r["name"], r["prob"]): r["value"] for r in found.collect()}
+    groups = {g: [v for k, v in rows if k == g and v is not None] for g in ("hot", "x", "y", None, "one")}
+    assert got == {(g, p): pytest.approx(float(np.percentile(v, p * 100)), rel=1e-12) for g, v in groups.items() for p in (0.1, 0.5, 0.99)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Python" not in plan
 
 
 def test_running_sum_chunks_agree(spark):
@@ -122,3 +139,25 @@ def test_running_sum_chunks_agree(spark):
         assert (got["s"], got["n"], got["m"], got["l"]) == (sum(past), len(past), max(past, default=None), past[-1] if past else None)
         past.append(v)
     assert sorted(map(str, one)) == sorted(map(str, many))
+
+
+def test_scan_splits_one_group(spark, request):
+    """A third of the rows and a single year belong to one athlete: parts stay small, and the carried state is right."""
+    rows = [("hot", 2020, i, float((i * 37) % 101)) for i in range(3000)] + [(f"a{i % 900}", 2000 + i % 7, i, float(i)) for i in range(6000)] + [
+        (None, 2020, i, 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, year int, i int, v double").repartition(7)
+    joined_parts = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(joined_parts, "false")  # small parts would be put together again
+    request.addfinalizer(lambda: spark.conf.unset(joined_parts))
+    dealt = in_parts(df, ["k"], ["year", "i"])
+    sizes = [r["count"] for r in dealt.groupBy("_part").count().collect()]
+    assert max(sizes) < 0.3 * len(rows) and dealt.where("k = 'hot'").select("_part").distinct().count() > 1
+    measures = {"s": ("sum", F.col("v")), "n": ("count", F.lit(1)), "m": ("max", F.col("v")), "l": ("last", F.struct("v", "i"))}
+    got = {(r["k"], r["year"], r["i"]): r for r in running_before(df, ["k"], ["year", "i"], measures).collect()}
+    assert len(got) == len(rows)
+    past = {}
+    for k, year, i, v in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        n, s, m, last = past.get(k, (0, 0, None, None))
+        r = got[k, year, i]
+        assert (r["n"], r["s"], r["m"]) == (n, s, m) and (tuple(r["l"]) if r["l"] else None) == last
+        past[k] = (n + 1, s + v, v if m is None else max(m, v), (v, i))
