@@ -59,15 +59,31 @@ def pinned(df: DataFrame, below: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, size and time of every file below a folder (none if there is no such folder)."""
+    root, system = _folder(spark, path)
+    out = []
+    if system.exists(root):
+        files = system.listFiles(root, True)
+        while files.hasNext():
+            status = files.next()
+            out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(out)
+
+
 def file_stamp(spark: SparkSession, folder: str) -> tuple:
-    """Path, size and time of every file below a folder: what a result that is kept for the session depends on."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
-    found = []
-    while files.hasNext():
-        status = files.next()
-        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
-    return tuple(sorted(found))
+    """What a result that is kept for the session depends on: all files below a folder."""
+    return tuple(folder_files(spark, folder))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    root, system = _folder(spark, path)
+    system.delete(root, True)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -66,13 +67,16 @@ def test_result_files(spark, results, tmp_path):
     with pytest.raises((PySparkException, Py4JJavaError)):
         R.read_results(spark, str(tmp_path / "broken.jsonl")).collect()
     good, bad = R.split_results(spark, str(tmp_path / "broken.jsonl"))
-    assert good.count() == 1 and [(r["line"], r["line_in_block"]) for r in bad.collect()] == [("{not json", 2)]
+    assert good.count() == 1 and [(r["line"], r["number"]) for r in bad.collect()] == [("{not json", 3)]
     (tmp_path / "words.jsonl").write_text(json.dumps(line) + "\n" + json.dumps({**line, "bodyweight": "sixty"}) + "\n")
     good, bad = R.split_results(spark, str(tmp_path / "words.jsonl"))
     assert good.count() == 1 and "sixty" in bad.first()["line"]
     assert good.columns == R.read_results(spark, str(tmp_path / "words.jsonl")).columns
-    with pytest.raises(ValueError, match="malformed"):
+    with pytest.raises(ValueError, match="malformed line 3 of .*broken.jsonl: {not json"):
         R.read_canonical(spark, str(tmp_path / "broken.jsonl"))
+    (tmp_path / "blank.jsonl").write_text("\n \n")
+    with pytest.raises(ValueError, match="no records"):
+        R.read_canonical(spark, str(tmp_path / "blank.jsonl"))
     (tmp_path / "short.jsonl").write_text('{"athlete_id": "a"}\n')
     with pytest.raises(ValueError, match="missing columns"):
         R.read_canonical(spark, str(tmp_path / "short.jsonl"))
@@ -85,6 +89,55 @@ def test_result_files(spark, results, tmp_path):
     assert R.read_resolution(spark, str(tmp_path / "report.json")).first()["classification"] == "SPLIT"
 
 
+def test_lines_are_numbered_over_many_splits(spark, tmp_path, request):
+    """Files of several splits, with blank lines, long lines and no line feed at the end."""
+    rng = random.Random(2)
+    files = {}
+    for name, n in (("a.txt", 400), ("b.txt", 1), ("c.txt", 77)):
+        files[name] = ["" if rng.random() < 0.1 else f"{name}{k}" + "x" * rng.choice([0, 5, 300]) for k in range(n)] + ["end"]
+        (tmp_path / name).write_text("\n".join(files[name]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.files.maxPartitionBytes"))
+    got = {(r["file"].rsplit("/", 1)[-1], r["number"]): r["value"] for r in R.numbered_lines(spark, str(tmp_path)).collect()}
+    assert got == {(f, n): v for f, lines in files.items() for n, v in enumerate(lines, 1)}
+    assert R._lines(spark, str(tmp_path)).select("file", "split").distinct().count() > 10
+
+
+def test_the_first_bad_line_of_a_large_file_is_named(spark, results, tmp_path, request):
+    rows = results(*[dict(athlete_id=f"a{k}", total=float(k)) for k in range(300)])
+    W.write_jsonl(rows.coalesce(1), str(tmp_path / "j"))
+    lines = next((tmp_path / "j").glob("*.json")).read_text().splitlines()
+    lines[210], lines[250] = lines[210][:-3], "[]"
+    (tmp_path / "large.jsonl").write_text("\n\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.files.maxPartitionBytes"))
+    with pytest.raises(ValueError, match="malformed line 421 of"):
+        R.read_canonical(spark, str(tmp_path / "large.jsonl"))
+    found = R.checked_lines(spark, str(tmp_path / "large.jsonl")).first()
+    assert (found["records"], found["malformed"], found["number"], found["absent"]) == (300, 2, 421, [])
+
+
+def test_torn_folders_are_refused(spark, results, tmp_path):
+    out = str(tmp_path / "out")
+    rows = results(*[dict(year=2018 + k % 3, total=float(k)) for k in range(30)])
+    assert W.write_canonical(rows, out)["record_count"] == 30
+    for kind in ("parquet", "jsonl", "csv"):
+        assert W.read_written(spark, out, kind).agg(F.sum("total"), F.count("*")).first() == (435.0, 30)
+    part = next((tmp_path / "out" / "competition_results.jsonl").glob("*.json"))
+    text = part.read_text()
+    part.write_text(text[:-10])
+    with pytest.raises(ValueError, match="torn"):
+        W.read_written(spark, out, "jsonl")
+    part.write_text(text)
+    next((tmp_path / "out" / "competition_results.parquet").rglob("*.parquet")).unlink()
+    with pytest.raises(ValueError, match="torn"):
+        W.read_written(spark, out)
+    W.remove_folder(spark, W._manifest(out))
+    with pytest.raises(ValueError, match="incomplete"):
+        W.read_written(spark, out, "csv")
+    assert W.write_canonical(rows.limit(0), out)["record_count"] == 0 and W.read_written(spark, out, "jsonl").count() == 0
+
+
 def history(athletes=40):
     rows = []
     for a in range(athletes):
