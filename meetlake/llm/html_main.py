@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -46,7 +47,8 @@ NEVER = frozenset("button form input select textarea".split())
 #: Containers that say nothing by themselves.
 NEUTRAL = frozenset("center dd div dl dt li ol section table tbody td tfoot th thead tr ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_SPECIAL = re.compile("[>\"']")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -64,12 +66,51 @@ def _marks(attributes: str) -> frozenset:
     return frozenset(w for found in _NAMES.findall(attributes) for w in _WORD.findall("".join(found).lower()))
 
 
+class TagEnds:
+    """Where tags end: at the first ``>`` outside of quoted values. Every special sign of a page is looked at once."""
+
+    def __init__(self, html: str):
+        self.html, self.known, self.span = html, {}, (0, -1, -1)
+        self.last = {q: html.rfind(q) for q in "\"'"}
+
+    def special(self, at: int) -> int:
+        """The next quote or ``>`` from a place on, or -1."""
+        low, high, found = self.span
+        if not low <= at <= high:
+            match = _SPECIAL.search(self.html, at)
+            found = match.start() if match else -1
+            self.span = at, found if match else len(self.html), found
+        return found
+
+    def after(self, at: int) -> int:
+        """The ``>`` that ends a tag whose attributes begin at a place; -1 if there is none or a quote stays open."""
+        passed, place = [], self.special(at)
+        while place not in self.known:
+            if place < 0 or self.html[place] == ">":
+                self.known[place] = place
+            elif place == self.last[self.html[place]]:
+                self.known[place] = -1
+            else:
+                passed.append(place)
+                place = self.special(self.html.find(self.html[place], place + 1) + 1)
+        end = self.known[place]
+        for p in passed:
+            self.known[p] = end
+        return end
+
+
 def tree(html: str) -> list[Node]:
-    """Block elements and text runs in page order; a node's parent comes before it. Open ends close with their parent."""
+    """Block elements and text runs in page order; a node's parent comes before it. Open ends close with their parent.
+
+    The time is linear in the page: ends of tags are found once, and open elements are looked up by name.
+    """
     nodes = [Node(-1, "page", frozenset())]
     stack: list[tuple[str, int]] = [("page", 0)]  # open elements, inline ones with the node that they lie in
+    where: dict[str, list[int]] = {}  # of each name the places of its open elements in the stack, ascending
+    blocks, solid = [0], [0]  # the places of open elements that aren't inline, and of those that aren't paragraphs either
     run: list[str] = []
     linked, in_link = 0, 0
+    ends = TagEnds(html)
 
     def flush():
         nonlocal linked
@@ -80,37 +121,67 @@ def tree(html: str) -> list[Node]:
             run.clear()
         linked = 0
 
+    def push(tag: str, node: int):
+        where.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+            if tag != "p":
+                solid.append(len(stack))
+        stack.append((tag, node))
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        where[tag].pop()
+        for places in (blocks, solid):
+            if places[-1] == len(stack):
+                places.pop()
+        return tag
+
     def close(at: int):
+        """End the element at a place and all in it; a block among them ends the text run."""
         nonlocal in_link
-        for tag, _ in stack[at:]:
-            if tag not in INLINE:
-                flush()
-            elif tag == "a":
-                in_link -= 1
-        del stack[at:]
-
-    at, find = 0, _TOKEN.search
-    while at < len(html):
-        match = find(html, at)
-        if match is None:
-            run.append(html[at:])
-            linked += (len(html) - at) * bool(in_link)
+        if blocks[-1] >= at:
+            flush()
+        while len(stack) > at:
+            in_link -= pop() == "a"
+
+    def lowest(names, above: int) -> int | None:
+        """The lowest open element of some names above a place."""
+        found = [places[k] for name in names if (places := where.get(name)) and (k := bisect_right(places, above)) < len(places)]
+        return min(found, default=None)
+
+    def say(text: str):
+        nonlocal linked
+        run.append(text)
+        linked += len(text) * bool(in_link)
+
+    at, size = 0, len(html)
+    while at < size:
+        start = html.find("<", at)
+        if start < 0:
+            say(html[at:])
             break
-        if match.start() > at:
-            run.append(html[at:match.start()])
-            linked += (match.start() - at) * bool(in_link)
-        at = match.end()
-        tag = match[2]
-        if tag is None:
+        if start > at:
+            say(html[at:start])
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        match = _OPEN.match(html, start)
+        end = ends.after(match.end()) if match else -1
+        if end < 0:
+            if html[start + 1:start + 2] in ("!", "?", "/"):
+                end = html.find(">", start + 2)
+                at = end + 1 if end >= 0 else size
+            else:  # a sign like others
+                say("<")
+                at = start + 1
             continue
-        tag = tag.lower()
+        at, tag = end + 1, match[2].lower()
         if match[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end does not close blocks
+            places = where.get(tag)
+            if places and not (tag in INLINE and blocks[-1] > places[-1]):  # an inline end does not close blocks
+                close(places[-1])
             continue
         if tag in VOID:
             if tag in ("br", "wbr", "img"):
@@ -119,26 +190,28 @@ def tree(html: str) -> list[Node]:
                 flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            last = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
+            end = html.find(">", last.end()) if last else -1
+            at = end + 1 if end >= 0 else size
             continue
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             in_link += tag == "a"
             continue
         flush()
-        for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph; a list item, cell or row its sibling
-            name = stack[k][0]
-            if name == "p" or tag in SIBLINGS and name in SIBLINGS[tag][0]:
-                close(k)
-            elif name not in INLINE:
-                if tag not in SIBLINGS or name in SIBLINGS[tag][1]:
-                    break
+        # a block ends open paragraphs; a list item, cell or row also its siblings, but not beyond their container
+        if tag in SIBLINGS:
+            same, holders = SIBLINGS[tag]
+            first = lowest(("p", *same), max((where[h][-1] for h in holders if where.get(h)), default=0))
+        else:
+            first = lowest(("p",), solid[-1])
+        if first is not None:
+            close(first)
         while len(stack) > 1 and stack[-1][0] in INLINE:  # open formatting doesn't take in blocks
-            in_link -= stack.pop()[0] == "a"
-        marks = _marks(match[3])
+            in_link -= pop() == "a"
+        marks = _marks(html[match.end():end])
         nodes.append(Node(stack[-1][1], tag, marks))
-        stack.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
     flush()
     return nodes
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import uuid
 from collections import Counter
 
@@ -63,6 +64,25 @@ def test_markup(counts, html, expected):
     assert html_main.main_text(html_main.Model(counts), "<html><body><nav><a href=x>Menu</a></nav>" + html) == expected
 
 
+@pytest.mark.parametrize("html", [
+    "<a " * 330_000, "<b>" * 150_000 + "</i>" * 150_000, "<a " * 200_000 + '" >', "<a \"'" * 200_000, "<script>" + "</script" * 120_000,
+    "<div>" * 60_000 + "<li>" * 60_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<p>" * 150_000, "<" * 700_000, "<!" * 400_000,
+    "<!--" * 250_000, '<a b="' * 150_000, "<a b='\" " * 150_000, "<div class" + " " * 1_000_000 + ">", "<table>" * 40_000 + "<tr><td>" * 40_000])
+def test_odd_pages_take_linear_time(html):
+    start = time.time()
+    html_main.tree(html)
+    assert time.time() - start < 8
+
+
+@pytest.mark.parametrize(("html", "expected"), [
+    ("<p>a<b>c</p>d", [("p", "ac"), ("page", "d")]), ("<ul><li>x<li>y<div><li>z</ul>w", [("li", "x"), ("li", "y"), ("li", "z"), ("page", "w")]),
+    ('<p title="a>b">x', [("p", "x")]), ('<p "x>y', [("page", '<p "x>y')]), ("<p>1 < 2 <b>3", [("p", "1 < 2 3")]),
+    ("<div>a</i>b</div>c", [("div", "ab"), ("page", "c")]), ("<i><div>a</i>b</div>", [("div", "ab")]), ("<td>a<tr><td>b", [("td", "a"), ("td", "b")])])
+def test_open_elements(html, expected):
+    nodes = html_main.tree(html)
+    assert [(nodes[n.parent].tag, n.text) for n in nodes if n.text is not None] == expected
+
+
 def test_messages_are_exact(counts):
     """Marginals of small trees against the sum over all states."""
     model = html_main.Model(counts)
