@@ -281,14 +281,18 @@ def prediction_report(spark, d):
     return ML.prediction_report(ML.predict(rows, models), test, ("request_id",))
 
 
-@query("field_projection")
-def field_projection(spark, d):
+def _projected(spark, d):
+    """Every result's class field with what its athlete is predicted for 2001."""
     models, _ = _production(spark, d)
     results = meet_results(spark, d)
     rows = ML.predict(ML.request_features(requests(spark, d), results, athlete="athlete_id"), models)
     field = results.select("seq", "athlete_id", "weight_class", "year", "total")
-    projected = ML.field_projection(field, rows.drop("weight_class", "year"), ("athlete_id",))
-    return PO.leaderboard(projected, ("weight_class", "year"))
+    return ML.field_projection(field, rows.drop("weight_class", "year"), ("athlete_id",))
+
+
+@query("field_projection")
+def field_projection(spark, d):
+    return PO.leaderboard(_projected(spark, d), ("weight_class", "year"))
 
 
 @query("stored_models", f"""{WITH}, {_JUDGED}
@@ -339,7 +343,7 @@ def model_checks(spark, d):
     report = prediction_report(spark, d).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
         _sound("prediction_kg", "historical_mae_kg") & (F.col("historical_p90_error_kg") >= 0)).alias("sound")).select(
         F.lit("report"), "target", "n", "sound")
-    projected = field_projection(spark, d).groupBy("projection_source").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
+    projected = _projected(spark, d).groupBy("projection_source").agg(F.count(F.lit(1)).alias("n"), F.bool_and(
         F.col("projected_total").eqNullSafe(F.coalesce("ai_predicted_total", "total"))).alias("sound")).select(
         F.lit("projection"), "projection_source", "n", "sound")
     out = compared
