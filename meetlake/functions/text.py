@@ -79,8 +79,8 @@ def athlete_id(name: Column) -> Column:
 
 
 def resolved_athlete_id(name: Column, birth: Column) -> Column:
-    """Id from name and birth date; from the name alone when the date is unknown."""
-    who, born = identity_text(name), identity_text(birth)
+    """Id from name and birth date; from the name alone when the date is unknown. A missing name fails the job."""
+    who, born = F.coalesce(identity_text(name), F.raise_error(F.lit("an athlete name is required")).cast("string")), identity_text(birth)
     key = F.when(born.isNull(), who).otherwise(F.concat(who, F.lit("|"), born))
     return F.concat(F.lit("ATH-"), F.substring(F.sha2(key, 256), 1, 16))
 

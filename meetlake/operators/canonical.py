@@ -51,14 +51,15 @@ def rejected_rows(rows: DataFrame) -> DataFrame:
     reason = (F.when(F.col("meet").isNull(), "no manifest entry or meet name")
               .when(year_of(F.col("meet_year")).isNull(), "no year")
               .when(F.col("weight_class").isNull(), "no weight class")
-              .when(F.col("division").isNull(), "no division"))
+              .when(F.col("division").isNull(), "no division")
+              .when(blank_to_null(strip(F.col("athlete_name"))).isNull(), "no athlete name"))
     return rows.where(F.col("status") == "PARSED").withColumn("reason", reason).where("reason IS NOT NULL")
 
 
 def canonical_results(rows: DataFrame, strict: bool = True) -> DataFrame:
     """Canonical results of the PARSED rows, with source file and line number in front.
 
-    In strict mode a row without meet, year, class or division fails the job; otherwise such rows stay
+    In strict mode a row without meet, year, class, division or name fails the job; otherwise such rows stay
     out (see rejected_rows).
     """
     def need(c: Column, what: str, kind: str = "string") -> Column:
@@ -68,7 +69,7 @@ def canonical_results(rows: DataFrame, strict: bool = True) -> DataFrame:
 
     name = normal_name(F.col("athlete_name"))
     columns = {
-        "athlete_id": athlete_id(name), "athlete_name": name, "resolved_athlete_id": F.lit(None),
+        "athlete_id": need(F.when(blank_to_null(strip(name)).isNotNull(), athlete_id(name)), "athlete name"), "athlete_name": name, "resolved_athlete_id": F.lit(None),
         "identity_confidence": F.lit("CANDIDATE"), "competition": need(strip(F.col("meet")), "meet name"),
         "year": need(year_of(F.col("meet_year")), "year", "int"), "division": need(strip(F.col("division")), "division"),
         "weight_class": need(strip(F.col("weight_class")), "weight class"), "equipment": equipment_of(F.col("meet")),
@@ -78,7 +79,7 @@ def canonical_results(rows: DataFrame, strict: bool = True) -> DataFrame:
     parsed = rows.where(F.col("status") == "PARSED")
     out = parsed.select("source_file", "line_no", *[
         columns[f.name].cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields])
-    needed = ("competition", "year", "division", "weight_class")
+    needed = ("competition", "year", "division", "weight_class", "athlete_id")
     return out if strict else out.dropna(subset=list(needed))
 
 

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from meetlake.operators import canonical as C
 from meetlake.operators import quality as Q
 from meetlake.operators import sheets as SH
+from meetlake.plans import incremental as IN
 from meetlake.plans.queries.quality import WITH
 from meetlake.plans.registry import query
 from meetlake.plans.sheet_text import sheet_manifest, sheet_texts
 from meetlake.plans.tables import meet_results, table, texts
 from meetlake.schema import MEASURES
-from meetlake.session import pinned
+from meetlake.session import fresh_folder, pinned
 
 # what each layout keeps: rows without a birth date are unreadable, the later layouts show no identity fields
 PARSED_SQL = f"""
@@ -103,6 +104,30 @@ def build_counters(spark, d):
     return C.build_counters(texts, SH.parse_sheets(texts))
 
 
+@query("incremental_build", f"""{WITH}, {PARSED_SQL},
+sheet AS (SELECT DISTINCT sheet FROM shown)
+SELECT (SELECT count_if(sheet % 3 = 0) FROM sheet) AS parsed, (SELECT count_if(sheet % 3 <> 0) FROM sheet) AS kept,
+  (SELECT count_if(sheet % 3 = 0 AND sheet % 2 = 0) FROM sheet) + 1 AS dropped, 0::BIGINT AS parsed_again,
+  (SELECT count(DISTINCT sheet) FROM shown) AS source_count,
+  count(DISTINCT CASE WHEN status = 'PARSED' THEN sheet END) AS parsed_source_count,
+  count_if(status = 'INCOMPLETE') AS incomplete_count,
+  (SELECT count(*) FROM shown WHERE layout = 0 AND date_of_birth IS NULL) AS review_count,
+  count_if(status = 'PARSED') AS normalized_count FROM parsed""")
+def incremental_build(spark, d):
+    """Three runs: sheets of which a sixth are doubled, a sixth are missing and one is foreign; the sheets as they are; the same again."""
+    texts = stored_sheets(spark, d)
+    number = F.regexp_extract("source_file", r"(\d+)", 1).cast("bigint")
+    old = texts.where(~((number % 3 == 0) & (number % 2 == 1))).withColumn(
+        "text", F.when(number % 3 == 0, F.concat_ws("\n", "text", "text")).otherwise(F.col("text")))
+    foreign = spark.range(1).select(F.lit("foreign.txt").alias("source_file"), F.lit("no sheet").alias("text"))
+    folder = fresh_folder(spark, "incremental")
+    IN.refresh(old.select("source_file", "text").unionByName(foreign), folder)
+    changed, again = (IN.refresh(texts.select("source_file", "text"), folder) for _ in range(2))
+    counters = C.build_counters(IN.current_sources(spark, folder), IN.current_rows(spark, folder))
+    return counters.select(*[F.lit(changed[c]).cast("bigint").alias(c) for c in ("parsed", "kept", "dropped")],
+                           F.lit(again["parsed"]).cast("bigint").alias("parsed_again"), "*")
+
+
 @query("manifest_join", """
 WITH files AS (SELECT DISTINCT o_orderkey // 64 AS sheet FROM orders)
 SELECT 'sheet-' || sheet || '.txt' AS source_file, """ + _META + """ AS meet,
