@@ -8,9 +8,9 @@ from meetlake.operators import sheets as SH
 from meetlake.plans import incremental as IN
 from meetlake.plans.queries.quality import WITH
 from meetlake.plans.registry import query
-from meetlake.plans.sheet_text import sheet_manifest, sheet_texts
+from meetlake.plans.sheet_text import ODD, odd_sheets, sheet_manifest, sheet_texts
 from meetlake.plans.tables import meet_results, table, texts
-from meetlake.schema import MEASURES
+from meetlake.schema import LIFT_BLOCK, LIFTS, MEASURES
 from meetlake.session import fresh_folder, pinned
 
 # what each layout keeps: rows without a birth date are unreadable, the later layouts show no identity fields
@@ -104,6 +104,54 @@ def build_counters(spark, d):
     return C.build_counters(texts, SH.parse_sheets(texts))
 
 
+# ---- rows as they are filed now and then ------------------------------------------------------
+
+_KINDS = {k: n for n, k in enumerate(ODD)}
+
+
+def _odd_sql(kind, where="TRUE", **replaced):
+    """Rows of the sheets of one kind; given columns as stated, all others as filed."""
+    shown = {c: c for c in ("weight_class", "division", "athlete_name", "bodyweight", *LIFT_BLOCK, "total")} | replaced
+    return f"""{WITH}
+SELECT 'odd-' || (seq // 64) || '.txt' AS source_file, {", ".join(f"{v} AS {k}" for k, v in shown.items())},
+  {"'INCOMPLETE'" if kind == "compact" else "CASE WHEN total IS NULL THEN 'INCOMPLETE' ELSE 'PARSED' END"} AS row_status
+FROM meet_results WHERE seq // 64 % {len(ODD)} = {_KINDS[kind]} AND date_of_birth IS NOT NULL AND weight_class <> '120+' AND {where}"""
+
+
+def _odd(name, kind, sql):
+    @query(name, sql)
+    def parsed(spark, d):
+        rows = SH.parse_sheets(odd_sheets(meet_results(spark, d)).where(F.col("kind") == kind).drop("kind"))
+        return rows.select("source_file", "weight_class", "division", "athlete_name", "bodyweight", *LIFT_BLOCK, "total", "row_status")
+
+
+_odd("compact_rows", "compact", _odd_sql(
+    "compact", "best_squat IS NOT NULL AND best_bench IS NOT NULL AND best_deadlift IS NOT NULL",
+    **{f"{n}_1": f"best_{n}" for n in LIFTS}, **{f"{n}_{k}": "NULL::DOUBLE" for n in LIFTS for k in (2, 3)}, total="NULL::DOUBLE"))
+_odd("unstated_bests", "unstated", _odd_sql("unstated", "squat_2 IS NOT NULL", **{
+    f"best_{n}": "greatest(" + ", ".join(f"CASE WHEN {n}_{k} >= 0 THEN {n}_{k} END" for k in (1, 2, 3)) + ")" for n in LIFTS}))
+_odd("bare_marks", "bare", _odd_sql("bare", squat_2="NULL::DOUBLE", bench_3="NULL::DOUBLE", deadlift_1="NULL::DOUBLE"))
+_odd("inline_classes", "inline", _odd_sql(
+    "inline", weight_class="CASE seq % 3 WHEN 0 THEN '93' WHEN 1 THEN '59' ELSE '120+' END"))
+_odd("stray_values", "stray", _odd_sql("stray"))
+_odd("wrapped_rows", "wrapped", _odd_sql("wrapped"))
+
+
+@query("sheet_detectors", f"""{WITH},
+sheet AS (SELECT DISTINCT seq // 64 AS n FROM meet_results WHERE date_of_birth IS NOT NULL AND weight_class <> '120+'),
+layouts AS (SELECT 'odd-' || n || '.txt' AS source_file, n % {len(ODD)} AS kind FROM sheet)
+SELECT source_file, CASE kind WHEN {_KINDS['stray']} THEN 'FORMAT4' WHEN {_KINDS['compact']} THEN 'FORMAT1' WHEN {_KINDS['unstated']} THEN 'FORMAT1'
+    ELSE 'FORMAT2' END AS detected_format,
+  CASE WHEN kind IN ({_KINDS['bare']}, {_KINDS['inline']}, {_KINDS['stray']}) THEN 'FORMAT2' ELSE 'FORMAT1' END AS older_choice,
+  kind = {_KINDS['wrapped']} AS wrapped FROM layouts""")
+def sheet_detectors(spark, d):
+    """What the layout test, the older two-way test and the test for wrapped rows say of every odd sheet."""
+    texts = odd_sheets(meet_results(spark, d))
+    return SH.detect_sheets(texts.select("source_file", "text")).select(
+        "source_file", "detected_format", SH.simple_parser(F.col("text")).alias("older_choice"),
+        F.expr(SH.has_wrapped_row("`text`")).alias("wrapped"))
+
+
 @query("incremental_build", f"""{WITH}, {PARSED_SQL},
 sheet AS (SELECT DISTINCT sheet FROM shown)
 SELECT (SELECT count_if(sheet % 3 = 0) FROM sheet) AS parsed, (SELECT count_if(sheet % 3 <> 0) FROM sheet) AS kept,

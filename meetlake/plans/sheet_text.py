@@ -74,6 +74,54 @@ def sheet_texts(results: DataFrame) -> DataFrame:
         F.concat_ws("\n", header, opening, F.array_join(body, "\n"), closing).alias("text"))
 
 
+#: Sheets of rows as they are filed now and then: the layout of each kind.
+ODD = {"compact": 0, "unstated": 0, "bare": 1, "inline": 1, "stray": 3, "wrapped": 0}
+
+
+def odd_sheets(results: DataFrame) -> DataFrame:
+    """Sheets of 64 orders, each of one odd kind, in turn: source_file, text and kind. Rows need a birth date.
+
+    compact: a first-layout row of three singles instead of attempts; unstated: no best stated; bare: attempts that are X, FAIL
+    or - alone; inline: a class behind the row that overrules the section's; stray: a fourth-layout row with a value too many
+    before the best deadlift; wrapped: no coefficient, but all rows broken behind the name.
+    """
+    c = F.col
+    number = sheet_number(c("seq"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ODD]), (number % len(ODD)).cast("int") + 1)
+    fit = results.where(F.col("date_of_birth").isNotNull() & (F.col("weight_class") != "120+")).withColumn("kind", kind).where(
+        ((c("kind") != "compact") | (c("best_squat").isNotNull() & c("best_bench").isNotNull() & c("best_deadlift").isNotNull()))
+        & ((c("kind") != "unstated") | c("squat_2").isNotNull()))
+
+    def lift(name: str, best: Column) -> Column:
+        bare = {"squat": (2, "X"), "bench": (3, "FAIL"), "deadlift": (1, "-")}[name]
+        tries = [F.when((c("kind") == "bare") & (k == bare[0]), bare[1]).otherwise(_number(c(f"{name}_{k}"))) for k in (1, 2, 3)]
+        stray = F.when((c("kind") == "stray") & F.lit(name == "deadlift"), F.lit("999.5"))
+        return F.concat_ws(" ", *tries, stray, best, F.lit("[1]"))
+
+    best = {n: F.when(c("kind") == "unstated", "-").otherwise(_number(c(f"best_{n}"))) for n in LIFTS}
+    born = F.when(c("kind") == "stray", F.substring("date_of_birth", 7, 4)).otherwise(c("date_of_birth"))
+    coefficient = F.when(c("kind").isin("bare", "inline", "stray"), F.lit("0.1465"))
+    points = (F.when(c("kind").isin("compact", "unstated"), "12").when(c("kind") == "stray", "12 65.1 38").otherwise("12 65.1"))
+    singles = F.concat_ws(" - ", *[c(f"best_{n}").cast("string") for n in LIFTS], F.lit("- -"))
+    values = F.when(c("kind") == "compact", singles).otherwise(
+        F.concat_ws(" ", *[lift(n, best[n]) for n in LIFTS], _number(c("total")), points))
+    inline = F.when(c("kind") == "inline", F.concat(inline_class(c("seq")), F.lit("kg")))
+    gap = F.when(c("kind") == "wrapped", F.lit("\n")).otherwise(F.lit(" "))
+    line = F.concat(F.concat_ws(" ", F.coalesce(c("place").cast("string"), F.lit("-")), "athlete_name"), gap, F.concat_ws(
+        " ", born, "team", "lot", c("bodyweight").cast("string"), coefficient, values, inline))
+    heading = F.when(c("kind") == "stray", F.concat("division", F.lit(" - "), "weight_class", F.lit("kg"))).otherwise(
+        F.concat("weight_class", F.lit("kg - "), "division"))
+    rows = fit.select(number.alias("sheet"), "kind", F.struct("seq", F.concat(heading, F.lit("\n"), line).alias("line")).alias("row"))
+    grouped = rows.groupBy("sheet", "kind").agg(F.array_sort(F.collect_list("row")).alias("rows"))  # 64 at most
+    header = F.element_at(F.create_map(*[x for k, n in ODD.items() for x in (F.lit(k), F.lit(HEADERS[n]))]), c("kind"))
+    return grouped.select(F.concat(F.lit("odd-"), c("sheet").cast("string"), F.lit(".txt")).alias("source_file"), F.concat_ws(
+        "\n", header, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text"), "kind")
+
+
+def inline_class(seq: Column) -> Column:
+    return F.when(seq % 3 == 0, "93").when(seq % 3 == 1, "59").otherwise("120+")
+
+
 def sheet_manifest(sheets: DataFrame) -> DataFrame:
     """A manifest for the rendered sheets: file names in upper case, meet names by sheet number."""
     number = F.regexp_extract("source_file", r"(\d+)", 1).cast("bigint")
