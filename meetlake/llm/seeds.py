@@ -181,7 +181,8 @@ def compare_blocks(texts: DataFrame, live: DataFrame, unit: str, window: int, bl
                     list_array(as_long(roll.spans(inner, inner - block + 1 + window)), block_stop, pa.int64()),
                     list_array(as_long(roll.spans(place, place + size - 1 + window)), block_stop, pa.int64())], names)
 
-    per_text = live.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "run", "back", "whole", "compare")).alias("runs"))
+    # a set: rows that repeat id and text share a key, and what is said of one is said of all
+    per_text = live.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "run", "back", "whole", "compare")).alias("runs"))
     joined = texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "runs")
     return staged(joined.mapInArrow(run, schema), f"{unit}-blocks")
 
@@ -237,6 +238,6 @@ def cut(compared: DataFrame, hits: DataFrame, unit: str, window: int) -> DataFra
             ] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *columns], ["k1", "k2", *names])
 
-    per_text = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "run")).alias("hit"))
+    per_text = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "run")).alias("hit"))
     joined = compared.select("k1", "k2", "text", "whole_at", "whole_run").join(per_text, ["k1", "k2"], "left")
     return joined.mapInArrow(run, schema).dropDuplicates(["k1", "k2"])

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from meetlake.llm import suffix_dedup, window_dedup
+from meetlake.llm import seeds, suffix_dedup, window_dedup
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -73,6 +73,22 @@ def test_documents_keep_their_columns(odd_docs, odd_texts):
     assert kept[1] is None and kept[2] == "" and kept[3] == " \n\t" and kept[4] == "" and kept[19] == dict(odd_texts)[19]
 
 
+@pytest.mark.parametrize("ids", ["own", "null", "one"])
+def test_copies_under_one_key(make_docs, ids):
+    """Rows that repeat an id and text, or a text without an id: the same result, and lists that don't grow with the copies."""
+    rng = random.Random(9)
+    text, other = prose(rng, 120), prose(rng, 80)
+    pairs = [({"own": n, "null": None, "one": 5}[ids], text) for n in range(40)] + [(100, other + text[:400]), (101, other)]
+    docs = make_docs(pairs)
+    same(window_dedup.repeated_words(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute_words(pairs))
+    same(suffix_dedup.repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), brute_bytes(pairs))
+    scanned = seeds.scan(docs, "doc_id", "text", "word", 35, 9, doubled=True)
+    live = window_dedup._live_seeds(window_dedup._doubled(scanned))
+    compared = seeds.compare_blocks(seeds.keyed_texts(docs, "doc_id", "text"), live, "word", 35, 1)
+    most = max(len(r["whole_at"]) for r in compared.collect())
+    assert most <= len(text.split())
+
+
 def test_empty_table(no_docs):
     assert window_dedup.repeated_words(no_docs).count() == 0
     assert suffix_dedup.repeated_bytes(no_docs).count() == 0
