@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from meetlake.llm.registry import query
 from meetlake.llm.shared import mixed, row_key, staged, table, text_parts, word_hashes, words_of
 
-TOPICS, SWEEPS, TOLERANCE = 8, 12, 1e-5
+TOPICS, SWEEPS, TOLERANCE = 8, 200, 1e-5
+#: A sweep that leaves more than this part of the gap ends the fit: the targets can't all be met.
+STALLED = 0.999
 #: Sources and topics move towards equal shares by this power of their present shares; languages keep theirs.
 TEMPER = {"source": 0.5, "lang": 1.0, "topic": 0.5}
 #: Expected tokens drawn, as a share of those present.
@@ -75,14 +77,17 @@ def target_shares(cells: DataFrame, margin: str, target: float | Mapping[str, fl
 
 
 def raked(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The cells (margins, tokens) with ``fitted``: shares whose margins meet the targets, as closely as the sweeps come.
+    """The cells (margins, tokens) with ``fitted``, shares whose margins meet the targets, and ``margin_gap``, by how much one is
+    off at most.
 
     A sweep ends with exact sums for the last margin; the fit ends when no other margin is off by more than the tolerance. Cells
-    without tokens stay at 0, so targets that need them are met as far as the other cells allow.
+    without tokens stay at 0, so targets that need them can't be met: then the gap stops falling, and the fit ends with that gap.
+    One that goes on falling after so many sweeps fails.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = cells.withColumn("fitted", F.col("tokens") / F.lit(float(max(total, 1))))
     aims = {m: staged(target_shares(cells, m, t), "targets") for m, t in targets.items()}
+    last = float("inf")
     for _ in range(sweeps):
         for margin, aim in aims.items():
             sums = now.groupBy(margin).agg(F.sum("fitted").alias("sum"))
@@ -95,20 +100,23 @@ def raked(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS, tolerance: f
         worst = off[0]
         for one in off[1:]:
             worst = worst.unionByName(one)
-        if worst.agg(F.max("off")).first()[0] <= tolerance:
-            break
-    return now
+        gap = float(worst.agg(F.max("off")).first()[0])
+        if gap <= tolerance or gap >= STALLED * last:
+            return now.withColumn("margin_gap", F.lit(gap))
+        last = gap
+    raise RuntimeError(f"margins are still off by {last} after {sweeps} sweeps")
 
 
 def calibrated(cells: DataFrame, budget: float) -> DataFrame:
     """The cells with ``probability``: fitted over present tokens, times the factor that makes the expected tokens the budget.
 
-    Probabilities end at 1; the factor is raised for the others until the whole budget is met or all documents are taken.
+    Probabilities end at 1; the factor is raised for the others until the whole budget is met or all documents are taken. Each
+    round but the last takes another cell whole, so the rounds end.
     """
     present = cells.agg(F.sum("tokens")).first()[0] or 0
     ratio = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(0.0)
     cells, factor = cells.withColumn("ratio", ratio), budget * present
-    for _ in range(40):
+    while True:
         full = F.col("ratio") * factor >= 1
         taken, rest = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)),
                                 F.sum(F.when(full, 0.0).otherwise(F.col("fitted")))).first()
@@ -125,7 +133,8 @@ def _draw(seed: int) -> Column:
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
             targets: Targets | None = None, budget: float = BUDGET, seed: int = 7) -> DataFrame:
-    """Per row: k1, k2 (its key), doc_id, source, lang, topic, n_tokens, weight, probability and sampled.
+    """Per row: k1, k2 (its key), doc_id, source, lang, topic, n_tokens, weight, probability, sampled, and margin_gap, by how
+    much the fit misses a margin at most.
 
     Null categories are a category of their own, named "(none)". Texts without words weigh nothing and are never drawn.
     Repeated rows are drawn or left together. An empty table gives an empty result. Other columns are not looked at.
@@ -137,10 +146,10 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     rows = rows.withColumns({m: F.coalesce(m, F.lit(MISSING)) for m in margins})
     cells = staged(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), "cells")
     fitted = calibrated(raked(cells, targets or TEMPER), budget)
-    weighed = rows.join(fitted.select(*margins, "probability", (F.col("fitted") / F.greatest("tokens", F.lit(1))).alias("weight")),
+    weighed = rows.join(fitted.select(*margins, "probability", "margin_gap", (F.col("fitted") / F.greatest("tokens", F.lit(1))).alias("weight")),
                         [*margins])
     return weighed.select("k1", "k2", "doc_id", *margins, "n_tokens", "weight", "probability",
-                          ((F.col("n_tokens") > 0) & (_draw(seed) < F.col("probability"))).alias("sampled"))
+                          ((F.col("n_tokens") > 0) & (_draw(seed) < F.col("probability"))).alias("sampled"), "margin_gap")
 
 
 def sampled_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
