@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.registry import query
-from meetlake.llm.shared import Rolling, row_key, staged, table, text_parts, word_hashes, words_of
+from meetlake.llm.shared import Rolling, discard, row_key, staged, table, text_parts, word_hashes, words_of
 
 #: fixed values of the base rules
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
@@ -166,12 +166,14 @@ def estimates(vectors: DataFrame, share: float = SHARE, steps: int = STEPS, star
     ended = []
     for _ in range(steps):
         measured = vectors.join(now, keys).withColumn("d2", _squared_distance()).select(*each, *_NAMES, "d2")
-        cut = measured.groupBy(*each).agg(F.percentile_approx("d2", share, 10000).alias("cut"))
+        # one row a group and start, written, so that its size decides how it meets the rows: they aren't shuffled for it
+        cut = staged(measured.groupBy(*each).agg(F.percentile_approx("d2", share, 10000).alias("cut")), "mcd-cut")
         moments = measured.join(cut, each).where("d2 <= cut").groupBy(*each).agg(
             F.array(*(F.avg(n) for n in _NAMES)).alias("centre"),
             F.array(*(F.covar_pop(_NAMES[i], _NAMES[j]) * CONSISTENCY for i in range(_P) for j in range(i, _P))).alias("scatter"))
         before = now.select(*each, F.col("log_det").alias("last"))
         found = staged(moments.mapInPandas(_estimate, _ESTIMATE).join(before, each), "mcd")
+        discard(cut)
         ended.append(found.where(F.col("last") - F.col("log_det") <= fall).drop("last"))
         now = found.where(F.col("last") - F.col("log_det") > fall).drop("last")
         if now.isEmpty():
