@@ -5,7 +5,11 @@ holds an inverted index: for every term (vector component) the rows in which it
 queries walks its terms one at a time and scatters weight times postings into a dense array of scores; each block of
 candidates then gives its k best, and these are merged by query.
 
-Query blocks are sent to the candidate blocks by a join on the block's number; neither side is broadcast or collected.
+A candidate block and the query blocks that ask it meet in one stream: the block comes first and its index is kept while
+the queries pass by. So a block is shuffled once, or, where there are fewer blocks than tasks, once for each of the tasks that
+share its queries. Neither side is broadcast or collected, and nothing is joined.
+
+Rows that repeat an id and vector are one entry with a count; a vector is asked once, however often its row repeats.
 """
 
 from __future__ import annotations
@@ -14,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meetlake.llm.registry import query
-from meetlake.llm.shared import table
+from meetlake.llm.shared import staged, table
 
 CANDIDATES, QUERIES, K = 4096, 128, 20
 
@@ -44,9 +48,10 @@ def _matrix(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
 class Postings:
     """The inverted index of a block: per term, the rows that have it and their values."""
 
-    def __init__(self, ids: list, vectors: list):
+    def __init__(self, ids: list, vectors: list, counts: list):
         order = np.argsort(np.array(ids, np.int64), kind="stable")
         self.ids, terms = _matrix([ids[i] for i in order], [vectors[i] for i in order])
+        self.counts = np.array(counts, np.int64)[order]
         self.largest = float(np.abs(terms.astype(np.float64)).max(initial=0))
         self.terms = []
         for values in terms:
@@ -72,7 +77,7 @@ class Postings:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest of one query's scores, ties to smaller ids (ids ascend); rows of the query's own id are left out."""
+    """Places and scores of the k highest of one query's, ties to smaller ids (ids ascend); the query's own id is left out."""
     at = np.flatnonzero(ids != own)
     s = scores[at]
     if len(s) > k:
@@ -80,24 +85,32 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndar
         above, ties = np.flatnonzero(s > limit), np.flatnonzero(s == limit)
         take = np.concatenate((above, ties[:k - len(above)]))
         at, s = at[take], s[take]
-    return ids[at], s
+    return at, s
 
 
 def _search(k: int):
+    """Of a stream of blocks (block, part, turn, ids, vectors, extra) the k best entries of every query of each part.
+
+    Turn -1 is the candidate block, extra its entries' counts; other turns are blocks of queries, extra their numbers.
+    """
+    names = ["query_id", "query", "vec_id", "n", "score"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, index = None, None
+        index = None
         for batch in batches:
             for row in range(len(batch)):
-                number = batch.column("block")[row].as_py()
-                if number != block:
-                    block, index = number, Postings(batch.column("ids")[row].as_py(), batch.column("vectors")[row].as_py())
-                q_ids, weights = _matrix(batch.column("q_ids")[row].as_py(), batch.column("q_vectors")[row].as_py())
+                ids, vectors, extra = (batch.column(c)[row].as_py() for c in ("ids", "vectors", "extra"))
+                if batch.column("turn")[row].as_py() < 0:
+                    index = Postings(ids, vectors, extra)
+                    continue
+                ids, weights = _matrix(ids, vectors)
                 scores = index.scores(weights[:len(index.terms)])
-                found = [best(scores[q], index.ids, own, k) for q, own in enumerate(q_ids)]
+                found = [best(scores[q], index.ids, own, k) for q, own in enumerate(ids)]
+                size = [len(f[0]) for f in found]
+                at = np.concatenate([f[0] for f in found])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(f[0]) for f in found])),
-                     pa.array(np.concatenate([f[0] for f in found]), pa.int64()),
-                     pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
+                    [pa.array(np.repeat(ids, size)), pa.array(np.repeat(np.array(extra, np.int64), size)), pa.array(index.ids[at]),
+                     pa.array(index.counts[at]), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], names)
     return run
 
 
@@ -107,27 +120,37 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "em
 
     Ties go to smaller ids; a query with fewer other rows gets all of them. Vectors null or with null or non-finite components
     and rows without an id take no part, neither as queries nor as candidates. Components beyond 64-bit integers are
-    clipped to them. Of rows that repeat an id and vector one takes part, with ``repeats`` all. Vectors of unequal length are
-    compared in the components that both have. Other columns are not looked at.
+    clipped to them. Of rows that repeat an id and vector one takes part as candidate, with ``repeats`` all; as a query such a
+    row is asked once. An id with several vectors asks with each, so its ranks come once a vector. Vectors of unequal length
+    are compared in the components that both have. Other columns are not looked at.
     """
-    vectors = integer_vectors(df, id_col, vector_col, scale)
-    vectors = vectors if repeats else vectors.distinct()
-    queries = vectors.where(is_query(F.col("vec_id")))
-    n_blocks = max(1, -(-vectors.count() // CANDIDATES))
-    n_queries = max(1, -(-queries.count() // QUERIES))
-    row = F.struct("vec_id", "v")
-    # dealt by row and not by id, so blocks are bounded whatever ids repeat; the results are those of any dealing
-    number = F.monotonically_increasing_id()
-    packed = vectors.withColumn("block", F.pmod(F.xxhash64(number), F.lit(n_blocks))).groupBy("block").agg(F.collect_list(row).alias("r"))
-    asked = queries.withColumn("turn", F.pmod(F.xxhash64(number, F.lit(1)), F.lit(n_queries))).groupBy("turn").agg(F.collect_list(row).alias("q"))
-    sent = asked.select("turn", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
-    met = (sent.join(packed, "block").repartition(max(n_blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))),
-                                                  "block", F.col("turn") % 4).sortWithinPartitions("block", "turn")
-           .select("block", F.col("r.vec_id").alias("ids"), F.col("r.v").alias("vectors"),
-                   F.col("q.vec_id").alias("q_ids"), F.col("q.v").alias("q_vectors")))
-    part = met.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+    spark = df.sparkSession
+    entry = integer_vectors(df, id_col, vector_col, scale).groupBy("vec_id", "v").agg(
+        (F.count(F.lit(1)) if repeats else F.lit(1).cast("bigint")).alias("n"))
+    entries = staged(entry.withColumn("query", F.xxhash64("vec_id", "v")), "vectors")
+    asked = entries.where(is_query(F.col("vec_id")))
+    n_blocks = max(1, -(-entries.count() // CANDIDATES))
+    n_turns = max(1, -(-asked.count() // QUERIES))
+    # where there are fewer blocks than tasks, so many tasks share the queries of a block
+    parts = min(n_turns, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks))
+
+    def packed(rows: DataFrame, number: Column, count: int, name: str, extra: str) -> DataFrame:
+        row = F.struct("vec_id", "v", F.col(extra).cast("bigint").alias("x"))
+        return rows.groupBy(F.pmod(number, F.lit(count)).cast("int").alias(name)).agg(F.collect_list(row).alias("r"))
+
+    # dealt by a hash of id and vector: the same blocks whenever a task is run again
+    blocks = packed(entries, F.col("query"), n_blocks, "block", "n").select("block", F.explode(F.sequence(
+        F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(-1).alias("turn"), "r")
+    turns = packed(asked, F.xxhash64("query"), n_turns, "turn", "query").select(F.explode(F.sequence(
+        F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod("turn", F.lit(parts)).alias("part"), "turn", "r")
+    met = blocks.unionByName(turns).repartition("block", "part").sortWithinPartitions("block", "part", "turn").select(
+        "turn", F.col("r.vec_id").alias("ids"), F.col("r.v").alias("vectors"), F.col("r.x").alias("extra"))
+    found = met.mapInArrow(_search(k), "query_id bigint, query bigint, vec_id bigint, n bigint, score bigint")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    # k entries a query are enough; each is then as many rows as it has copies, k at most
+    few = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = few.select("query_id", "query", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("n", F.lit(k)))).alias("copy"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -138,13 +161,13 @@ WITH v AS (
     WHERE embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
+q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 20 = 0),
 s AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id AS vec_id,
            CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id
-    WHERE q.vec_id % 20 = 0
+    FROM q JOIN v c ON q.vec_id <> c.vec_id
 ),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 

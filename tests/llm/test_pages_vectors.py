@@ -195,6 +195,24 @@ def test_repeated_candidates_keep_their_places(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 2), (0, 2, 1, 2)]
 
 
+@pytest.mark.parametrize("repeats", [False, True])
+def test_repeated_queries_are_asked_once(spark, monkeypatch, repeats):
+    """A query row that repeats, an id with two vectors, and a vector that a third of the rows repeat."""
+    monkeypatch.setattr(topk, "CANDIDATES", 8)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    rng = random.Random(3)
+    rows = [(n, [float(rng.randint(-3, 3)) for _ in range(4)]) for n in range(30)]
+    rows += [rows[0]] * 3 + [(5, [1.0, 1.0, 1.0, 1.0])] + [(31, [3.0, 2.0, 1.0, 0.0])] * 17
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = Counter(tuple(r) for r in topk.top_k(df, lambda c: c % 5 == 0, scale=1.0, k=6, repeats=repeats).collect())
+    candidates = rows if repeats else sorted({(i, tuple(v)) for i, v in rows})
+    wanted = Counter()
+    for own, vector in {(i, tuple(v)) for i, v in rows if i % 5 == 0}:
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(vector, v)), i) for i, v in candidates if i != own)
+        wanted.update((own, rank, i, -s) for rank, (s, i) in enumerate(scored[:6], 1))
+    assert got == wanted
+
+
 def test_rare_marked_pages_are_all_learned(spark):
     """The bound holds for marked pages, also without ids, and pages that mark nothing don't count towards it."""
     plain = [(n, f"<body><p>plain {n}</p></body>") for n in range(400)]
