@@ -126,3 +126,74 @@ def test_stored_trees_predict_the_same(spark, tmp_path):
 def test_tables_without_rows(spark):
     rows = frame(spark, *[a[:0] for a in made(10)[::2]])
     assert ML.search(rows, [Boosting(rounds=2)], ["total"], 5).count() == 0
+
+
+def test_few_rows_are_cut_as_many(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.random((300, 6)) * 40), rng.random((300, 1))
+    table = T.Table(x, y, ["t"])
+    weight = rng.integers(0, 3, 300).astype(float)
+    rows = np.flatnonzero(weight > 0)
+    at = np.sort(rng.integers(0, 40, len(rows)))
+    at = np.unique(at, return_inverse=True)[1]
+    picks = rng.integers(0, 6, (at.max() + 1, 3))
+    found = []
+    for few in (0, 5, 1000):
+        monkeypatch.setattr(T, "FEW", few)
+        found.append([T.best_cuts(table, rows, at, at.max() + 1, table.y[:, 0], w, 2, picks) for w in (None, weight)])
+    for other in found[1:]:
+        for a, b in zip(found[0], other):
+            cut = a[0] > -np.inf
+            assert (a[0] == b[0]).all() and cut.any()
+            assert (a[1][cut] == b[1][cut]).all() and (a[2][cut] == b[2][cut]).all()
+
+
+def test_histograms_by_column_are_the_same(monkeypatch):
+    rng = np.random.default_rng(6)
+    table = T.Table(rng.random((200, 5)), rng.random((200, 1)), ["t"])
+    at, weight = rng.integers(0, 3, 200), rng.integers(1, 4, 200).astype(float)
+    found = []
+    for rows in (10**9, 0):
+        monkeypatch.setattr(T, "COLUMN_ROWS", rows)
+        found.append([T.best_cuts(table, np.arange(200), at, 3, table.y[:, 0], w, 2, None) for w in (None, weight)])
+    assert all((p == q).all() for a, b in zip(*found) for p, q in zip(a, b))
+
+
+def test_rows_walk_down_many_trees_at_once(monkeypatch):
+    rng = np.random.default_rng(7)
+    x, y = rng.random((400, 4)), rng.random((400, 1))
+    table = T.Table(x, y, ["t"])
+    trees = [t for b in range(2) for t in T.forest_trees(table, 0, Forest(trees=37), b, 1)]
+    stump = T.Tree()
+    stump.value = [0.25]
+    trees.append(stump)
+    asked, total = np.concatenate((rng.random((50, 4)), [[np.nan] * 4, [np.inf] * 4, [-np.inf] * 4])), np.zeros(53)
+    for tree in trees:
+        for row in range(53):
+            node = 0
+            while tree.feature[node] >= 0:
+                node = tree.left[node] + int(asked[row, tree.feature[node]] > tree.threshold[node])
+            total[row] += tree.value[node]
+    walks = [T.walk(*(np.asarray(v) for v in (t.feature, t.threshold, t.left, t.value))) for t in trees]
+    for abreast in (1, 5, 16):
+        monkeypatch.setattr(T, "ABREAST", abreast)
+        assert (T.walked(asked, T.abreast(walks)) == total).all()
+    assert (T.walked(asked[:0], T.abreast(walks)) == total[:0]).all()
+
+
+def test_predictions_are_made_once_for_all_queries(spark, monkeypatch, tmp_path):
+    from meetlake.plans.queries import models as MQ
+    prepared = spark.createDataFrame([("validation", 1.0, 2.0, 3.0, 4.0, 0.5)], ["split", *MQ.TARGETS, "features"])
+    made = []
+
+    def predictions(rows, fitted, keep=()):
+        made.append(rows)
+        return spark.createDataFrame([(m, t, 1.0, 1.0 + n) for n, m in enumerate(("a", "b")) for t in MQ.TARGETS],
+                                     "model string, target string, actual double, predicted double")
+
+    monkeypatch.setattr(MQ, "_models", lambda spark, d: (None, {}, prepared))
+    monkeypatch.setattr(MQ.ML, "long_predictions", predictions)
+    folder = str(tmp_path)
+    assert MQ.model_comparison(spark, folder).count() == MQ.model_comparison(spark, folder).count() == 8
+    assert MQ._chosen(spark, folder) == {t: "a" for t in MQ.TARGETS}
+    assert len(made) == 1
