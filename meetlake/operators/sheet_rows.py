@@ -18,7 +18,6 @@ DIGITS = r"r'^\d+$'"
 BIRTH_DATE = r"r'^\d{2}-\d{2}-\d{4}$'"
 BIRTH_YEAR = r"r'^(?:19\d{2}|20\d{2}|2100)$'"
 RANKED = r"r'^(?:-|\d+)$'"
-PLACE_MARK = r"r'^\[.*\]$'"
 GROUP_MARK = r"r'^\[\d+\]$'"
 
 ROW_TYPE = {
@@ -27,6 +26,11 @@ ROW_TYPE = {
 }
 
 
+def _is(token: str, pattern: str) -> str:
+    """Whether a token is a birth date or year; by its length, most tokens need no pattern."""
+    return f"(char_length({token}) = {10 if pattern == BIRTH_DATE else 4} AND {token} RLIKE {pattern})"
+
+
 def number(token: str) -> str:
     """Signed value of a token: a leading X marks a failed attempt and turns the sign, other text is null."""
     value = f"try_cast(translate({token}, '_xX', '') AS double)"
@@ -81,7 +85,7 @@ def _best_or_attempts(four: list[str]) -> str:
 
 def _unmarked(t: str, start: str) -> str:
     """Indexes from ``start`` on whose token is no [place] mark."""
-    return indexes(t, lambda x, i: f"{i} >= {start} AND NOT {x} RLIKE {PLACE_MARK}")
+    return indexes(t, lambda x, i: f"{i} >= {start} AND NOT (startswith({x}, '[') AND endswith({x}, ']'))")
 
 
 def _row_1(t: str, v: str) -> str:
@@ -104,7 +108,7 @@ def _row_1(t: str, v: str) -> str:
                                           f"AND {x} RLIKE {DIGITS}")
         return let(lot, lambda at: f"CASE WHEN {at} IS NOT NULL AND {born} > 1 THEN {with_lot(born, at)} END")
 
-    born = first_index(t, lambda x, i: f"{i} BETWEEN 1 AND 11 AND {x} RLIKE {BIRTH_DATE}")
+    born = first_index(t, lambda x, i: f"{i} BETWEEN 1 AND 11 AND {_is(x, BIRTH_DATE)}")
     row = let(born, with_birth)
     return f"coalesce(CASE WHEN size({t}) >= 8 THEN {row} END, {row_struct(status=chr(39) + 'REVIEW' + chr(39))})"
 
@@ -138,7 +142,7 @@ def _row_2(t: str, v: str) -> str:
                                           f"AND get({v}, {i} + 1) > 0 AND {x} RLIKE {DIGITS} AND {plain(f'{i} + 1')}")
         return let(lot, lambda at: f"CASE WHEN {at} IS NOT NULL THEN {with_lot(born, at)} END")
 
-    born = first_index(t, lambda x, i: f"{x} RLIKE {BIRTH_DATE}")
+    born = first_index(t, lambda x, i: _is(x, BIRTH_DATE))
     row = let(born, lambda b: f"CASE WHEN {b} > 1 THEN {with_birth(b)} END")
     return f"CASE WHEN size({t}) >= 10 AND get({t}, 0) RLIKE {RANKED} THEN {row} END"
 
@@ -151,7 +155,7 @@ def _row_anchored(t: str, v: str, anchor: str, values: Callable[[dict[str, str],
         return let(lot, lambda at: f"CASE WHEN {at} IS NOT NULL AND {a} > 1 THEN " + let(
             _unmarked(t, f"({at} + 3)"), lambda k: values(_identity(t, v, a, at, full=False), k)) + " END")
 
-    spot = first_index(t, lambda x, i: f"{i} BETWEEN 1 AND 14 AND {x} RLIKE {anchor}")
+    spot = first_index(t, lambda x, i: f"{i} BETWEEN 1 AND 14 AND {_is(x, anchor)}")
     return (f"CASE WHEN size({t}) >= 10 AND get({t}, 0) RLIKE {RANKED} THEN "
             + let(spot, lambda a: f"CASE WHEN {a} IS NOT NULL THEN {with_anchor(a)} END") + " END")
 

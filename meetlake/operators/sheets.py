@@ -258,14 +258,17 @@ _LINES = {"FORMAT1": lines_layout_1, "FORMAT2": lines_layout_2,
 # ---- the job ----------------------------------------------------------------------------------
 
 def detect_sheets(sheets: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``detected_format``; a null text (unreadable source) is UNKNOWN."""
+    """Add ``detected_format``; a null text (unreadable source) is UNKNOWN. Sheets that have the column are as judged before."""
+    if "detected_format" in sheets.columns:
+        return sheets
     return sheets.select("*", F.expr(f"explode(array(coalesce({sheet_format(f'`{text}`')}, 'UNKNOWN')))").alias(
         "detected_format"))
 
 
 def result_lines(sheets: DataFrame, source: str = "source_file", text: str = "text") -> DataFrame:
     """Candidate result lines with section, gender and position, straight from the sheet row."""
-    found = detect_sheets(sheets.select(source, text), text)
+    judged = [c for c in ("detected_format",) if c in sheets.columns]
+    found = detect_sheets(sheets.select(source, text, *judged), text)
     by_layout = " ".join(f"WHEN '{n}' THEN {rule(f'`{text}`')}" for n, rule in _LINES.items())
     lines = f"CAST(CASE detected_format {by_layout} END AS array<{_LINE}>)"
     return (found.select(F.col(source).alias("source_file"), "detected_format", F.expr(f"posexplode({lines})").alias(

@@ -33,9 +33,13 @@ def sheets(spark, d):
     return sheet_texts(meet_results(spark, d))
 
 
-def stored_sheets(spark, d):
-    """The sheets for queries that read them more than once, as a folder of files would be."""
-    return pinned(sheets(spark, d))
+def stored_sheets(spark, d, text=F.col("text")):
+    """The sheets for queries that read them more than once, as a folder of files would be, with their layout judged once.
+
+    They are dealt evenly: reading a sheet takes much longer than moving it, and uneven files would keep some tasks waiting.
+    """
+    even = sheets(spark, d).select("source_file", text.alias("text")).repartition(4 * spark.sparkContext.defaultParallelism)
+    return pinned(SH.detect_sheets(even))
 
 
 def _layout(number):
@@ -165,6 +169,7 @@ def incremental_build(spark, d):
     """Three runs: sheets of which a sixth are doubled, a sixth are missing and one is foreign; the sheets as they are; the same again."""
     texts = stored_sheets(spark, d)
     number = F.regexp_extract("source_file", r"(\d+)", 1).cast("bigint")
+    texts = texts.drop("detected_format")
     old = texts.where(~((number % 3 == 0) & (number % 2 == 1))).withColumn(
         "text", F.when(number % 3 == 0, F.concat_ws("\n", "text", "text")).otherwise(F.col("text")))
     foreign = spark.range(1).select(F.lit("foreign.txt").alias("source_file"), F.lit("no sheet").alias("text"))
@@ -195,7 +200,7 @@ review AS (SELECT count(*) * 2 AS n FROM shown WHERE layout = 0 AND date_of_birt
 
 
 def doubled(spark, d):
-    texts = stored_sheets(spark, d).select("source_file", F.concat_ws("\n", "text", "text").alias("text"))
+    texts = stored_sheets(spark, d, F.concat_ws("\n", "text", "text"))
     return texts, SH.parse_sheets(texts)
 
 

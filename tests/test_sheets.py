@@ -131,3 +131,22 @@ def test_long_sheet(spark, lines):
     rows, _ = parse(spark, H3 + body)
     assert len(rows) == lines
     assert all(r["weight_class"] == str(59 + i % 3) and r["athlete_name"] == f"N{i}" for i, r in enumerate(rows))
+
+
+def test_judged_sheets_are_not_judged_again(spark, monkeypatch):
+    df = spark.createDataFrame([("a.txt", "59kg - Open\n1 A NAME 13-08-1991 PUD 62 58.80 170.0 190.0 200.0 200.0 [1] 110.0 120.0 "
+                                 "120.0 120.0 [3] 200.0 222.5 232.5 232.5 [1] 552.5 12", "FORMAT1")], "source_file string, text string, detected_format string")
+    monkeypatch.setattr(S, "sheet_format", None)
+    row = S.parse_sheets(df).first()
+    assert (row["detected_format"], row["status"], row["total"]) == ("FORMAT1", "PARSED", 552.5)
+    assert S.sheet_sources(df).first()["status"] == "SUCCESS"
+
+
+def test_stored_sheets_are_dealt_evenly_and_judged_once(spark, monkeypatch):
+    from meetlake.plans.queries import sheets as SQ
+    few = spark.createDataFrame([(f"s{n}.txt", f"no sheet {n}") for n in range(64)], "source_file string, text string").coalesce(1)
+    monkeypatch.setattr(SQ, "sheets", lambda spark, d: few)
+    stored = SQ.stored_sheets(spark, "")
+    parts = [len(p) for p in stored.rdd.glom().collect()]
+    assert sum(parts) == 64 and len(parts) >= spark.sparkContext.defaultParallelism and max(parts) <= 16
+    assert {r["detected_format"] for r in stored.collect()} == {"UNKNOWN"}
