@@ -10,7 +10,7 @@ from meetlake.plans.registry import query
 from meetlake.plans.sheet_text import sheet_manifest
 from meetlake.plans.tables import meet_results, table
 from meetlake.schema import CSV_COLUMNS, RESULT_SCHEMA
-from meetlake.session import fresh_folder
+from meetlake.session import fresh_folder, pinned
 from meetlake.sources import readers as R
 from meetlake.sources import writers as W
 
@@ -61,9 +61,9 @@ def rejected_lines(spark, d):
     line = F.to_json(F.struct(*sorted(RESULT_SCHEMA.names)), {"ignoreNullFields": "false"})
     rows.select(F.when(F.col("seq") % 50 == 0, F.regexp_replace(line, ".{5}$", "")).otherwise(line).alias("value")).write.text(path)
     good, bad = R.split_results(spark, path)
+    bad, found = pinned(bad), pinned(R.checked_lines(spark, path))  # both are read twice
     again = R.numbered_lines(spark, path).withColumnRenamed("value", "line")
     named = bad.join(again, ["file", "number", "line"]).agg(F.count(F.lit(1)).alias("named")).scalar()
-    found = R.checked_lines(spark, path)
     return good.agg(F.count(F.lit(1)).alias("kept")).select(
         "kept", bad.agg(F.count(F.lit(1))).scalar().alias("rejected"), named.alias("named"),
         found.select("malformed").scalar().alias("malformed"), found.select("records").scalar().alias("records"))

@@ -242,3 +242,14 @@ def test_kept_models_depend_on_the_files(spark, tmp_path):
     part = next(p for p in (tmp_path / "t.parquet").iterdir() if p.suffix == ".parquet")
     os.utime(part, (1, 1))
     assert file_stamp(spark, str(tmp_path)) != first
+
+
+def test_rejects_are_found_once(spark, results, monkeypatch):
+    """Lines are parsed for the good rows, the rejects and the check, and no second time for a reader of one of them."""
+    from meetlake.plans.queries import sources as SO
+    rows = results(*[dict(athlete_id=f"A{n}") for n in range(120)])
+    monkeypatch.setattr(SO, "meet_results", lambda spark, d: rows)
+    found = SO.rejected_lines(spark, "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") + found._jdf.queryExecution(
+        ).optimizedPlan().toString().count("jsontostructs") <= 2
+    assert tuple(found.first()) == (117, 3, 3, 3, 120)
