@@ -33,12 +33,12 @@ def sheets(spark, d):
     return sheet_texts(meet_results(spark, d))
 
 
-def stored_sheets(spark, d, text=F.col("text")):
+def stored_sheets(spark, d, text="text"):
     """The sheets for queries that read them more than once, as a folder of files would be, with their layout judged once.
 
     They are dealt evenly: reading a sheet takes much longer than moving it, and uneven files would keep some tasks waiting.
     """
-    even = sheets(spark, d).select("source_file", text.alias("text")).repartition(4 * spark.sparkContext.defaultParallelism)
+    even = sheets(spark, d).select("source_file", F.expr(text).alias("text")).repartition(4 * spark.sparkContext.defaultParallelism)
     return pinned(SH.detect_sheets(even))
 
 
@@ -200,7 +200,7 @@ review AS (SELECT count(*) * 2 AS n FROM shown WHERE layout = 0 AND date_of_birt
 
 
 def doubled(spark, d):
-    texts = stored_sheets(spark, d, F.concat_ws("\n", "text", "text"))
+    texts = stored_sheets(spark, d, "concat_ws('\\n', text, text)")
     return texts, SH.parse_sheets(texts)
 
 

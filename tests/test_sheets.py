@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from meetlake.operators import sheets as S
@@ -150,3 +152,9 @@ def test_stored_sheets_are_dealt_evenly_and_judged_once(spark, monkeypatch):
     parts = [len(p) for p in stored.rdd.glom().collect()]
     assert sum(parts) == 64 and len(parts) >= spark.sparkContext.defaultParallelism and max(parts) <= 16
     assert {r["detected_format"] for r in stored.collect()} == {"UNKNOWN"}
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    subprocess.run([sys.executable, "-c", "import __spark_entry__"], check=True, cwd=Path(__file__).resolve().parents[1])
