@@ -197,3 +197,60 @@ def test_predictions_are_made_once_for_all_queries(spark, monkeypatch, tmp_path)
     assert MQ.model_comparison(spark, folder).count() == MQ.model_comparison(spark, folder).count() == 8
     assert MQ._chosen(spark, folder) == {t: "a" for t in MQ.TARGETS}
     assert len(made) == 1
+
+
+def plain_cuts(table, rows, at, nodes, goal, min_rows):
+    """Gain, feature and bin of the first best cut, every feature and bin added up by itself in the order of the rows."""
+    out = []
+    for node in range(nodes):
+        mine, best = rows[at == node], (-np.inf, 0, 0)
+        for f in range(table.x.shape[1]):
+            sums, held = [0.0] * T.BINS, [0] * T.BINS
+            for b, v in zip(table.bins[mine, f].tolist(), goal[mine].tolist()):
+                sums[b], held[b] = sums[b] + v, held[b] + 1
+            left, n, whole = np.cumsum(sums), np.cumsum(held), np.bincount(at[at == node] * 0, goal[mine])[0]
+            for b in range(T.BINS - 1):
+                if min_rows <= n[b] <= len(mine) - min_rows:
+                    gain = left[b] * left[b] / n[b] + (whole - left[b])**2 / (len(mine) - n[b]) - whole * whole / len(mine)
+                    best = max(best, (gain, f, b), key=lambda c: c[0])
+        out.append(best)
+    return [np.array(c) for c in zip(*out)]
+
+
+def categories(n, seed=8):
+    """Rows of values, a repeated and a constant column, and categories in a column each."""
+    rng = np.random.default_rng(seed)
+    values, of = np.round(rng.normal(size=(n, 3)) * 20), rng.integers(0, 30, n)
+    x = np.concatenate((values, values[:, :1], np.zeros((n, 1)), rng.integers(0, 3, (n, 1)), of[:, None] == np.arange(30)), axis=1)
+    return x, rng.normal(size=(n, 1)) * 50 + 20 * (of[:, None] < 9)
+
+
+def test_categories_are_cut_as_by_plain_sums(monkeypatch):
+    x, y = categories(240)
+    # nodes of two categories, which either of them cuts alike
+    x[:40, 6:] = np.eye(30)[np.arange(40) % 2]
+    table = T.Table(x, y, ["t"])
+    goal, rows = table.y[:, 0], np.arange(240)
+    two = (table.x[:, 6] + table.x[:, 7]) > 0
+    for at in (np.zeros(240, np.int64), np.where(two, 1, 0), np.arange(240) % 7, np.arange(240) // 6):
+        for columns in (0, 10**9):
+            monkeypatch.setattr(T, "COLUMN_ROWS", columns)
+            gain, feature, cut = T.best_cuts(table, rows, at, at.max() + 1, goal, None, 2, None)
+            wanted = plain_cuts(table, rows, at, at.max() + 1, goal, 2)
+            known = wanted[0] > T.LEAST_GAIN
+            assert known.any() and (feature[known] == wanted[1][known]).all() and (cut[known] == wanted[2][known]).all()
+            assert gain == pytest.approx(wanted[0])
+
+
+def test_categories_are_added_up_by_their_own_rows(monkeypatch):
+    """A row is counted for the category that it is of, not for each that it is not of; columns that can't be cut cost nothing."""
+    x, y = categories(2000)
+    table, added, count = T.Table(x, y, ["t"]), [], np.bincount
+
+    def bincount(values, *rest, **named):
+        added.append(len(values))
+        return count(values, *rest, **named)
+
+    monkeypatch.setattr(T.np, "bincount", bincount)
+    tree, _ = T.grow(table, table.y[:, 0], np.random.default_rng(0), depth=1)
+    assert len(tree.feature) == 3 and sum(added) < 20 * 2000
