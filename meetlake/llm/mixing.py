@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meetlake.llm.registry import query
-from meetlake.llm.shared import mixed, row_key, staged, table, text_parts, word_hashes, words_of
+from meetlake.llm.shared import discard, mixed, row_key, staged, table, text_parts, word_hashes, words_of
 
 TOPICS, SWEEPS, TOLERANCE = 8, 200, 1e-5
 #: A sweep that leaves more than this part of the gap ends the fit: the targets can't all be met.
@@ -87,20 +87,25 @@ def raked(cells: DataFrame, targets: Targets, sweeps: int = SWEEPS, tolerance: f
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = cells.withColumn("fitted", F.col("tokens") / F.lit(float(max(total, 1))))
     aims = {m: staged(target_shares(cells, m, t), "targets") for m, t in targets.items()}
-    last = float("inf")
+    every = [a.select(F.lit(m).alias("margin"), F.col(m).alias("category"), "target") for m, a in aims.items()]
+    wanted = every[0]
+    for one in every[1:]:
+        wanted = wanted.unionByName(one)
+    wanted = staged(wanted, "targets")
+    last, written = float("inf"), None
     for _ in range(sweeps):
         for margin, aim in aims.items():
             sums = now.groupBy(margin).agg(F.sum("fitted").alias("sum"))
             scale = sums.join(aim, margin).select(margin, F.when(F.col("sum") > 0, F.col("target") / F.col("sum"))
                                                   .otherwise(0.0).alias("scale"))
-            now = now.join(scale, margin).withColumn("fitted", F.col("fitted") * F.col("scale")).drop("scale")
-        now = staged(now, "cells")
-        off = [now.groupBy(m).agg(F.sum("fitted").alias("sum")).join(a, m)
-               .agg(F.coalesce(F.max(F.abs(F.col("sum") - F.col("target"))), F.lit(0.0)).alias("off")) for m, a in aims.items()]
-        worst = off[0]
-        for one in off[1:]:
-            worst = worst.unionByName(one)
-        gap = float(worst.agg(F.max("off")).first()[0])
+            # written margin by margin, as each reads the cells twice: the plan would double with every margin
+            now = staged(now.join(scale, margin).withColumn("fitted", F.col("fitted") * F.col("scale")).drop("scale"), "cells")
+            if written is not None:
+                discard(written)
+            written = now
+        sums = now.select(F.explode(F.array(*(F.struct(F.lit(m).alias("margin"), F.col(m).alias("category")) for m in aims))).alias("of"),
+                          "fitted").groupBy("of.margin", "of.category").agg(F.sum("fitted").alias("sum"))
+        gap = sums.join(wanted, ["margin", "category"]).agg(F.max(F.abs(F.col("sum") - F.col("target")))).first()[0] or 0.0
         if gap <= tolerance or gap >= STALLED * last:
             return now.withColumn("margin_gap", F.lit(gap))
         last = gap

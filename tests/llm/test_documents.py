@@ -244,6 +244,23 @@ def test_raking_meets_all_margins(spark):
     assert np.allclose([r["fitted"] for r in order], fitted, atol=1e-7)
 
 
+def test_plans_of_a_fit_do_not_grow_with_the_margins(spark, monkeypatch):
+    """Each scaling of a margin reads the cells twice; it is written, so that the next one doesn't do so again."""
+    joins, write = [], mixing.staged
+
+    def staged(df, name):
+        if name == "cells":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, name)
+
+    monkeypatch.setattr(mixing, "staged", staged)
+    cells = spark.createDataFrame([(f"s{k % 3}", f"l{k % 2}", f"t{k % 5}", 10 + k * k) for k in range(30)],
+                                  "source string, lang string, topic string, tokens bigint")
+    found = mixing.raked(cells, mixing.TEMPER).collect()
+    assert len(found) == 30 and max(r["margin_gap"] for r in found) <= mixing.TOLERANCE
+    assert max(joins) <= 2 and len(joins) % 3 == 0
+
+
 def test_mixture_is_calibrated(make_docs, rng):
     docs = make_docs([(n, prose(rng, rng.randint(1, 120))) for n in range(400)] + [(900, None), (901, ""), (5, "x")])
     rows = mixing.mixture(docs, budget=0.4).collect()
