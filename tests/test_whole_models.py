@@ -24,6 +24,15 @@ def labelled(spark, n):
     return spark.range(n).withColumnRenamed("id", "seq").select("seq", F.lit("train").alias("split"), *numbers, *names, *targets)
 
 
+def test_the_number_of_rows_cuts_no_model(spark):
+    rows = labelled(spark, 300).cache()
+    learned = []
+    for most in (20, 1000):
+        _, fitted, _ = ML.session_models(spark, rows, most, "seq", ("Ridge",))
+        learned.append([(list(m.coefficients), m.intercept) for m in fitted.values()])
+    assert learned[0] == learned[1]
+
+
 def test_neither_rows_nor_trees_pass_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.concatenate((rng.normal(size=(150, 3)), rng.integers(0, 2, (150, 2))), axis=1)
