@@ -33,6 +33,25 @@ def test_the_number_of_rows_cuts_no_model(spark):
     assert learned[0] == learned[1]
 
 
+def test_all_candidates_and_the_search_read_all_rows(spark, monkeypatch, tmp_path):
+    seen = {}
+
+    def taken(name, found):
+        def run(rows, *_):
+            seen[name] = rows.count()
+            return found
+        return run
+
+    monkeypatch.setattr(MQ, "supervised", lambda spark, d: labelled(spark, 21_000).withColumns({c: F.lit(0.0) for c in ("athlete_id",)}))
+    monkeypatch.setattr(ML, "search", taken("search", None))
+    monkeypatch.setattr(ML, "tuned", taken("best draws", {}))
+    monkeypatch.setattr(ML, "fit_all", taken("candidates", {}))
+    MQ._searched(spark, str(tmp_path))
+    assert set(PRODUCTION_FEATURES) <= set(labelled(spark, 1).columns)
+    MQ._models(spark, str(tmp_path))
+    assert seen == {"search": 21_000, "best draws": 21_000, "candidates": 21_000}
+
+
 def test_neither_rows_nor_trees_pass_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.concatenate((rng.normal(size=(150, 3)), rng.integers(0, 2, (150, 2))), axis=1)
